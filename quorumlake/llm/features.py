@@ -48,8 +48,10 @@ class Rows:
         return Rows.of([self.idx[self.at[i] : self.at[i + 1]] for i in rows], [self.val[self.at[i] : self.at[i + 1]] for i in rows])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, extract: Callable, inputs: list[str]) -> pd.DataFrame:
-    """At most `most` labelled documents, those of least id hash: doc_id, label columns and features.
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, extract: Callable, inputs: list[str], balanced: bool = False) -> pd.DataFrame:
+    """At most `most` labelled documents, those of least id hash: label_id, label columns and features.
+
+    balanced: of a single label column of 0 and 1, at most half of them for either value.
 
     extract makes an array<long> of the inputs on the executors; only its result comes to the driver.
     Labels that are null or disagree for an id are left out.
@@ -60,7 +62,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     for c in columns:
         some = some.where(F.col(c) == F.col(f"{c}_most")).drop(f"{c}_most")
     order = F.xxhash64("label_id")
-    some = F.broadcast(some.orderBy(order, "label_id").limit(most))
+    first = lambda x, n: x.orderBy(order, "label_id").limit(n)
+    if balanced:
+        some = first(some.where(F.col(columns[0]) == 1), most // 2).unionByName(first(some.where(F.col(columns[0]) == 0), most // 2))
+    some = F.broadcast(first(some, most))
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), *inputs).join(some, "label_id")
     udf = F.pandas_udf(extract, "array<long>")
     rows = rows.select("label_id", *columns, udf(*inputs).alias("features"))

@@ -133,11 +133,17 @@ def fit(rows: Rows, targets: np.ndarray, categories: tuple[str, ...] = CATEGORIE
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain:
     """Fits on documents with labels (doc_id, toxic); seeds place a toxic one in categories."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    got = labelled_sample(rows, labels.where(F.col("toxic").isin(0, 1)), ["toxic"], most, _extract, ["text"])
+    labels = labels.where(F.col("toxic").isin(0, 1))
+    got = labelled_sample(rows, labels, ["toxic"], most, _extract, ["text"], balanced=True)
     lists, toxic = list(got["features"]), got["toxic"].to_numpy(float)
     seeded = [[float(t and not s.isdisjoint(x.tolist())) for s in _SEED_BUCKETS.values()] for x, t in zip(lists, toxic)]
     targets = np.column_stack([np.array(seeded).reshape(-1, len(SEEDS)), toxic])
-    return fit(Rows.of(lists), targets)
+    chain = fit(Rows.of(lists), targets)
+    counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    if len(counts) == 2 and 0 < toxic.sum() < len(toxic):
+        # the sample's share of toxic rows is not the labels'
+        chain.links[-1].bias += float(np.log(counts[1] / counts[0]) - np.log(toxic.sum() / (len(toxic) - toxic.sum())))
+    return chain
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
