@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import language_id, quality_fm, quality_rules, simhash, toxicity
+from quorumlake.llm import language_id, packing, quality_fm, quality_rules, secrets, simhash, toxicity
 from quorumlake.llm.shared import read
 
 #: 4-word shingles, 64 bits, links of at most 4 bits.
@@ -18,6 +18,17 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found, base = F.col("found"), secrets.BASE
+    counts = [secrets.counted(found, k).alias(f"n_{r.kind}") for k, r in enumerate(base)]
+    return rows.select("doc_id", *counts, F.sha2(secrets.digest(found, base), 256).alias("base_sha256"), secrets.digest(found, secrets.RULES).alias("spans"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality_rules.judge(read(spark, sf_dir, "documents")).select("doc_id", *base, "base_failed", "kept", "votes", "posterior")
@@ -39,6 +50,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_secret_scans": op2_secret_scans,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -47,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scans": secrets.sql()}
