@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import language_id, packing, quality_fm, quality_rules, secrets, simhash, toxicity
+from quorumlake.llm import decontamination, language_id, packing, quality_fm, quality_rules, secrets, simhash, toxicity
 from quorumlake.llm.shared import read
 
 #: 4-word shingles, 64 bits, links of at most 4 bits.
@@ -25,6 +25,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(secrets.digest(found, base), 256).alias("base_sha256"), secrets.digest(found, secrets.RULES).alias("spans"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_secret_scans": op2_secret_scans,
+        "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_rules": op5_quality_rules,
         "op6_language_id": op6_language_id,
