@@ -53,7 +53,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
 
     balanced: of a single label column of 0 and 1, at most half of them for either value.
 
-    extract makes an array<long> of the inputs on the executors; only its result comes to the driver.
+    extract makes an array of numbers of the inputs on the executors; only that comes to the driver.
     Labels that are null or disagree for an id are left out.
     """
     small_batches(docs.sparkSession)
@@ -67,8 +67,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
         some = first(some.where(F.col(columns[0]) == 1), most // 2).unionByName(first(some.where(F.col(columns[0]) == 0), most // 2))
     some = F.broadcast(first(some, most))
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), *inputs).join(some, "label_id")
-    udf = F.pandas_udf(extract, "array<long>")
+    udf = F.pandas_udf(lambda *x: extract(*x).map(lambda y: y.astype(np.int32).tobytes()), "binary")
     rows = rows.select("label_id", *columns, udf(*inputs).alias("features"))
     got = rows.orderBy(order, "label_id", F.hash("features")).limit(most).toPandas()
-    got["features"] = [np.asarray(x, np.int64) for x in got["features"]]
+    got["features"] = [np.frombuffer(x, np.int32) for x in got["features"]]
     return got

@@ -20,7 +20,7 @@ from quorumlake.llm.features import fold
 from quorumlake.llm.shared import small_batches
 
 #: Labelled rows that the classifiers are fitted on, about; they are shared out evenly to languages.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1600
 BUCKETS = 1 << 13
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -42,7 +42,8 @@ def grams(text: str | None) -> np.ndarray:
 def unit(counts: np.ndarray) -> np.ndarray:
     """Rows of square roots of counts, of length 1; empty rows stay zero."""
     x = np.sqrt(counts, dtype=np.float32)
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+    return x
 
 
 def codewords(n: int) -> np.ndarray:
@@ -115,13 +116,13 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Codes | None:
     for name in languages:
         part = F.when(F.col("lang") == name, F.lit(min(1.0, each / counts[name]))).otherwise(part)
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def sparse(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             c = grams(t)
             at = np.flatnonzero(c)
-            out.append(at * (1 << 32) + c[at])
+            out.append(np.stack([at, c[at]]).astype(np.int32).tobytes())
         return pd.Series(out)
 
     order = F.xxhash64("doc_id")
@@ -135,7 +136,8 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Codes | None:
             got = pd.concat([got, more.orderBy("o", F.hash("g")).limit(5).toPandas()])
     counted = np.zeros((len(got), BUCKETS), np.float32)
     for k, g in enumerate(got["g"]):
-        counted[k, np.asarray(g) >> 32] = np.asarray(g) & 0xFFFFFFFF
+        at, n = np.frombuffer(g, np.int32).reshape(2, -1)
+        counted[k, at] = n
     y = np.array([languages.index(x) for x in got["lang"]])
     return fit(unit(counted), languages, y)
 
