@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import decontamination, language_id, packing, quality_fm, quality_rules, repeats, secrets, simhash, toxicity
+from quorumlake.llm import decontamination, language_id, packing, quality_fm, quality_rules, repeats, secrets, simhash, toxicity, warc
 from quorumlake.llm.shared import read
 
 #: 4-word shingles, 64 bits, links of at most 4 bits.
@@ -47,6 +47,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
@@ -64,10 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_warc": op8_warc,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets.sql()}
+    return {"op2_secret_scans": secrets.sql(), "op8_warc": warc.sql()}
