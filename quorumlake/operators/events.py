@@ -44,11 +44,12 @@ def stale_sources(s: Star, hours: int = 8) -> DataFrame:
 
 
 _RUNS = """with d as (select event_type site, cast(ts as date) dia, count(*) filter (user_id % 7 = extract(day from ts) % 7) n from events group by 1, 2),
-  b as (select *, max(n) over (partition by site order by dia rows between 3 preceding and 1 preceding) base from d)
+  b as (select *, max(n) over (partition by site order by dia rows between 3 preceding and 1 preceding) base, max(n) over (partition by site order by dia rows between 6 preceding and 3 preceding) longe,
+    max(n) over w = 0 and count(*) over w = 3 muda from d window w as (partition by site order by dia rows between 2 preceding and current row))
 """
 
 
-@query("sinal_de_volume", _RUNS + "select site, dia, n, case when base is null or base < 5 then null when n <= base * 0.75 then 'queda_de_volume' end sinal from b", tables=False)
+@query("sinal_de_volume", _RUNS + "select site, dia, n, case when muda and longe >= 5 then 'fonte_muda' when base is null or base < 5 then null when n <= base * 0.75 then 'queda_de_volume' end sinal from b", tables=False)
 def volume_signal(s: Star, least: int = 5, drop: float = 0.25) -> DataFrame:
     """#173: a run's items against the most of the three before it; three zeros in a row are a mute source."""
     e = s.table("events")
