@@ -25,7 +25,8 @@ from quorumlake.llm.components import components
 from quorumlake.llm.shared import fresh, small_batches, table, text_hash
 
 SEED = 42
-FRONTIER = 2_000_000
+#: Pairs of fingerprint and tree node that a search holds at once.
+FRONTIER = 250_000
 
 
 @dataclass(frozen=True)
