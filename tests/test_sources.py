@@ -149,3 +149,21 @@ def test_streams_compile(spark, tmp_path):
     df = ingest.source(spark, f"file://{tmp_path}", "site string, hash string, ts timestamp")
     for x in (ingest.distinct_items(df), ingest.windowed_counts(df)):
         assert x.isStreaming
+
+
+def test_demo_and_next_page(spark):
+    from quorumlake.functions import predicates as P
+    from quorumlake.sources import demo
+
+    df = demo.decisions(spark, 200)
+    assert df.count() == 200 and 0 < df.where(P.is_final()).count() < 200
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, demo.decisions(spark, 200).collect()), key=repr)
+    pages = spark.createDataFrame([('<a href="/p2" rel="next">x</a>',), ("<a class='b' href='http://h/p3'> Próxima</a>",), ("<a href='/x'>Ata</a>",)], "html string")
+    assert [r[0] for r in pages.select(demo.next_page(F.col("html"), "http://h")).collect()] == ["http://h/p2", "http://h/p3", None]
+
+
+def test_filters_ignore_what_is_malformed():
+    from quorumlake.operators.audit import Filters
+
+    f = Filters.parse({"agencia_id": "1 or 1", "microtema": "a'b", "date_from": "hoje", "date_to": "2026-01-01", "numero_reuniao": "1" * 30, "origem": "x"})
+    assert f == Filters(last="2026-01-01", number="1" * 10)
