@@ -296,7 +296,8 @@ def mandate_stats(s: Star) -> DataFrame:
     """#82: directors in office, participations and consensus."""
     active = s.mandatos.where(F.col("data_fim").isNull() | (F.col("data_fim") >= s.day)).agg(F.count_distinct("diretor_id").alias("diretores_ativos"))
     whole = per_decision(s).agg(F.sum("votos").alias("participacoes"), F.count("*").alias("total_deliberacoes"), P.rate(F.count_if("consensual"), F.count("consensual")).alias("consenso"))
-    return active.join(whole)  # one row each
+    both = active.unionByName(whole, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query(

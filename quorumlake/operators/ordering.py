@@ -41,7 +41,8 @@ def global_position(s: Star) -> DataFrame:
     parts = s.agencias.select("id").repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("p", F.spark_partition_id())
     inside = parts.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("id")))
     sizes = parts.groupBy("p").agg(F.count("*").alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("a.p") > F.col("b.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("antes"))
+    # a row per partition
+    before = sizes.select("p", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("antes"))
     return inside.join(before, "p").select("id", (F.col("k") + F.col("antes")).alias("n"))
 
 
