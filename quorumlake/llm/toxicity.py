@@ -64,7 +64,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 150, l2: float = 1.0) -> Link:
+def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 0.05) -> Link:
     """Logistic regression on words that clearly go with y, found by chi-square, and on earlier log-odds."""
     none = np.zeros(0, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
