@@ -12,6 +12,8 @@ from quorumlake.llm.shared import read
 
 #: 4-word shingles, 64 bits, links of at most 4 bits.
 OP7 = simhash.Plan(words=4, lanes=1, radius=4, blocks=6)
+#: The index family takes the documents in so many batches, by text hash.
+OP9_BATCHES = 2
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), batches=OP9_BATCHES).drop("kept")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,28 +108,70 @@ def suffix_array(docs: DataFrame) -> DataFrame:
 
 
 
+#: Runs of one prefix that a task compares by itself; the windows of more common prefixes are spread.
+COMMON = 10_000
+#: Bits of a filter on documents, whatever their number, and the keys up to which it is of use.
+FILTER_BITS, FILTER_KEYS = 1 << 26, 1 << 23
+_CHUNK_BITS = 1 << 15
+
+
+def _slot():
+    return F.pmod(F.xxhash64("doc_id", "th"), F.lit(FILTER_BITS))
+
+
+def maybe_in(docs: DataFrame, keys: DataFrame):
+    """A boolean column of docs (doc_id, th): false only for documents that keys (doc_id, th) lack.
+
+    It saves shuffling texts that a join would drop. The bitmap has FILTER_BITS bits however many keys
+    there are; for more than FILTER_KEYS it would pass nearly all, so all pass and the join alone decides.
+    """
+    if keys.count() > FILTER_KEYS:
+        return F.lit(True)
+
+    def chunk(key: tuple, slots: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(_CHUNK_BITS, np.uint8)
+        bits[slots["slot"].to_numpy(np.int64) % _CHUNK_BITS] = 1
+        return pd.DataFrame({"k": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    slots = keys.select(_slot().alias("slot")).distinct().withColumn("k", F.floor(F.col("slot") / _CHUNK_BITS))
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in slots.groupBy("k").applyInPandas(chunk, "k long, bits binary").collect():
+        bitmap[r["k"] * _CHUNK_BITS // 8 : (r["k"] + 1) * _CHUNK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return held(_slot())
+
+
 def matches(pool: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, th, s, e): byte ranges of repeats among the entries of pool, made of docs (doc_id, th, text)."""
-    shared = pool.groupBy("gram").count().where("count > 1").select("gram")
-    held = table(pool.join(shared, "gram", "left_semi"), "shared-prefixes")
+    # counts are written before they are joined, so that a join is a plain one and hot prefixes can be split
+    shared = table(pool.groupBy("gram").count().where("count > 1").select("gram"), "shared-prefixes")
+    held = table(pool.join(shared, "gram", "left_semi"), "shared-entries")
     who = F.struct("doc_id", "th", "i", "j")
     runs = table(held.groupBy("gram", "a", "b").agg(F.count("*").alias("n"), F.min(who).alias("r")), "runs")
-    equal = held.join(runs.where("n > 1").select("gram", "a", "b"), ["gram", "a", "b"], "left_semi")
-    whole = equal.select("doc_id", "th", F.col("i").alias("s"), (F.col("j") + LENGTH).alias("e"))
+    equal = held.join(runs.where("n > 1").select("a", "b", "gram"), ["a", "b", "gram"], "left_semi")
+    whole = equal.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("i").alias("s"), (F.col("j") + LENGTH).alias("e"))
 
-    differ = runs.groupBy("gram").count().where("count > 1").select("gram")
-    own = runs.join(differ, "gram", "left_semi").select("gram", "r.*", (F.col("n") > 1).alias("done"))
-    per_doc = own.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "i", "j", "done")).alias("w"))
+    differ = table(runs.groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > COMMON).alias("common")), "prefixes-of-several-runs")
+    own = runs.join(differ, "gram").select("gram", "common", "r.*", (F.col("n") > 1).alias("done"))
+    per_doc = table(own.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "common", "i", "j", "done")).alias("w")), "runs-by-document")
 
     @F.pandas_udf("array<binary>")
     def regions(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         return pd.Series([[x[w["i"] : w["j"] + LENGTH] for w in ws] for x, ws in zip(_utf8(texts), wanted)])
 
-    # a repeated row has its regions once
-    texts = docs.select(F.col("doc_id").alias("doc"), F.col("th").alias("h"), "text")
+    # a repeated row has its regions once for each
+    texts = docs.select("doc_id", "th", "text").where(maybe_in(docs, per_doc)).select(F.col("doc_id").alias("doc"), F.col("th").alias("h"), "text")
     met = texts.join(per_doc, texts["doc"].eqNullSafe(per_doc["doc_id"]) & (texts["h"] == per_doc["th"]))
-    met = met.select("doc_id", "th", F.explode(F.arrays_zip("w", regions("text", "w").alias("x"))).alias("y"))
+    met = met.select(F.col("doc_id").cast("string").alias("doc_id"), "th", F.explode(F.arrays_zip("w", regions("text", "w").alias("x"))).alias("y"))
     met = met.select("doc_id", "th", "y.w.*", "y.x")
+    common = differ.where("common").limit(1).count() > 0
+    met = table(met, "regions") if common else met
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [b for b in batches if len(b)]
@@ -147,12 +189,25 @@ def matches(pool: DataFrame, docs: DataFrame) -> DataFrame:
             yield from _compare(b.iloc[at:upto])
             at = upto
 
-    spans = met.repartition("gram").mapInPandas(compare, "doc_id long, th long, s int, e int")
-    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "s", "e").unionByName(spans)
-
-
-def _compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Ranges that windows equal to another's cover, of rows of whole prefix groups."""
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in range(0, len(b), 2000):
+                part = b.iloc[k : k + 2000]
+                owner, step, one, two = _windows(part)
+                rows = part.iloc[owner]
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "th": rows["th"], "done": rows["done"], "s": (rows["i"].to_numpy() + step).astype(np.int32), "one": one.view(np.int64), "two": two.view(np.int64)})
+
+    spans = met.where("not common").repartition("gram").mapInPandas(compare, "doc_id string, th long, s int, e int")
+    if common:
+        each = met.where("common").mapInPandas(spread, "doc_id string, th long, done boolean, s int, one long, two long")
+        again = table(each.groupBy("one", "two").count().where("count > 1").select("one", "two"), "common-windows")
+        more = each.where("not done").join(again, ["one", "two"], "left_semi")
+        spans = spans.unionByName(more.select("doc_id", "th", "s", (F.col("s") + LENGTH).cast("int").alias("e")))
+    return whole.unionByName(spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "s", "e"))
+
+
+def _windows(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of rows (i, j, x): its row, its place in the run, and the hashes that tell it."""
     raw = np.frombuffer(b"".join(b["x"]), np.uint8)
     h = hashes(raw, 8)
     size = np.array([len(x) for x in b["x"]])
@@ -160,7 +215,12 @@ def _compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     owner = np.repeat(np.arange(len(b)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(size) - size, n) + step
-    one, two = h[at], h[at + LENGTH - 256]
+    return owner, step, h[at], h[at + LENGTH - 256]
+
+
+def _compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Ranges that windows equal to another's cover, of rows of whole prefix groups."""
+    owner, step, one, two = _windows(b)
     again = repeated((one ^ (one >> np.uint64(30))) * _ODD[5] + two)
     again &= ~b["done"].to_numpy()[owner]
     start = again & ~np.r_[False, again[:-1] & (owner[1:] == owner[:-1])]
@@ -179,9 +239,10 @@ class IndexFamily:
     def __init__(self):
         self.levels: list[tuple[int, DataFrame, DataFrame]] = []
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """Indexes a batch (doc_id, th, text) and returns the ranges (doc_id, th, s, e) of repeats that
-        it has with itself or with what is indexed, on both sides."""
+        it has with itself or with what is indexed, on both sides. A batch after which none comes need
+        not be kept."""
         new = table(suffix_array(docs), "suffix-array")
         grams = new.select("gram").distinct() if self.levels else None
         pool, texts = new, docs
@@ -189,6 +250,8 @@ class IndexFamily:
             pool = pool.unionByName(old.join(grams, "gram", "left_semi"))
             texts = texts.unionByName(its)
         found = matches(pool, texts)
+        if not keep:
+            return found
         rank = 0
         while self.levels and self.levels[-1][0] == rank:
             _, old, its = self.levels.pop()
@@ -212,16 +275,15 @@ def _batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [docs.where(F.pmod("th", F.lit(batches)) == k) for k in range(batches)] if batches > 1 else [docs]
 
 
-def with_ranges(docs: DataFrame, batches: int = 1) -> DataFrame:
-    """docs (doc_id, text) with th and `ranges`, an array of the (s, e) byte ranges to remove."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", text_hash())
+def ranges(docs: DataFrame, batches: int = 1) -> tuple[DataFrame, DataFrame]:
+    """docs as (doc_id, text, th), and the (s, e) byte ranges to remove of those that have any."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", text_hash())
     family, found = IndexFamily(), None
-    for part in _batches(rows, batches):
-        own = family.add(part)
+    parts = _batches(rows, batches)
+    for k, part in enumerate(parts):
+        own = family.add(part, keep=k + 1 < len(parts))
         found = own if found is None else found.unionByName(own)
-    per_doc = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    per_doc = per_doc.select(F.col("doc_id").alias("doc"), F.col("th").alias("h"), "ranges")
-    return rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc"]) & (rows["th"] == per_doc["h"]), "left").select("doc_id", "text", "th", "ranges")
+    return rows, table(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "ranges")
 
 
 def without_repeats(docs: DataFrame, batches: int = 1) -> DataFrame:
@@ -241,5 +303,10 @@ def without_repeats(docs: DataFrame, batches: int = 1) -> DataFrame:
             out.append((len(x), len(x) - len(kept), len(spans), kept))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = with_ranges(docs, batches).select("doc_id", cut("text", "ranges").alias("c"))
-    return rows.select("doc_id", "c.n_bytes", "c.n_removed", "c.n_spans", F.sha2(F.col("c.kept"), 256).alias("kept_sha256"), "c.kept")
+    rows, found = ranges(docs, batches)
+    found = found.select(F.col("doc_id").alias("doc"), F.col("th").alias("h"), "ranges")
+    may = rows.withColumn("may", maybe_in(rows, found.select(F.col("doc").alias("doc_id"), F.col("h").alias("th"))))
+    some = may.where("may").join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("h")), "left")
+    some = some.select("doc_id", cut("text", "ranges").alias("c")).select("doc_id", "c.*")
+    none = may.where("not may").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
+    return some.unionByName(none).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")

@@ -468,8 +468,10 @@ def slow_repeats(rows, length=400):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_repeats_by_brute_force(spark, docs, batches):
+@pytest.mark.parametrize("batches, common, keys", [(1, 10_000, 1 << 23), (4, 10_000, 1 << 23), (1, 1, 0), (2, 2, 1 << 23)])
+def test_repeats_by_brute_force(spark, docs, batches, common, keys, monkeypatch):
+    monkeypatch.setattr(repeats, "COMMON", common)
+    monkeypatch.setattr(repeats, "FILTER_KEYS", keys)
     rnd = random.Random(7)
     passage = " ".join(str(rnd.random()) for _ in range(40))
     made = [(100, "a" + passage + "b"), (101, "c" + passage + "d"), (102, "ab" * 400), (103, passage[:399]), (104, passage[:400]), (105, "é" * 300 + passage[7:] + "é" * 300), (106, "z" * 401)]
