@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from quorumlake.llm.features import fold
 from quorumlake.llm.shared import small_batches
 
-#: Labelled rows that the classifiers are fitted on, about; they are shared out evenly to languages.
-TRAIN_ROWS = 1600
+#: Labelled rows that the classifiers are fitted on, about; they are shared out evenly to languages,
+#: but at least LEAST_ROWS each.
+TRAIN_ROWS, LEAST_ROWS = 1600, 20
 BUCKETS = 1 << 13
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -111,7 +112,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Codes | None:
     if not counts:
         return None
     languages = sorted(counts)
-    each = max(1, most // len(languages))
+    each = max(LEAST_ROWS, most // len(languages))
     part = F.lit(1.0)
     for name in languages:
         part = F.when(F.col("lang") == name, F.lit(min(1.0, each / counts[name]))).otherwise(part)
@@ -128,7 +129,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Codes | None:
     order = F.xxhash64("doc_id")
     # exact up to chance: as many ids as the share of hashes; a few of any language are always kept
     own = rows.where((order / float(1 << 63) + 1) / 2 < F.greatest(part, F.lit(0.0)))
-    got = own.select("lang", order.alias("o"), sparse("text").alias("g")).orderBy("o", "lang", F.hash("g")).limit(2 * most + 100).toPandas()
+    got = own.select("lang", order.alias("o"), sparse("text").alias("g")).orderBy("o", "lang", F.hash("g")).limit(2 * each * len(languages) + 100).toPandas()
     if got["lang"].nunique() < len(languages):
         missing = [x for x in languages if x not in set(got["lang"])]
         for name in missing:
