@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b: long); root is the smallest node of the component.
 
     Each round keeps one row per link at most and writes it to the shared folder, so that no lineage
-    grows and a lost executor costs one round. Nulls and loops are ignored; no edges give no rows.
+    grows and a lost executor costs one round; links never become more. Nulls and loops are ignored; no edges give no rows.
     """
     edges = table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
@@ -27,12 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours of a node go to the least node around it
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = table(large.where("a <> b").distinct(), "large-star")
+        large = table(large.where("a <> b").distinct(), "large-stars", seen[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: smaller neighbours of a node, and itself, go to the least of them
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b")))
-        edges = table(small.where("a <> b").distinct(), "small-star")
+        edges = table(small.where("a <> b").distinct(), "stars", seen[0])
         now = _sign(edges)
         if now == seen:
             break

@@ -24,9 +24,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/quorumlake/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which cuts its lineage."""
+#: Rows of a file, about, where the number of rows is known beforehand.
+FILE_ROWS = 250_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again, which cuts its lineage.
+
+    rows, if known as an upper bound, sets the number of files, so that small tables are one file.
+    """
     path = scratch(df.sparkSession, name)
+    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

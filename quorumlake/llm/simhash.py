@@ -226,8 +226,8 @@ def groups(docs: DataFrame, plan: Plan) -> DataFrame:
     fps = table(fingerprints(docs, plan), "fingerprints")
     # one lane is its own node id; several are told apart by a 64-bit hash
     node = F.col("f0") if plan.lanes == 1 else F.xxhash64(*lanes)
-    nodes = table(fps.groupBy(*lanes).agg(F.min("doc_id").alias("least")).withColumn("node", node), "nodes")
-    roots = table(components(links(nodes, plan)), "roots")
+    nodes = fps.groupBy(*lanes).agg(F.min("doc_id").alias("least")).withColumn("node", node)
+    roots = components(links(nodes, plan))
     placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = placed.join(ids, "root").select(*lanes, "component_id")
@@ -239,8 +239,7 @@ def near_dedup(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
 
     Of rows with that id, the one with the least text hash stays, once.
     """
-    found = table(groups(docs, plan), "groups")
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("s"))
+    stays = groups(docs, plan).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("s"))
     key, h = fresh(docs.columns, "stay_id"), fresh(docs.columns, "stay_th")
     stays = stays.select(F.col("s.doc_id").alias(key), F.col("s.th").alias(h)).distinct()
     rows = docs.withColumn(h, text_hash())
