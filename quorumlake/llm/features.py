@@ -29,7 +29,7 @@ class Rows:
     @classmethod
     def of(cls, lists: list[np.ndarray], values: list[np.ndarray] | None = None) -> Rows:
         at = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int64)
-        idx = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
+        idx = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32)
         val = np.concatenate([np.zeros(0), *values]) if values is not None else np.ones(len(idx))
         return cls(idx, at, val)
 
@@ -45,7 +45,9 @@ class Rows:
         return total[self.at[1:]] - total[self.at[:-1]]
 
     def take(self, rows: np.ndarray) -> Rows:
-        return Rows.of([self.idx[self.at[i] : self.at[i + 1]] for i in rows], [self.val[self.at[i] : self.at[i + 1]] for i in rows])
+        n = np.diff(self.at)[rows]
+        own = np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Rows(self.idx[own], np.r_[0, np.cumsum(n)], self.val[own])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, extract: Callable, inputs: list[str], balanced: bool = False) -> pd.DataFrame:

@@ -118,13 +118,12 @@ def fit(rows: Rows, targets: np.ndarray, categories: tuple[str, ...] = CATEGORIE
     held = np.arange(len(rows)) % FOLDS
     before, links = np.zeros((len(rows), 0)), []
     parts = [(np.flatnonzero(held != k), np.flatnonzero(held == k)) for k in range(FOLDS)]
-    parts = [(a, b, rows.take(a), rows.take(b)) for a, b in parts]
     for c in range(targets.shape[1]):
         y = targets[:, c].astype(float)
         out = np.zeros(len(rows))
         if c + 1 < targets.shape[1]:
-            for a, b, seen, unseen in parts:
-                out[b] = fit_link(seen, before[a], y[a]).log_odds(unseen, before[b])
+            for a, b in parts:
+                out[b] = fit_link(rows.take(a), before[a], y[a]).log_odds(rows.take(b), before[b])
         links.append(fit_link(rows, before, y))
         before = np.column_stack([before, out])
     return Chain(categories, links)
