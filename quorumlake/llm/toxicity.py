@@ -64,7 +64,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 0.05) -> Link:
+def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 250, l2: float = 0.05) -> Link:
     """Logistic regression on words that clearly go with y, found by chi-square, and on earlier log-odds."""
     none = np.zeros(0, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
@@ -72,18 +72,16 @@ def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 400, l2
     if not len(y) or y.min() == y.max():
         return Link(none, np.zeros(0), np.zeros(before.shape[1]), bias)
     who = rows.owner()
-    at, inv = np.unique(rows.idx, return_inverse=True)
-    seen = np.bincount(inv, minlength=len(at)).astype(float)
-    hits = np.bincount(inv, y[who], len(at))
+    seen = np.bincount(rows.idx, minlength=BUCKETS).astype(float)
+    hits = np.bincount(rows.idx, y[who], BUCKETS)
     expected = seen * y.mean()
     lift = np.where(hits > expected, (hits - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
     lift[seen < 3] = 0
-    top = np.sort(np.argsort(-lift, kind="stable")[:KEPT])
-    top = top[lift[top] >= EVIDENCE]
-    place = at[top]
-    new = np.full(len(at), -1)
-    new[top] = np.arange(len(top))
-    col = new[inv]
+    place = np.flatnonzero(lift >= EVIDENCE)
+    place = np.sort(place[np.argsort(-lift[place], kind="stable")[:KEPT]])
+    new = np.full(BUCKETS, -1)
+    new[place] = np.arange(len(place))
+    col = new[rows.idx]
     col, who = col[col >= 0], who[col >= 0]
     w, u, b = np.zeros(len(place)), np.zeros(before.shape[1]), bias
     m = [np.zeros_like(w), np.zeros_like(u), 0.0]
@@ -96,7 +94,7 @@ def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 400, l2
         for k, g in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
-            steps_by.append(0.15 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8))
+            steps_by.append(0.25 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8))
         w, u, b = w - steps_by[0], u - steps_by[1], b - steps_by[2]
     return Link(place, w, u, float(b))
 
