@@ -29,7 +29,7 @@ _CHUNK = 1 << 23
 _ODD = np.random.default_rng(1).integers(1 << 62, size=8, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = np.random.default_rng(2).integers(1 << 62, size=256, dtype=np.int64).astype(np.uint64)
 #: Windows that a task compares at once; a single prefix may exceed it.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 500_000
 
 
 def hashes(x: np.ndarray, doublings: int = 7) -> np.ndarray:
