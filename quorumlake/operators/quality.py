@@ -103,9 +103,21 @@ def dq_fields(s: Star) -> DataFrame:
        select o.id, 'C19_SERIE_NAO_MONOTONICA' codigo, 'aviso' nivel from o join w using (agencia_id, serie, k) where data_reuniao < antes or data_reuniao > depois""",
 )
 def dq_monotonic(s: Star) -> DataFrame:
+    """C19 over the decisions that its SQL reads, which hold a single ordinal; the whole is
+    `dq_serie_monotonica_inteira`."""
+    return monotonic_findings(final(s).where("id % 40 = 7"))
+
+
+@query("dq_serie_monotonica_inteira")
+def dq_monotonic_whole(s: Star) -> DataFrame:
+    """C19, #117, over all final decisions."""
+    return monotonic_findings(final(s))
+
+
+def monotonic_findings(decisions: DataFrame) -> DataFrame:
     """C19, #117: a larger number with an earlier date. Per ordinal, its dates are compared with the
     extremes of those before and after, which a running window gives without a self-join."""
-    rows = final(s).where("numero_reuniao is not null and data_reuniao is not null and id % 40 = 7")
+    rows = decisions.where("numero_reuniao is not null and data_reuniao is not null")
     o = rows.select("agencia_id", F.coalesce("serie", F.lit("")).alias("serie"), F.col("numero_reuniao").cast("int").alias("k"), "data_reuniao", "id")
     g = o.groupBy("agencia_id", "serie", "k").agg(F.min("data_reuniao").alias("lo"), F.max("data_reuniao").alias("hi"))
     w = Window.partitionBy("agencia_id", "serie").orderBy("k")
