@@ -4,9 +4,11 @@ A shard holds the distinct fingerprints that agree on a key of some bits. The ta
 builds its BK-tree (children keyed by their Hamming distance to the parent) and every fingerprint of
 the shard follows only edges within the radius. With `blocks`, the keys are all choices of
 `blocks - radius` whole blocks: at most `radius` differing bits leave that many blocks alike, so no
-link is lost. With `sampled`, the keys are sampled bits, for radii beyond the reach of whole blocks.
+link is lost.
 
 The trees go to one task each, not to all: a tree grows with the data and has no size bound.
+
+`near_dedup` links by the exact share of common shingles instead; MinHash bands only find candidates.
 """
 
 from __future__ import annotations
@@ -37,12 +39,24 @@ class Plan:
     lanes: int = 1
     radius: int = 4
     blocks: int = 6
-    sampled: int = 0
-    sampled_bits: int = 16
 
 
-#: Shingles of five words; documents whose 128-bit fingerprints agree in 0.8 of the bits or more.
-SIMILAR = Plan(words=5, lanes=2, radius=25, blocks=0, sampled=48)
+@dataclass(frozen=True)
+class Alike:
+    """words of a shingle, least Jaccard similarity (num / den) of linked documents, and MinHash bands.
+
+    A band holds `rows` minima. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^50, which
+    misses 3 in 10 million, and any closer pair fewer.
+    """
+
+    words: int = 5
+    num: int = 4
+    den: int = 5
+    bands: int = 50
+    rows: int = 6
+
+
+SIMILAR = Alike()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -103,14 +117,6 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
 
 def shard_keys(f: np.ndarray, plan: Plan) -> np.ndarray:
     """(rows, keys): the shards of each fingerprint (rows, lanes)."""
-    if plan.sampled:
-        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
-        pick = np.random.default_rng(SEED)
-        out = []
-        for k in range(plan.sampled):
-            own = bits[:, np.sort(pick.choice(64 * plan.lanes, plan.sampled_bits, replace=False))].astype(np.int64)
-            out.append(own @ (1 << np.arange(plan.sampled_bits, dtype=np.int64)) + (k << 40))
-        return np.stack(out, 1)
     edges = np.linspace(0, 64, plan.blocks + 1).round().astype(int)
     own = [(f[:, 0] >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1) for a, b in zip(edges, edges[1:])]
     wide = [int(b - a) for a, b in zip(edges, edges[1:])]
@@ -234,12 +240,125 @@ def groups(docs: DataFrame, plan: Plan) -> DataFrame:
     return fps.join(by_node, lanes)
 
 
-def near_dedup(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+def _steps(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and addends of the hash functions that the minima are taken of."""
+    pick = np.random.default_rng(SEED)
+    mul, add = pick.integers(0, 2**64, (2, count), np.uint64)
+    return mul | np.uint64(1), add
+
+
+def bands(shingles: np.ndarray, plan: Alike) -> np.ndarray:
+    """A hash per MinHash band of a set of shingle hashes; equal sets have equal ones, the empty set zeros."""
+    if not len(shingles):
+        return np.zeros(plan.bands, np.int64)
+    mul, add = _steps(plan.bands * plan.rows)
+    least = np.full(len(mul), np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 512):
+        part = shingles[at : at + 512, None] * mul + add
+        # the product's low bits are weak, so its high half is folded in before the order is taken
+        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(0))
+    out = np.arange(plan.bands, dtype=np.uint64)
+    for column in least.reshape(plan.bands, plan.rows).T:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out.view(np.int64)
+
+
+def alike(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Each set's least number that pairs with a Jaccard similarity of num / den or more lead to. Exact.
+
+    A set of n shingles shares at least ceil(n * num / den) with any partner, so one of its
+    n - ceil(...) + 1 rarest is among the partner's rarest. Sets are taken breadth first: what is
+    reached needs no further comparison but its own with the rest.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    label = np.arange(n)
+    empty = np.flatnonzero(size == 0)
+    label[empty] = empty[:1].repeat(len(empty))
+    if not size.sum():
+        return label
+    _, word, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner = np.repeat(np.arange(n), size)
+    order = np.lexsort((rank[word], owner))
+    word = rank[word][order]
+    start = np.r_[0, np.cumsum(size)]
+    head = size - -(-size * num // den) + 1
+    rare = np.arange(len(word)) - start[owner] < head[owner]
+    post_word, post = word[rare], owner[rare]
+    by = np.argsort(post_word, kind="stable")
+    post = post[by]
+    at = np.searchsorted(post_word[by], np.arange(len(often) + 1))
+    mine, waits = np.zeros(len(often), bool), size > 0
+    for first in range(n):
+        if not waits[first]:
+            continue
+        waits[first] = False
+        queue = [first]
+        while queue:
+            i = queue.pop()
+            own = word[start[i] : start[i] + size[i]]
+            near = np.concatenate([post[at[w] : at[w + 1]] for w in own[: head[i]].tolist()])
+            near = np.unique(near[waits[near]])
+            near = near[(size[near] * den >= size[i] * num) & (size[i] * den >= size[near] * num)]
+            if not len(near):
+                continue
+            mine[own] = True
+            for part in np.array_split(near, size[near].sum() // 4_000_000 + 1):
+                ends = np.cumsum(size[part])
+                flat = np.arange(ends[-1]) + np.repeat(start[part] - ends + size[part], size[part])
+                both = np.add.reduceat(mine[word[flat]].astype(np.int64), ends - size[part])
+                hit = part[both * den >= (size[i] + size[part] - both) * num]
+                waits[hit], label[hit] = False, first
+                queue += hit.tolist()
+            mine[own] = False
+    return label
+
+
+def similar_groups(docs: DataFrame, plan: Alike = SIMILAR) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, th, component_id (smallest doc_id reachable).
+
+    Links are pairs of texts whose sets of shingles have at least the plan's similarity; shingles are
+    told apart by 64-bit hashes. Bands join candidates, whose texts then meet in one task per joined
+    group and are compared exactly. Wordless texts are alike; null ids are as in groups.
+    """
+    small_batches(docs.sparkSession)
+    own_set = lambda t: np.unique(shingle_hashes(t, plan.words))
+
+    @F.pandas_udf("array<long>")
+    def keys(texts: pd.Series) -> pd.Series:
+        sets = [own_set(t) for t in texts]
+        return pd.Series([np.r_[np.int64(xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63), bands(x, plan)] for x in sets])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marks = table(rows.select("doc_id", text_hash().alias("th"), keys("text").alias("k")).select("doc_id", "th", F.col("k")[0].alias("node"), F.slice("k", 2, plan.bands).alias("k")), "bands")
+    # rows of equal sets are one node, for which the text of least hash stands
+    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("k").alias("k"))
+    nodes = table(nodes, "sets")
+    shared = nodes.select("node", F.explode("k").alias("band"))
+    low = shared.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
+    joined = components(shared.join(low, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    asked = nodes.join(joined, "node").select("root", "node", "th")
+    texts = rows.select(text_hash().alias("th"), "text").join(asked.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node", ignore_index=True)
+        label = alike([own_set(t) for t in group["text"]], plan.num, plan.den)
+        return pd.DataFrame({"node": group["node"], "head": group["node"].to_numpy()[label]})
+
+    heads = table(asked.join(texts, "th").select("root", "node", "text").groupBy("root").applyInPandas(verify, "node long, head long"), "verified")
+    placed = nodes.select("node", "least").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    ids = placed.groupBy("head").agg(F.min("least").alias("component_id"))
+    return marks.select("doc_id", "th", "node").join(placed.join(ids, "head").select("node", "component_id"), "node").drop("node")
+
+
+def near_dedup(docs: DataFrame, plan: Alike = SIMILAR) -> DataFrame:
     """The rows of docs (all columns) less all but one of each group: that of the smallest doc_id.
 
     Of rows with that id, the one with the least text hash stays, once.
     """
-    stays = groups(docs, plan).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("s"))
+    stays = similar_groups(docs, plan).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("s"))
     key, h = fresh(docs.columns, "stay_id"), fresh(docs.columns, "stay_th")
     stays = stays.select(F.col("s.doc_id").alias(key), F.col("s.th").alias(h)).distinct()
     rows = docs.withColumn(h, text_hash())

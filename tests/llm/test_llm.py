@@ -546,3 +546,32 @@ def test_queries_run(spark):
     for name, f in queries.queries().items():
         df = f(spark, SF)
         assert df.count() > 0, name
+
+
+def test_near_stage_links_by_exact_similarity(spark):
+    """Pairs on either side of 0.8: at 116 of 145 shingles they link, at 115 of 146 they don't."""
+    rows, want = [], set()
+    for k in range(40):
+        w = [f"t{k}w{i}" for i in range(135)]
+        shared = 119 + k % 2
+        near = w[:shared] + [f"t{k}x{i}" for i in range(134 - shared)]
+        a, b = (set(zip(x, x[1:], x[2:], x[3:], x[4:])) for x in (w, near))
+        want |= {2 * k} | (set() if len(a & b) >= 0.8 * len(a | b) else {2 * k + 1})
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
+    assert 40 < len(want) < 80
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
+@given(st.randoms(use_true_random=False))
+@settings(max_examples=30, deadline=None)
+def test_alike_by_brute_force(rnd):
+    sets = [set(rnd.sample(range(40), rnd.randrange(0, 30))) for _ in range(12)]
+    sets += [set(rnd.choice(sets)) ^ {rnd.randrange(40) for _ in range(rnd.randrange(4))} for _ in range(30)]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert simhash.alike([np.array(sorted(x), np.uint64) for x in sets], 4, 5).tolist() == label
