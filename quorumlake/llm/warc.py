@@ -93,13 +93,6 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 0, date: str
     return table(rows.mapInPandas(save, "path string, size long"), "archives")
 
 
-def _inflated(data: memoryview, most: int) -> bytes | None:
-    try:
-        return zlib.decompressobj(31).decompress(data, most)
-    except zlib.error:
-        return None
-
-
 def headers(block: bytes) -> tuple[dict[str, str], int]:
     """Fields by lower-case name, and where the block's body starts."""
     end = block.find(b"\r\n\r\n")
@@ -129,6 +122,27 @@ class _Window:
         self.data = self.data[place - self.at :]
         self.at = place
 
+    def starts_record(self, place: int) -> bool:
+        """Whether a member at place inflates to a WARC header, however long that header is."""
+        gz, out, rest, at = zlib.decompressobj(31), b"", b"", place
+        while b"\r\n\r\n" not in out:
+            if gz.eof or not b"WARC/1.".startswith(out[:7]):
+                return False
+            step = max(_HEAD, len(out))
+            if not rest:
+                self.upto(at + step)
+                rest = self.data[at - self.at : at - self.at + step]
+                at += len(rest)
+            ended = not rest
+            try:
+                more = gz.decompress(rest, step)
+            except zlib.error:
+                return False
+            if ended and not more:
+                return False
+            out, rest = out + more, gz.unconsumed_tail
+        return _valid(out)
+
 
 def records(source, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
     """(place, bytes) of the records of a gzip archive that start in [start, end)."""
@@ -141,8 +155,7 @@ def records(source, start: int, end: int, size: int) -> Iterator[tuple[int, byte
             if k < 0 or win.at + k >= end:
                 return
             place = win.at + k
-            win.upto(place + _HEAD)
-            if not _valid(_inflated(memoryview(win.data)[place - win.at :], _HEAD)):
+            if not win.starts_record(place):
                 place += 1
                 continue
         if place - win.at > _STEP:

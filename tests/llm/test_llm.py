@@ -449,6 +449,28 @@ def test_reader_skips_false_magic(tmp_path):
         assert [warc.parse(r)[:2] for _, r in warc.records(f, 0, len(raw), len(raw))] == [("1", 4)]
 
 
+@pytest.mark.parametrize("split", [997, 1 << 20])
+def test_headers_of_any_length_are_read(spark, split):
+    rnd = random.Random(3)
+    urls = ["data:" + "".join(rnd.choices("0123456789abcdefghij", k=n)) for n in (16_000, 17_000, 100_000)] + ["data:" + "x" * 3_000_000]
+    pages = spark.createDataFrame([(k, u, f"body {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").repartition(4)
+    found = warc.read(warc.write(pages), split)
+    assert sorted(r["page_id"] for r in found.collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("split", [1, 97])
+def test_long_header_first_in_a_split(tmp_path, split):
+    rnd = random.Random(4)
+    urls = ["".join(rnd.choices("0123456789abcdefghij", k=n)) for n in (20_000, 10, 40_000)]
+    raw = b"".join(warc.record("response", str(k), u, b"body", warc.digest_of(b"body"), None, "d") for k, u in enumerate(urls))
+    with open(tmp_path / "a.gz", "wb") as f:
+        f.write(raw)
+    with open(tmp_path / "a.gz", "rb") as f:
+        starts = [k for k in range(0, len(raw), split) if raw[k : k + split + 2].find(warc.MAGIC) >= 0]
+        got = [warc.parse(r)[0] for k in starts for _, r in warc.records(f, k, min(k + split, len(raw)), len(raw))]
+    assert got == ["0", "1", "2"]
+
+
 # ---- 9: repeats
 
 def slow_repeats(rows, length=400):
