@@ -13,7 +13,7 @@ from quorumlake.llm.shared import read
 #: 4-word shingles, 64 bits, links of at most 4 bits.
 OP7 = simhash.Plan(words=4, lanes=1, radius=4, blocks=6)
 #: The index family takes the documents in so many batches, by text hash.
-OP9_BATCHES = 2
+OP9_BATCHES = 4
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

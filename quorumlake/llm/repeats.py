@@ -1,27 +1,33 @@
 """Removal of long repeated byte strings through a logarithmic family of suffix arrays.
 
-A batch of documents becomes a suffix array, a table of suffixes ordered by their leading bytes. Only
-suffixes that start with the least-hashed GRAM-byte string of some window of LENGTH bytes are in it (two
-in GRAM-window sizes, instead of all): equal windows have the same such string at the same place, so no
-repeat is lost. Each entry stands for the run of windows that chose it. Order and equality of prefixes
-are those of 64-bit hashes of 128 bytes.
-
-A new batch is merge-scanned against each existing level: entries that share a prefix are kept; equal
-runs are repeats at once, and of the others every window is compared, a representative for each
-different run. Levels of equal rank then merge into one of the next rank, so a family of n batches has
-at most log2(n) + 1 levels and rewrites each entry as often.
+A batch of documents becomes a suffix array: a table of suffixes in byte order, that of their first
+eight bytes, and of equal ones by a 64-bit hash of GRAM bytes. Only suffixes that start with the
+least-hashed GRAM-byte string of some window of LENGTH bytes are in it (two in GRAM-window sizes, instead
+of all): equal windows have the same such string at the same place, so no repeat is lost. Each entry
+stands for the run of windows that chose it.
+
+A new batch is merge-scanned with the existing levels: all are dealt by ranges of suffixes, and a task
+walks its range and looks at neighbours. Entries with equal runs are repeats at once; where suffixes
+agree in GRAM bytes and the runs differ, the windows of each different run are compared. Ranges split
+even a single very common suffix; what lies at the edge of a range is compared in any case. Levels of
+equal rank then merge into one of the next rank, so a family of n batches has at most log2(n) + 1
+levels and rewrites each entry as often. Where a scan holds just the levels that merge, the array that
+it wrote is the new level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.shared import small_batches, table, text_hash
+from quorumlake.llm.shared import drop_table, small_batches, table, text_hash
 
 LENGTH, GRAM = 400, 128
 _WINDOW = LENGTH - GRAM + 1
@@ -57,7 +63,10 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def entries(raw: bytes) -> np.ndarray:
-    """(rows, 5): prefix hash, two hashes of the run's bytes, first and last window of the run."""
+    """(rows, 4): first bytes in byte order, prefix hash, hash of the run's bytes, its windows.
+
+    Windows are first << 32 | last, by where they start.
+    """
     out = []
     for at in range(0, max(0, len(raw) - LENGTH + 1), _CHUNK):
         x = np.frombuffer(raw, np.uint8)[at : at + _CHUNK + LENGTH - 1]
@@ -71,9 +80,15 @@ def entries(raw: bytes) -> np.ndarray:
             a = (a ^ (a >> np.uint64(31))) * _ODD[0] + part
             b = (b ^ (b >> np.uint64(27))) * _ODD[1] + (part ^ (part >> np.uint64(33)))
         # runs of different length are different even where their blocks agree
-        a += (last - first).astype(np.uint64)
-        out.append(np.stack([h[chosen[first]].view(np.int64), a.view(np.int64), b.view(np.int64), first + at, last + at], 1))
-    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+        a = (a ^ (a >> np.uint64(29))) * _ODD[2] + b + (last - first).astype(np.uint64)
+        place = chosen[first]
+        lead = np.zeros(len(first), np.uint64)
+        for k in range(8):
+            lead = (lead << np.uint64(8)) | x[place + k].astype(np.uint64)
+        # signed order of the flipped number is byte order
+        lead ^= np.uint64(1 << 63)
+        out.append(np.stack([lead.view(np.int64), h[place].view(np.int64), a.view(np.int64), (first + at) << 32 | (last + at)], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -91,25 +106,66 @@ def _utf8(texts: pd.Series) -> list[bytes]:
 
 
 
+#: A suffix array's columns.
+ENTRY = ("lead", "gram", "run", "doc_id", "th", "windows")
+
 
-def suffix_array(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, gram, a, b, i, j) of docs (doc_id, th, text), by gram within each part."""
+def suffixes(docs: DataFrame) -> DataFrame:
+    """The entries, ENTRY, of docs (doc_id, th, text), in no order yet."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<array<long>>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([list(entries(x).T) for x in _utf8(texts)])
 
-    rows = docs.select("doc_id", "th", of("text").alias("e")).where(F.size("e") == 5)
-    rows = rows.select("doc_id", "th", F.explode(F.arrays_zip(*[F.col("e")[k].alias(c) for k, c in enumerate("xabij")])).alias("e"))
-    rows = rows.select("doc_id", "th", F.col("e.x").alias("gram"), "e.a", "e.b", F.col("e.i").cast("int").alias("i"), F.col("e.j").cast("int").alias("j"))
-    return rows.sortWithinPartitions("gram")
-
-
+    rows = docs.select("doc_id", "th", of("text").alias("e"))
+    e = F.arrays_zip(*[F.col("e")[k].alias(c) for k, c in enumerate(("lead", "gram", "run", "windows"))])
+    rows = rows.where(F.size("e") == 4).select("doc_id", "th", F.explode(e).alias("e"))
+    return rows.select("doc_id", "th", "e.*").select(*ENTRY)
 
 
+#: Entries in a range, about: what a task that scans holds at once.
+RANGE = 250_000
 #: Runs of one prefix that a task compares by itself; the windows of more common prefixes are spread.
 COMMON = 10_000
+SCANNED = "lead long, gram long, run long, doc_id long, th long, windows long, own boolean, again boolean, stands boolean, common boolean"
+
+
+def merge_scan(pool: DataFrame, rows: int) -> DataFrame:
+    """The suffix array of pool (ENTRY and own: whether of the new batch), with what a scan finds.
+
+    again: the run equals a neighbour's. stands: the entry stands for its run among runs to compare.
+    common: those runs are too many for one task, or lie at the edge of a range. Groups of equal
+    prefixes without an entry of the new batch were scanned before and are passed over.
+    """
+    key = [*ENTRY, "own"]
+    pool = pool.select(*key).repartitionByRange(rows // RANGE + 1, *ENTRY).sortWithinPartitions(*ENTRY)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        lead, gram, run, own = (t[c].to_numpy() for c in ("lead", "gram", "run", "own"))
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (lead[1:] != lead[:-1])]
+        other = new | np.r_[True, run[1:] != run[:-1]]
+        at, runs_at = np.flatnonzero(new), np.flatnonzero(other)
+        group, of_run = np.cumsum(new) - 1, np.cumsum(other) - 1
+        runs = np.add.reduceat(other.astype(np.int64), at)
+        edge = np.zeros(len(at), bool)
+        edge[[0, -1]] = True
+        # what the neighbouring range holds isn't known here
+        asked = np.logical_or.reduceat(own, at) | edge
+        again = (np.diff(np.r_[runs_at, len(run)]) > 1)[of_run] & asked[group]
+        stands = other & (asked & ((runs > 1) | edge))[group]
+        common = (edge | (runs > COMMON))[group]
+        for name, flag in (("again", again), ("stands", stands), ("common", common)):
+            t = t.append_column(name, pa.array(flag))
+        yield from t.to_batches(max_chunksize=50_000)
+
+    return pool.mapInArrow(walk, SCANNED)
+
+
 #: Bits of a filter on documents, whatever their number, and the keys up to which it is of use.
 FILTER_BITS, FILTER_KEYS = 1 << 26, 1 << 23
 _CHUNK_BITS = 1 << 15
@@ -147,47 +203,37 @@ def maybe_in(docs: DataFrame, keys: DataFrame):
     return held(_slot())
 
 
-def matches(pool: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, s, e): byte ranges of repeats among the entries of pool, made of docs (doc_id, th, text)."""
-    # counts are written before they are joined, so that a join is a plain one and hot prefixes can be split
-    shared = table(pool.groupBy("gram").count().where("count > 1").select("gram"), "shared-prefixes")
-    held = table(pool.join(shared, "gram", "left_semi"), "shared-entries")
-    who = F.struct("doc_id", "th", "i", "j")
-    runs = table(held.groupBy("gram", "a", "b").agg(F.count("*").alias("n"), F.min(who).alias("r")), "runs")
-    equal = held.join(runs.where("n > 1").select("a", "b", "gram"), ["a", "b", "gram"], "left_semi")
-    whole = equal.select(F.col("doc_id").cast("long").alias("doc_id"), "th", F.col("i").alias("s"), (F.col("j") + LENGTH).alias("e"))
-
-    differ = table(runs.groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > COMMON).alias("common")), "prefixes-of-several-runs")
-    own = runs.join(differ, "gram").select("gram", "common", "r.*", (F.col("n") > 1).alias("done"))
-    per_doc = table(own.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "common", "i", "j", "done")).alias("w")), "runs-by-document")
+def compared(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, th, s, e): byte ranges of equal windows of runs (gram, common, doc_id, th, windows) of docs (doc_id, th, text)."""
+    per_doc = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("gram", "common", "windows")).alias("w"))
+    per_doc = table(per_doc, "runs-by-document")
 
     @F.pandas_udf("array<binary>")
     def regions(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([[x[w["i"] : w["j"] + LENGTH] for w in ws] for x, ws in zip(_utf8(texts), wanted)])
+        return pd.Series([[x[w["windows"] >> 32 : (w["windows"] & 0xFFFFFFFF) + LENGTH] for w in ws] for x, ws in zip(_utf8(texts), wanted)])
 
     # a repeated row has its regions once for each
     texts = docs.select("doc_id", "th", "text").where(maybe_in(docs, per_doc)).select(F.col("doc_id").alias("doc"), F.col("th").alias("h"), "text")
     met = texts.join(per_doc, texts["doc"].eqNullSafe(per_doc["doc_id"]) & (texts["h"] == per_doc["th"]))
     met = met.select(F.col("doc_id").cast("string").alias("doc_id"), "th", F.explode(F.arrays_zip("w", regions("text", "w").alias("x"))).alias("y"))
-    met = met.select("doc_id", "th", "y.w.*", "y.x")
-    common = differ.where("common").limit(1).count() > 0
-    met = table(met, "regions") if common else met
+    i, j = F.shiftright("y.w.windows", 32), F.col("y.w.windows").bitwiseAND(F.lit(0xFFFFFFFF))
+    met = table(met.select("doc_id", "th", "y.w.gram", "y.w.common", i.alias("i"), j.alias("j"), "y.x"), "regions")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        b = pd.concat(got, ignore_index=True)
-        b = b.iloc[np.argsort(b["gram"].to_numpy(), kind="stable")]
-        gram = b["gram"].to_numpy()
-        ends = np.flatnonzero(np.r_[gram[1:] != gram[:-1], True]) + 1
-        windows = np.cumsum((b["j"] - b["i"] + 1).to_numpy())
-        at = 0
-        while at < len(b):
-            base = windows[at - 1] if at else 0
-            upto = int(ends[min(len(ends) - 1, max(np.searchsorted(ends, at, "right"), np.searchsorted(windows[ends - 1], base + _AT_ONCE)))])
-            yield from _compare(b.iloc[at:upto])
-            at = upto
+        held, windows = [], 0
+        for b in batches:
+            held.append(b)
+            windows += int((b["j"] - b["i"] + 1).sum())
+            if windows >= _AT_ONCE:
+                b = pd.concat(held, ignore_index=True)
+                # the last prefix may go on in the next batch
+                at = int(np.argmax(b["gram"].to_numpy() == b["gram"].iloc[-1]))
+                if at:
+                    yield from _compare(b.iloc[:at])
+                held = [b.iloc[at:]]
+                windows = int((held[0]["j"] - held[0]["i"] + 1).sum())
+        if held and sum(map(len, held)):
+            yield from _compare(pd.concat(held, ignore_index=True))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -195,15 +241,14 @@ def matches(pool: DataFrame, docs: DataFrame) -> DataFrame:
                 part = b.iloc[k : k + 2000]
                 owner, step, one, two = _windows(part)
                 rows = part.iloc[owner]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "th": rows["th"], "done": rows["done"], "s": (rows["i"].to_numpy() + step).astype(np.int32), "one": one.view(np.int64), "two": two.view(np.int64)})
+                yield pd.DataFrame({"doc_id": rows["doc_id"], "th": rows["th"], "s": (rows["i"].to_numpy() + step).astype(np.int32), "one": one.view(np.int64), "two": two.view(np.int64)})
 
-    spans = met.where("not common").repartition("gram").mapInPandas(compare, "doc_id string, th long, s int, e int")
-    if common:
-        each = met.where("common").mapInPandas(spread, "doc_id string, th long, done boolean, s int, one long, two long")
-        again = table(each.groupBy("one", "two").count().where("count > 1").select("one", "two"), "common-windows")
-        more = each.where("not done").join(again, ["one", "two"], "left_semi")
-        spans = spans.unionByName(more.select("doc_id", "th", "s", (F.col("s") + LENGTH).cast("int").alias("e")))
-    return whole.unionByName(spans.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "s", "e"))
+    few = met.where("not common").select("doc_id", "th", "gram", "i", "j", "x").repartition("gram").sortWithinPartitions("gram")
+    spans = few.mapInPandas(compare, "doc_id string, th long, s int, e int")
+    each = met.where("common").mapInPandas(spread, "doc_id string, th long, s int, one long, two long")
+    twice = table(each.groupBy("one", "two").count().where("count > 1").select("one", "two"), "common-windows")
+    more = each.join(twice, ["one", "two"], "left_semi").select("doc_id", "th", "s", (F.col("s") + LENGTH).cast("int").alias("e"))
+    return spans.unionByName(more).select(F.col("doc_id").cast("long").alias("doc_id"), "th", "s", "e")
 
 
 def _windows(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +267,6 @@ def _compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Ranges that windows equal to another's cover, of rows of whole prefix groups."""
     owner, step, one, two = _windows(b)
     again = repeated((one ^ (one >> np.uint64(30))) * _ODD[5] + two)
-    again &= ~b["done"].to_numpy()[owner]
     start = again & ~np.r_[False, again[:-1] & (owner[1:] == owner[:-1])]
     end = again & ~np.r_[again[1:] & (owner[1:] == owner[:-1]), False]
     s, e = np.flatnonzero(start), np.flatnonzero(end)
@@ -232,32 +276,70 @@ def _compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "th": rows["th"].to_numpy(), "s": (i + step[s]).astype(np.int32), "e": (i + step[e] + LENGTH).astype(np.int32)})
 
 
+@dataclass
+class Level:
+    """A suffix array with its rank, its number of entries and the documents it is of."""
+
+    rank: int
+    rows: int
+    array: DataFrame
+    docs: DataFrame
+
+
 class IndexFamily:
-    """Levels of suffix arrays, each with its documents and its rank: a batch has rank 0, and two
-    levels of a rank make one of the next."""
+    """Levels of suffix arrays: a batch has rank 0, and two levels of a rank make one of the next."""
 
     def __init__(self):
-        self.levels: list[tuple[int, DataFrame, DataFrame]] = []
-
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Indexes a batch (doc_id, th, text) and returns the ranges (doc_id, th, s, e) of repeats that
-        it has with itself or with what is indexed, on both sides. A batch after which none comes need
-        not be kept."""
-        new = table(suffix_array(docs), "suffix-array")
-        grams = new.select("gram").distinct() if self.levels else None
-        pool, texts = new, docs
-        for _, old, its in self.levels:
-            pool = pool.unionByName(old.join(grams, "gram", "left_semi"))
-            texts = texts.unionByName(its)
-        found = matches(pool, texts)
-        if not keep:
-            return found
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, old, its = self.levels.pop()
-            new, docs, rank = table(new.unionByName(old).sortWithinPartitions("gram"), "suffix-array"), docs.unionByName(its), rank + 1
-        self.levels.append((rank, new, docs))
-        return found
+        self.levels: list[Level] = []
+        self.merges = 0
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Indexes a batch (doc_id, th, text) and scans it with itself and with what is indexed.
+
+        Returns the ranges (doc_id, th, s, e) of equal runs, on both sides, and the runs that compared()
+        is to take further, with the documents of the batch and all levels.
+        """
+        new = table(suffixes(docs), "suffixes")
+        rows = new.count()
+        pool, total = new.withColumn("own", F.lit(True)), rows
+        for level in self.levels:
+            pool, total = pool.unionByName(level.array.withColumn("own", F.lit(False))), total + level.rows
+        scanned = table(merge_scan(pool, total), "merge-scan")
+        drop_table(new)
+        whole = scanned.where("again").select("doc_id", "th", F.shiftright("windows", 32).cast("int").alias("s"), (F.col("windows").bitwiseAND(F.lit(0xFFFFFFFF)) + LENGTH).cast("int").alias("e"))
+        whole = table(whole, "equal-runs")
+        runs = table(scanned.where("stands").select("gram", "common", "doc_id", "th", "windows"), "runs-to-compare")
+
+        rank, merging = 0, []
+        while self.levels and self.levels[-1].rank == rank:
+            merging.append(self.levels.pop())
+            rank, docs = rank + 1, docs.unionByName(merging[-1].docs)
+        if self.levels:
+            array = scanned.where("own")
+            array, size = array.select(*ENTRY), rows + sum(level.rows for level in merging)
+            for level in merging:
+                array = array.unionByName(level.array)
+            if merging:
+                array = array.repartitionByRange(size // RANGE + 1, *ENTRY).sortWithinPartitions(*ENTRY)
+            array = table(array, "suffix-array")
+            drop_table(scanned)
+        else:
+            # the scan held just the levels that merge
+            array, size = scanned.select(*ENTRY), total
+        for level in merging:
+            drop_table(level.array)
+        self.merges += len(merging)
+        self.levels.append(Level(rank, size, array, docs))
+        return whole, runs
+
+    def repeats(self, docs: DataFrame) -> DataFrame:
+        """Indexes a batch and returns the ranges (doc_id, th, s, e) of repeats that it has with itself
+        or with what is indexed, on both sides."""
+        texts = docs
+        for level in self.levels:
+            texts = texts.unionByName(level.docs)
+        whole, runs = self.add(docs)
+        return whole.unionByName(compared(runs, texts))
 
 
 def merged(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -271,22 +353,25 @@ def merged(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, min(e, n)) for s, e in out]
 
 
-def _batches(docs: DataFrame, batches: int) -> list[DataFrame]:
-    return [docs.where(F.pmod("th", F.lit(batches)) == k) for k in range(batches)] if batches > 1 else [docs]
-
+def ranges(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
+    """docs as (doc_id, text, th), and the (s, e) byte ranges to remove of those that have any.
 
-def ranges(docs: DataFrame, batches: int = 1) -> tuple[DataFrame, DataFrame]:
-    """docs as (doc_id, text, th), and the (s, e) byte ranges to remove of those that have any."""
+    The batches are dealt by text hash. Runs that differ are compared once, after the last batch.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", text_hash())
-    family, found = IndexFamily(), None
-    parts = _batches(rows, batches)
-    for k, part in enumerate(parts):
-        own = family.add(part, keep=k + 1 < len(parts))
-        found = own if found is None else found.unionByName(own)
+    family, whole, runs = IndexFamily(), [], []
+    for k in range(batches):
+        equal, differ = family.add(rows.where(F.pmod("th", F.lit(batches)) == k))
+        whole.append(equal)
+        runs.append(differ)
+    for level in family.levels:
+        drop_table(level.array)
+    found = compared(reduce(DataFrame.unionByName, runs), rows)
+    found = reduce(DataFrame.unionByName, whole, found)
     return rows, table(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "ranges")
 
 
-def without_repeats(docs: DataFrame, batches: int = 1) -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes.
 
     A byte goes if a LENGTH-byte string that covers it also starts at another place, of any row. Null

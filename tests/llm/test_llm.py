@@ -490,9 +490,11 @@ def slow_repeats(rows, length=400):
     return out
 
 
-@pytest.mark.parametrize("batches, common, keys", [(1, 10_000, 1 << 23), (4, 10_000, 1 << 23), (1, 1, 0), (2, 2, 1 << 23)])
-def test_repeats_by_brute_force(spark, docs, batches, common, keys, monkeypatch):
+@pytest.mark.parametrize("batches, common, keys, wide", [(1, 10_000, 1 << 23, 250_000), (4, 10_000, 1 << 23, 250_000), (1, 1, 0, 40), (2, 2, 1 << 23, 300), (3, 10_000, 1 << 23, 60)])
+def test_repeats_by_brute_force(spark, docs, batches, common, keys, wide, monkeypatch):
     monkeypatch.setattr(repeats, "COMMON", common)
+    monkeypatch.setattr(repeats, "RANGE", wide)
+    monkeypatch.setattr(repeats, "_AT_ONCE", 5000)
     monkeypatch.setattr(repeats, "FILTER_KEYS", keys)
     rnd = random.Random(7)
     passage = " ".join(str(rnd.random()) for _ in range(40))
@@ -512,9 +514,25 @@ def test_levels_merge_geometrically(spark, docs):
     ranks = []
     for k in range(5):
         family.add(rows.where(F.col("doc_id") % 5 == k))
-        ranks.append([r for r, _, _ in family.levels])
+        ranks.append([level.rank for level in family.levels])
     assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
-    assert sum(x.count() for _, x, _ in family.levels) == repeats.suffix_array(rows).count()
+    assert family.merges == 3
+    assert sum(level.array.count() for level in family.levels) == sum(level.rows for level in family.levels) == repeats.suffixes(rows).count()
+
+
+def test_a_level_is_in_byte_order(spark, docs):
+    from quorumlake.llm.shared import text_hash
+
+    family = repeats.IndexFamily()
+    rows = docs.select("doc_id", "text").withColumn("th", text_hash())
+    for k in range(2):
+        family.add(rows.where(F.col("doc_id") % 2 == k))
+    raw = {r["doc_id"]: r["text"].encode() for r in rows.collect()}
+    level = [(r["lead"] + (1 << 63), r["doc_id"], r["windows"] >> 32, r["windows"] & 0xFFFFFFFF) for r in family.levels[0].array.collect()]
+    leads = [x for x, *_ in level]
+    assert leads == sorted(leads)
+    # the suffix starts in what all windows of its run have in common
+    assert all(x.to_bytes(8, "big") in raw[k][j : i + repeats.LENGTH] for x, k, i, j in level)
 
 
 # ---- pipeline
