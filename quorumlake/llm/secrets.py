@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.shared import fresh, scratch
+from quorumlake.llm.shared import fresh, scratch, table
 
 
 @dataclass(frozen=True)
@@ -96,14 +96,27 @@ class Ledger:
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
-    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
-        """Scans what versions (blob, body) hold and the ledger lacks, and appends it."""
+    def unseen(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(blob, todo): the blobs of versions (blob, body) that the ledger lacks for some rule versions, and those."""
         known = self.rows().groupBy("blob").agg(F.collect_set("rule").alias("known"))
-        blobs = versions.groupBy("blob").agg(F.first("body").alias("body"))
-        blobs = blobs.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
         names = F.array(*[F.lit(r.name) for r in rules])
-        blobs = blobs.where(F.size(F.array_except(names, "known")) > 0)
-        made = [F.when(~F.array_contains("known", r.name), F.struct(F.lit(r.name).alias("rule"), spans(F.col("body"), r).alias("spans"))) for r in rules]
+        blobs = versions.select("blob").distinct().join(known, "blob", "left")
+        blobs = blobs.select("blob", F.array_except(names, F.coalesce("known", F.array().cast("array<string>"))).alias("todo"))
+        return table(blobs.where(F.size("todo") > 0), "unseen-blobs")
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scans what versions (blob, body) hold and the ledger lacks, and appends it.
+
+        Only hashes are asked of the ledger. Texts move once the pairs to scan are known, and only
+        theirs, a text once for each of the partitions that hold it.
+        """
+        unseen = self.unseen(versions, rules)
+        if unseen.isEmpty():
+            return
+        blobs = versions.groupBy("blob").agg(F.first("body").alias("body"))
+        # as a semi join it goes below the aggregation where unseen is small enough to broadcast
+        blobs = blobs.join(unseen.select("blob"), "blob", "left_semi").join(unseen, "blob")
+        made = [F.when(F.array_contains("todo", r.name), F.struct(F.lit(r.name).alias("rule"), spans(F.col("body"), r).alias("spans"))) for r in rules]
         rows = blobs.select("blob", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x"))
         rows.select("blob", "x.rule", "x.spans").write.mode("append").parquet(self.path)
 
@@ -117,6 +130,12 @@ class Ledger:
         return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """(blob, body) of the texts of docs; null texts count as empty."""
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.sha2(body, 256).alias("blob"), body.alias("body"))
+
+
 FOUND = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -128,10 +147,10 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     out is replaced.
     """
     ledger = ledger or Ledger(docs.sparkSession)
+    ledger.scan(versions(docs), rules)
     own = [c for c in docs.columns if c.lower() != out.lower()]
     blob = fresh(docs.columns, "blob")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ledger.scan(docs.select(F.sha2(body, 256).alias("blob"), body.alias("body")), rules)
     spans_at = fresh(docs.columns, "blob_spans")
     found = ledger.findings(rules).select(F.col("blob").alias(blob), F.col("found").alias(spans_at))
     rows = docs.select(*own, F.sha2(body, 256).alias(blob)).join(found, blob, "left")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, held-out accuracy and hard cases."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -252,6 +253,28 @@ def test_redaction(spark):
     assert secrets.redact(rows.limit(0)).count() == 0
 
 
+def test_a_second_run_moves_no_text(spark, tmp_path, monkeypatch):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    rows = hard(spark).select("doc_id", "text")
+    first = secrets.scan(rows, ledger).collect()
+    files = set(os.listdir(tmp_path / "ledger"))
+
+    def never(*_):
+        raise AssertionError("a text was scanned again")
+
+    monkeypatch.setattr(secrets, "spans", never)
+    assert secrets.scan(rows, ledger).collect() == first
+    assert set(os.listdir(tmp_path / "ledger")) == files
+    monkeypatch.undo()
+    more = rows.unionByName(spark.createDataFrame([(9, "AKIA" + "A" * 16)], rows.schema))
+    unseen = ledger.unseen(secrets.versions(more))
+    assert unseen.count() == 1
+    # few unseen blobs are broadcast, and the filter by them comes before texts are dealt out
+    plan = secrets.versions(more).groupBy("blob").agg(F.first("body")).join(unseen.select("blob"), "blob", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("BroadcastHashJoin") and "SortMergeJoin" not in plan
+    assert secrets.scan(more, ledger).where("doc_id = 9 and size(found) = 1").count() == 1
+
+
 def test_secrets_stay_in_the_jvm(spark, docs):
     plan = secrets.scan(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -273,7 +296,7 @@ def distance_in(item, text):
 @settings(max_examples=60, deadline=None)
 def test_matches_are_those_within_the_budget(seed):
     rnd = random.Random(seed)
-    item = "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(20, 160)))
+    item = "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(10, 160)))
     item = decontamination.normal(item)
     bad = list(item)
     for _ in range(rnd.randrange(0, decontamination.budget(len(item)) + 4)):
@@ -281,7 +304,7 @@ def test_matches_are_those_within_the_budget(seed):
         bad[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
     text = decontamination.normal("".join(rnd.choice("abc ") for _ in range(rnd.randrange(80))) + "".join(bad) + " the end of it" * rnd.randrange(4))
     found = decontamination.Index.of([1], [item]).matches(text)
-    if len(item) >= decontamination.MIN_CHARS:
+    if len(item) >= decontamination.Q:
         edits = distance_in(item, text)
         assert bool(found) == (edits <= decontamination.budget(len(item)))
         assert not found or min(h[3] for h in found) == edits
@@ -308,7 +331,24 @@ def test_decontamination_of_hard_rows(spark):
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "MAX_ITEM_CHARS", 50)
     b = spark.createDataFrame([(k, TEXT[k:]) for k in range(4)], "item_id long, text string")
-    assert {r["item_id"] for r in decontamination.contaminated(hard(spark).where("doc_id = 1"), b).collect()} == {0, 1, 2, 3}
+    rows = hard(spark)
+    assert {r["item_id"] for r in decontamination.contaminated(rows.where("doc_id = 1"), b).collect()} == {0, 1, 2, 3}
+    monkeypatch.setattr(decontamination, "MAX_ITEM_CHARS", 1 << 20)
+    once = decontamination.clean(rows, b).collect()
+    monkeypatch.setattr(decontamination, "MAX_ITEM_CHARS", 50)
+    in_blocks = decontamination.clean(rows, b)
+    assert in_blocks.columns == rows.columns and Counter(in_blocks.collect()) == Counter(once) and len(once) == 7
+
+
+def test_items_of_any_length(spark):
+    text = "the zebra-crossing of Lyon, see zebras in a quagga herd; e4 e5 Nf3"
+    items = ["a", "zebra", "zebras", "zebr", "e4 e5", "herd;", "", "  ", "of lyon,", "quagga her", "zebra-crossing of l", "x", "E4  E5 NF3", "ossing of"]
+    want = {"a", "zebra", "zebras", "e4 e5", "herd;", "of lyon,", "quagga her", "zebra-crossing of l", "E4  E5 NF3"}
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame([(1, text), (2, "bar")], "doc_id long, text string")
+    got = decontamination.contaminated(d, b).collect()
+    assert {items[r["item_id"]] for r in got} == want and all(r["doc_id"] == 1 and r["edits"] == 0 for r in got)
+    assert all(decontamination.normal(text)[r["start"] : r["end"]] == decontamination.normal(items[r["item_id"]]) for r in got)
 
 
 # ---- 4: packing
