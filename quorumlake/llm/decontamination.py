@@ -2,27 +2,33 @@
 
 A document region within k edits of an item of m characters shares m + 1 - q - k q of the item's
 q-grams with it, on diagonals at most k apart. Shared q-grams are counted in overlapping bands of
-diagonals, bands that meet the bound are retained, and a banded alignment verifies them.
+diagonals, bands that meet the bound are retained, and a banded alignment verifies them. Items without
+a q-gram, under Q characters, are found as whole words instead.
 
-The benchmark is the stated query set: it is collected if it has at most MAX_ITEM_CHARS characters,
-and otherwise scanned in blocks of that size, one pass over the documents for each.
+The benchmark is the stated query set: it is scanned in blocks of MAX_ITEM_CHARS characters, one pass
+over the documents for each. A block is read, broadcast, used and released before the next is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.shared import fresh, small_batches
+from quorumlake.llm.shared import fresh, small_batches, table, text_hash
 
-Q, EDITS, MIN_CHARS = 10, 0.08, 20
+Q, EDITS = 10, 0.08
 #: Characters of benchmark items that one pass over the documents takes.
 MAX_ITEM_CHARS = 8_000_000
 _MASK_BITS = 22
+# a word, or a lone character that is none
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]")
 
 
 def normal(text: str | None) -> str:
@@ -97,7 +103,7 @@ def align(item: np.ndarray, region: np.ndarray, most: int, first: int, last: int
 
 @dataclass
 class Index:
-    """q-grams of the items, sorted by hash, with their item and place, and a bitmap of the hashes."""
+    """q-grams of the items, sorted by hash, with their item and place, a bitmap of the hashes, and the short items by text."""
 
     ids: np.ndarray
     items: list[np.ndarray]
@@ -108,12 +114,16 @@ class Index:
     size: np.ndarray
     edits: np.ndarray
     least: np.ndarray
+    short: dict[str, list[int]]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Index:
-        items = [codes(normal(t)) for t in texts]
-        long = [k for k, x in enumerate(items) if len(x) >= MIN_CHARS]
-        ids, items = np.array([ids[k] for k in long], np.int64), [items[k] for k in long]
+        own = [normal(t) for t in texts]
+        ids, items = np.array(ids, np.int64), [codes(t) for t in own]
+        short: dict[str, list[int]] = {}
+        for k, t in enumerate(own):
+            if 0 < len(t) < Q:
+                short.setdefault(t, []).append(k)
         each = [qgrams(x) for x in items]
         grams = np.concatenate([np.zeros(0, np.uint64), *each])
         item = np.repeat(np.arange(len(items)), [len(x) for x in each])
@@ -123,13 +133,31 @@ class Index:
         bitmap[grams >> np.uint64(64 - _MASK_BITS)] = True
         size = np.array([len(x) for x in items], np.int64)
         edits = np.array([budget(len(x)) for x in items], np.int64)
-        return cls(ids, items, grams[order], item[order], place[order], bitmap, size, edits, size + 1 - Q - edits * Q)
+        return cls(ids, items, grams[order], item[order], place[order], bitmap, size, edits, size + 1 - Q - edits * Q, short)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item number, start, end, edits) in the normalised text, one for each region and item."""
-        if not len(self.grams) or not text:
+        text = normal(text)
+        return self._words(text) + self._regions(codes(text))
+
+    def _words(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Matches of the items under Q characters: whole words, or runs of them, of the text."""
+        if not self.short:
+            return []
+        out, starts, ends = [], [], []
+        for m in _WORD.finditer(text):
+            starts.append(m.start())
+            ends.append(m.end())
+        for a, s in enumerate(starts):
+            for e in ends[a : a + Q]:
+                if e - s >= Q:
+                    break
+                out += [(k, s, e, 0) for k in self.short.get(text[s:e], ())]
+        return out
+
+    def _regions(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not len(self.grams):
             return []
-        x = codes(normal(text))
         g = qgrams(x)
         at = np.flatnonzero(self.bitmap[g >> np.uint64(64 - _MASK_BITS)])
         if not len(at):
@@ -176,25 +204,31 @@ class Index:
         return found
 
 
-def _blocks(benchmark: DataFrame) -> list[Index]:
+def _blocks(benchmark: DataFrame) -> Iterator[Index]:
+    """The items in blocks, each made as it is asked for."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    out: list[Index] = []
     ids, texts, size = [], [], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
+        if size >= MAX_ITEM_CHARS:
+            yield Index.of(ids, texts)
+            ids, texts, size = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
         size += len(r["text"])
-        if size >= MAX_ITEM_CHARS:
-            out.append(Index.of(ids, texts))
-            ids, texts, size = [], [], 0
-    return [*out, Index.of(ids, texts)] if ids else out
+    yield Index.of(ids, texts)
 
 
 _MATCH = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
+def _several(benchmark: DataFrame) -> bool:
+    """Whether the items may take more than one block."""
+    return (benchmark.agg(F.sum(F.char_length(F.col("text").cast("string")))).first()[0] or 0) > MAX_ITEM_CHARS
+
+
 def _matcher(spark, index: Index):
+    """A column of matches of the column text, and the broadcast index that it needs."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(index)
 
@@ -203,28 +237,45 @@ def _matcher(spark, index: Index):
         names = ("item_id", "start", "end", "edits")
         return pd.Series([[dict(zip(names, (int(shared.value.ids[k]), *rest))) for k, *rest in shared.value.matches(t)] for t in texts])
 
-    return of(F.col("text").cast("string"))
+    return of(F.col("text").cast("string")), shared
+
+
+def _in_blocks(rows: DataFrame, benchmark: DataFrame, made, name: str) -> list[DataFrame]:
+    """made(rows, matches) for each block of the benchmark; where there are several, each is written."""
+    spark = rows.sparkSession
+    if not _several(benchmark):
+        return [made(rows, _matcher(spark, next(_blocks(benchmark)))[0])]
+    out = []
+    for index in _blocks(benchmark):
+        found, shared = _matcher(spark, index)
+        out.append(table(made(rows, found), name))
+        shared.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per match: doc_id, item_id, start, end (in the normalised text), edits.
 
-    A null or empty text matches nothing, nor does an item that is null or has under MIN_CHARS
-    normalised characters. Repeated rows give repeated matches, items of equal text one each. Without
-    documents or items the result is empty; columns other than doc_id, item_id and text are ignored.
+    A null or empty text matches nothing, nor does an item that is null or has no character but white
+    space. An item under Q characters matches where it stands as a whole word or words. Repeated rows
+    give repeated matches, items of equal text one each. Without documents or items the result is empty;
+    columns other than doc_id, item_id and text are ignored.
     """
-    rows = docs.select("doc_id", "text")
-    empty = rows.select("doc_id", F.expr(f"cast(null as {_MATCH})").alias("m")).limit(0)
-    out = [rows.select("doc_id", _matcher(docs.sparkSession, index).alias("m")) for index in _blocks(benchmark)]
-    union = empty if not out else out[0]
-    for more in out[1:]:
-        union = union.unionByName(more)
-    return union.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+    made = lambda rows, found: rows.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.*")
+    return reduce(DataFrame.unionByName, _in_blocks(docs.select("doc_id", "text"), benchmark, made, "matches"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no item matches."""
-    for index in _blocks(benchmark):
-        at = fresh(docs.columns, "benchmark_hits")
-        docs = docs.withColumn(at, F.size(F.coalesce(_matcher(docs.sparkSession, index), F.array().cast(_MATCH)))).where(F.col(at) == 0).drop(at)
-    return docs
+    if not _several(benchmark):
+        hits = fresh(docs.columns, "benchmark_hits")
+        found, _ = _matcher(docs.sparkSession, next(_blocks(benchmark)))
+        return docs.withColumn(hits, F.size(F.coalesce(found, F.array().cast(_MATCH)))).where(F.col(hits) == 0).drop(hits)
+    # equal texts share their fate, so that a text's hashes tell what goes
+    h = lambda: (text_hash(), F.sha2(F.col("text").cast("string"), 256))
+    made = lambda rows, found: rows.where(F.size(found) > 0).select(*[x.alias(c) for x, c in zip(h(), "ab")]).distinct()
+    gone = reduce(DataFrame.unionByName, _in_blocks(docs.select("text"), benchmark, made, "leaks")).distinct()
+    a, b = fresh(docs.columns, "text_a"), fresh(docs.columns, "text_b")
+    rows = docs.withColumn(a, h()[0]).withColumn(b, h()[1])
+    gone = gone.select(F.col("a").alias(a), F.col("b").alias(b))
+    return rows.join(gone, [a, b], "left_anti").select(*docs.columns)
