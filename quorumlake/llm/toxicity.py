@@ -1,8 +1,10 @@
 """Toxicity by a classifier chain over categories.
 
 The categories are predicted one after another by logistic models on hashed words; each later model
-also takes the earlier categories' log-odds, which in training come out of fold: a row's are made by
-models that never saw it. The last link of the chain is toxicity itself, as labelled.
+also takes the earlier categories' probabilities, which in training come out of fold: a row's are made by
+models that never saw it. The last link of the chain is toxicity itself, as labelled. The categories
+before it are found in the data: labelled toxic rows are clustered by the words that tell them from the
+others, the most frequent cluster first.
 """
 
 from __future__ import annotations
@@ -24,14 +26,9 @@ TRAIN_ROWS = 12_000
 BUCKETS, KEPT, FOLDS, EVIDENCE = 1 << 20, 2000, 5, 12.0
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 
-# Seed words that split toxic documents, as labelled, into categories to learn.
-SEEDS = {
-    "insult": "idiot moron clown loser fool jerk dummy imbecile",
-    "contempt": "stupid worthless pathetic useless dumb ridiculous",
-    "disgust": "disgusting scum trash filth garbage vile vermin",
-}
-CATEGORIES = (*SEEDS, "toxic")
-_SEED_BUCKETS = {name: frozenset(crc32(w.encode()) & (BUCKETS - 1) for w in words.split()) for name, words in SEEDS.items()}
+#: Clusters of toxic rows, and the words, of most evidence, that they are told by.
+KINDS, TELLING = 3, 200
+CATEGORIES = (*[f"kind_{k + 1}" for k in range(KINDS)], "toxic")
 
 
 def features(text: str | None) -> np.ndarray:
@@ -46,7 +43,7 @@ def _extract(texts: pd.Series) -> pd.Series:
 
 @dataclass
 class Link:
-    """One model: chosen buckets with weights, weights of earlier log-odds, and a bias."""
+    """One model: chosen buckets with weights, weights of earlier probabilities, and a bias."""
 
     place: np.ndarray
     words: np.ndarray
@@ -64,21 +61,67 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def evidence(rows: Rows, y: np.ndarray) -> np.ndarray:
+    """Chi-square of each bucket that goes with y more than chance has it; 0 for the others and rare ones."""
+    seen = np.bincount(rows.idx, minlength=BUCKETS).astype(float)
+    hits = np.bincount(rows.idx, y[rows.owner()], BUCKETS)
+    expected = seen * y.mean()
+    lift = np.where(hits > expected, (hits - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
+    lift[seen < 3] = 0
+    return lift
+
+
+def telling(rows: Rows, y: np.ndarray, most: int) -> np.ndarray:
+    """The buckets of clear evidence for y, in order, at most `most`."""
+    lift = evidence(rows, y)
+    place = np.flatnonzero(lift >= EVIDENCE)
+    return np.sort(place[np.argsort(-lift[place], kind="stable")[:most]])
+
+
+def kinds(rows: Rows, toxic: np.ndarray, most: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """(rows, most) of 0 and 1: the cluster of each toxic row, by the telling words it has; none without any.
+
+    Means are taken by cosine; the first is the row of most telling words, each next the row farthest
+    from those before.
+    """
+    out = np.zeros((len(rows), most))
+    if not len(toxic) or toxic.min() == toxic.max():
+        return out
+    place = telling(rows, toxic, TELLING)
+    new = np.full(BUCKETS, -1)
+    new[place] = np.arange(len(place))
+    col, who = new[rows.idx], rows.owner()
+    has = (col >= 0) & (toxic[who] > 0)
+    x = np.zeros((len(rows), len(place)))
+    x[who[has], col[has]] = 1
+    some = np.flatnonzero(x.any(1))
+    if not len(some):
+        return out
+    x = x[some] / np.linalg.norm(x[some], axis=1, keepdims=True)
+    means = [x[np.argmax((x > 0).sum(1))]]
+    while len(means) < most:
+        means.append(x[np.argmin(np.max(x @ np.array(means).T, axis=1))])
+    means = np.array(means)
+    for _ in range(rounds):
+        own = np.argmax(x @ means.T, axis=1)
+        for k in range(most):
+            if (own == k).any():
+                total = x[own == k].sum(0)
+                means[k] = total / np.linalg.norm(total)
+    rank = np.argsort(np.argsort(-np.bincount(own, minlength=most), kind="stable"), kind="stable")
+    out[some, rank[own]] = 1
+    return out
+
+
 def fit_link(rows: Rows, before: np.ndarray, y: np.ndarray, steps: int = 250, l2: float = 0.05) -> Link:
-    """Logistic regression on words that clearly go with y, found by chi-square, and on earlier log-odds."""
+    """Logistic regression on words that clearly go with y, found by chi-square, and on earlier probabilities."""
     none = np.zeros(0, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
     if not len(y) or y.min() == y.max():
         return Link(none, np.zeros(0), np.zeros(before.shape[1]), bias)
     who = rows.owner()
-    seen = np.bincount(rows.idx, minlength=BUCKETS).astype(float)
-    hits = np.bincount(rows.idx, y[who], BUCKETS)
-    expected = seen * y.mean()
-    lift = np.where(hits > expected, (hits - expected) ** 2 / np.maximum(expected * (1 - y.mean()), 1e-9), 0)
-    lift[seen < 3] = 0
-    place = np.flatnonzero(lift >= EVIDENCE)
-    place = np.sort(place[np.argsort(-lift[place], kind="stable")[:KEPT]])
+    place = telling(rows, y, KEPT)
     new = np.full(BUCKETS, -1)
     new[place] = np.arange(len(place))
     col = new[rows.idx]
@@ -107,8 +150,8 @@ class Chain:
     def probabilities(self, rows: Rows) -> np.ndarray:
         before = np.zeros((len(rows), 0))
         for link in self.links:
-            before = np.column_stack([before, link.log_odds(rows, before)])
-        return _sigmoid(before)
+            before = np.column_stack([before, _sigmoid(link.log_odds(rows, before))])
+        return before
 
 
 def fit(rows: Rows, targets: np.ndarray, categories: tuple[str, ...] = CATEGORIES) -> Chain:
@@ -121,21 +164,20 @@ def fit(rows: Rows, targets: np.ndarray, categories: tuple[str, ...] = CATEGORIE
         out = np.zeros(len(rows))
         if c + 1 < targets.shape[1]:
             for a, b in parts:
-                out[b] = fit_link(rows.take(a), before[a], y[a]).log_odds(rows.take(b), before[b])
+                out[b] = _sigmoid(fit_link(rows.take(a), before[a], y[a]).log_odds(rows.take(b), before[b]))
         links.append(fit_link(rows, before, y))
         before = np.column_stack([before, out])
     return Chain(categories, links)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Chain:
-    """Fits on documents with labels (doc_id, toxic); seeds place a toxic one in categories."""
+    """Fits on documents with labels (doc_id, toxic)."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     labels = labels.where(F.col("toxic").isin(0, 1))
     got = labelled_sample(rows, labels, ["toxic"], most, _extract, ["text"], balanced=True)
     lists, toxic = list(got["features"]), got["toxic"].to_numpy(float)
-    seeded = [[float(t and not s.isdisjoint(x.tolist())) for s in _SEED_BUCKETS.values()] for x, t in zip(lists, toxic)]
-    targets = np.column_stack([np.array(seeded).reshape(-1, len(SEEDS)), toxic])
-    chain = fit(Rows.of(lists), targets)
+    found = Rows.of(lists)
+    chain = fit(found, np.column_stack([kinds(found, toxic), toxic]))
     counts = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(counts) == 2 and 0 < toxic.sum() < len(toxic):
         # the sample's share of toxic rows is not the labels'
@@ -158,5 +200,5 @@ def score(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFra
         return pd.Series(list(model.value.probabilities(Rows.of([features(t) for t in texts]))))
 
     rows = docs.select("doc_id", chained(F.col("text").cast("string")).alias("p"))
-    rows = rows.select("doc_id", F.col("p")[len(SEEDS)].alias("score"), *[F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(SEEDS)])
+    rows = rows.select("doc_id", F.col("p")[KINDS].alias("score"), *[F.col("p")[k].alias(f"p_{c}") for k, c in enumerate(CATEGORIES[:-1])])
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
