@@ -206,7 +206,9 @@ def read(archives: DataFrame, split: int = SPLIT) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["path", "place", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     schema = "path string, place long, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
-    got = parts.repartition("path", "start").mapInPandas(scan, schema)
+    # rows of some hundred bytes stand for whole splits, so that a task gets one or few of them, whatever their size says
+    parts = table(parts, "splits")
+    got = parts.repartitionByRange(max(1, parts.count()), "path", "start").mapInPandas(scan, schema)
     number = lambda c: F.col(c).try_cast("long").alias(c)
     return got.select("path", "place", number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
