@@ -10,8 +10,9 @@ more, in fewer shards, so that the loss does not grow with the number of shards.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import defaultdict
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -118,58 +119,99 @@ def best_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds: int = 40) -> list[list[int]]:
+def _makes_room(own: list[int], gap: int, n: int) -> list[int] | None:
+    """Of sizes own, in order, the least one or two that n may be exchanged for, none if n fits; else None."""
+    if n <= gap:
+        return []
+    need, best, out = n - gap, n, None
+    at = bisect_left(own, need)
+    if at < len(own) and own[at] < best:
+        best, out = own[at], [own[at]]
+    for a, x in enumerate(own):
+        if 2 * x >= best:
+            break
+        at = bisect_left(own, need - x, lo=a + 1)
+        if at < len(own) and x + own[at] < best:
+            best, out = x + own[at], [x, own[at]]
+    return out
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
     """Moves and swaps pieces between underfull bins while the sum of squared fills rises.
 
     Each round takes the least full bin as giver. A piece of it moves to, or is exchanged for one or
-    two smaller pieces of, the underfull bin that it then fills best; what comes back is less than
-    what went, so the fuller bin gains and the giver drains until it is empty. A round that changes
-    nothing puts its giver aside.
+    two smaller pieces of, the fullest underfull bin that can take it, at least as full as the giver; what
+    comes back is less than what went, so the fuller bin gains and the giver drains until it is empty. The
+    search ends when no piece of any giver finds a partner, or when there are as few bins as the total of
+    lengths asks for.
+
+    Sizes that found no partner are remembered with the fill down to which bins were asked, and asked
+    again only of emptier bins and of bins that changed since.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    open_bins = {k for k, n in enumerate(fill) if 0 < n < limit}
-    tried = 0
-    while len(open_bins) > 1 and tried < rounds:
-        giver = min(open_bins, key=lambda k: (fill[k], k))
-        others = sorted(open_bins - {giver}, key=lambda k: (-fill[k], k))
-        changed = False
-        for i in sorted(bins[giver], key=lambda i: -size[i]):
-            done = False
-            for k in others:
-                gap = limit - fill[k]
-                if gap <= 0:
-                    continue
-                back: list[int] = []
-                if size[i] > gap:
-                    # the smallest return that makes room, of one piece or of two
-                    need, best = size[i] - gap, None
-                    own = sorted(bins[k], key=lambda j: size[j])
-                    for a, j in enumerate(own):
-                        if need <= size[j] < size[i] and (best is None or size[j] < best[0]):
-                            best = (size[j], [j])
-                        lo = bisect_left(own, need - size[j], lo=a + 1, key=lambda x: size[x])
-                        if lo < len(own) and need <= (two := size[j] + size[own[lo]]) < size[i] and (best is None or two < best[0]):
-                            best = (two, [j, own[lo]])
-                    if best is None:
-                        continue
-                    back = best[1]
-                bins[giver].remove(i)
-                for j in back:
-                    bins[k].remove(j)
-                bins[k].append(i)
-                bins[giver] += back
-                step = size[i] - sum(size[j] for j in back)
-                fill[k] += step
-                fill[giver] -= step
-                done = changed = True
-                break
-            if done and not bins[giver]:
+    own = [sorted(size[i] for i in b) for b in bins]
+    left = sum(1 for b in bins if b)
+    enough = -(-sum(size) // limit)
+    heap = [(n, k) for k, n in enumerate(fill) if 0 < n < limit]
+    heapify(heap)
+    by_fill = sorted((k for _, k in heap), key=lambda k: -fill[k])
+    barren: dict[int, int] = {}
+    aside: set[int] = set()
+
+    def partner(n: int, giver: int, below: int) -> tuple[int, list[int]] | None:
+        """The fullest bin under `below` that takes n of giver."""
+        for k in by_fill[bisect_left(by_fill, 1 - below, key=lambda k: -fill[k]) :]:
+            if fill[k] < fill[giver]:
+                return None
+            if k != giver and (back := _makes_room(own[k], limit - fill[k], n)) is not None:
+                return k, back
+        return None
+
+    def refill(k: int, n: int) -> None:
+        if 0 < fill[k] < limit:
+            at = bisect_left(by_fill, -fill[k], key=lambda j: -fill[j])
+            del by_fill[by_fill.index(k, at)]
+        fill[k] = n
+        if 0 < n < limit:
+            by_fill.insert(bisect_left(by_fill, -n, key=lambda j: -fill[j]), k)
+
+    while heap and left > enough:
+        n, giver = heappop(heap)
+        if n != fill[giver] or giver in aside:
+            continue
+        found = None
+        for x in sorted(set(own[giver]), reverse=True):
+            below = barren.get(x, limit)
+            found = partner(x, giver, below) if n < below else None
+            if found:
                 break
-        open_bins = {k for k in open_bins if 0 < fill[k] < limit}
-        if not changed:
-            open_bins.discard(giver)
-            tried += 1
+            barren[x] = min(n, below)
+        if not found:
+            aside.add(giver)
+            continue
+        k, back = found
+        for source, target, moved in ((giver, k, [x]), (k, giver, back)):
+            for m in moved:
+                i = next(i for i in bins[source] if size[i] == m)
+                bins[source].remove(i)
+                bins[target].append(i)
+                own[source].remove(m)
+                insort(own[target], m)
+        refill(k, fill[k] + x - sum(back))
+        refill(giver, fill[giver] - x + sum(back))
+        left -= not bins[giver]
+        revived = {m for m, low in barren.items() for t in (k, giver) if low <= fill[t] < limit and _makes_room(own[t], limit - fill[t], m) is not None}
+        if revived:
+            for m in revived:
+                del barren[m]
+            for t in [t for t in aside if not revived.isdisjoint(own[t])]:
+                aside.discard(t)
+                heappush(heap, (fill[t], t))
+        for t in (k, giver):
+            if 0 < fill[t] < limit:
+                aside.discard(t)
+                heappush(heap, (fill[t], t))
     return [b for b in bins if b]
 
 
