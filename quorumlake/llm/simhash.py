@@ -6,7 +6,9 @@ the shard follows only edges within the radius. With `blocks`, the keys are all
 `blocks - radius` whole blocks: at most `radius` differing bits leave that many blocks alike, so no
 link is lost.
 
-The trees go to one task each, not to all: a tree grows with the data and has no size bound.
+The trees go to one task each, not to all: a tree grows with the data and has no size bound. A shard of
+more than SHARD fingerprints is cut into blocks, and each pair of blocks is a shard of its own, so that
+what a task holds is bounded however alike the documents are.
 
 `near_dedup` links by the exact share of common shingles instead; MinHash bands only find candidates.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +32,10 @@ from quorumlake.llm.shared import fresh, small_batches, table, text_hash
 SEED = 42
 #: Pairs of fingerprint and tree node that a search holds at once.
 FRONTIER = 250_000
+#: Fingerprints of a shard, and shingles of a candidate group, beyond which it is cut into blocks.
+SHARD, GROUP = 20_000, 4_000_000
+#: Fingerprints of whole shards that a task takes at once.
+_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -191,6 +198,17 @@ def linked(f: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def _block_pairs(rows: DataFrame, key: str, node: str, blocks: str) -> DataFrame:
+    """rows with one and two, a pair of blocks of its key: a row comes once for each block its own meets.
+
+    blocks is the column of how many blocks the key has; 1 leaves a row as it is.
+    """
+    own = F.pmod(F.xxhash64(node, F.lit(1)), F.col(blocks))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    rows = rows.withColumn("own_block", own.cast("long")).withColumn("met_block", met)
+    return rows.withColumn("one", F.least("own_block", "met_block")).withColumn("two", F.greatest("own_block", "met_block")).drop("own_block", "met_block", blocks)
+
+
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     """(a, b) links that span each shard's linked groups of nodes (node, f0, ...); no pair lists."""
     lanes = _lanes(plan)
@@ -202,22 +220,40 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
                 again = np.repeat(np.arange(len(b)), keys.shape[1])
                 yield b.iloc[again].assign(shard=keys.ravel())[["shard", "node", *lanes]]
 
+    def found(b: pd.DataFrame) -> pd.DataFrame:
+        key = b[["shard", "one", "two"]].to_numpy(np.int64)
+        new = np.r_[True, (key[1:] != key[:-1]).any(1)]
+        alone = new & np.r_[new[1:], True]
+        node, f, shard = b["node"].to_numpy()[~alone], b[lanes].to_numpy(np.int64).view(np.uint64)[~alone], np.cumsum(new)[~alone]
+        label = linked(f, shard, plan.radius)
+        tied = label != np.arange(len(label))
+        return pd.DataFrame({"a": node[tied], "b": node[label[tied]]}).drop_duplicates()
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if got:
-            b = pd.concat(got, ignore_index=True)
-            shard = b["shard"].to_numpy()
-            order = np.argsort(shard, kind="stable")
-            own = shard[order]
-            alone = np.r_[True, own[1:] != own[:-1]] & np.r_[own[1:] != own[:-1], True]
-            order = order[~alone]
-            node, f = b["node"].to_numpy()[order], b[lanes].to_numpy(np.int64).view(np.uint64)[order]
-            label = linked(f, shard[order], plan.radius)
-            tied = label != np.arange(len(label))
-            yield pd.DataFrame({"a": node[tied], "b": node[label[tied]]}).drop_duplicates()
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= _AT_ONCE:
+                b = pd.concat(held, ignore_index=True)
+                # the last shard may go on in the next batch
+                same = (b[["shard", "one", "two"]] == b[["shard", "one", "two"]].iloc[-1]).all(axis=1).to_numpy()
+                at = int(np.argmax(same))
+                if at:
+                    yield found(b.iloc[:at])
+                held = [b.iloc[at:]]
+        if sum(map(len, held)):
+            yield found(pd.concat(held, ignore_index=True))
 
     schema = ", ".join(f"{c} long" for c in ("shard", "node", *lanes))
-    dealt = nodes.select("node", *lanes).mapInPandas(keyed, schema).repartition("shard")
+    dealt = nodes.select("node", *lanes).mapInPandas(keyed, schema)
+    key = F.col("shard")
+    large = table(dealt.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.ceil(F.col("count") / SHARD).alias("blocks")), "large-shards")
+    if large.isEmpty():
+        dealt = dealt.withColumn("one", F.lit(0).cast("long")).withColumn("two", F.lit(0).cast("long"))
+    else:
+        cut = dealt.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        dealt = _block_pairs(cut, "shard", "node", "blocks")
+    dealt = dealt.repartition(key, "one", "two").sortWithinPartitions("shard", "one", "two", "node")
     return dealt.mapInPandas(search, "a long, b long")
 
 
@@ -316,12 +352,61 @@ def alike(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
+def _large(asked: DataFrame) -> DataFrame:
+    """(root, blocks) of the groups of asked (root, size) with more than GROUP shingles."""
+    size = asked.groupBy("root").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP)
+    return table(size.select("root", F.ceil(F.col("size") / GROUP).alias("blocks")), "large-groups")
+
+
+def nearby(asked: DataFrame, large: DataFrame, texts: DataFrame, own_set, plan: Alike, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """asked (root, node, th, size) less rows of large groups that need no more comparison, and their links (a, b).
+
+    Each round compares every row of a group with the least node, the pivot. One minus the similarity is
+    a metric: with t the distance that links and d the least distance over t to the pivot, a row within
+    d - t of the pivot links with no row that the pivot doesn't. Such rows get their link to it and go.
+    """
+    far = 1 - plan.num / plan.den
+
+    @F.pandas_udf("double")
+    def apart(one: pd.Series, two: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for a, b in zip(one, two):
+            if b not in known:
+                known = {b: own_set(b)}
+            x, y = own_set(a), known[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            union = len(x) + len(y) - both
+            out.append(0.0 if not union else (1 - both / union) if both * plan.den < union * plan.num else min(far, 1 - both / union))
+        return pd.Series(out)
+
+    own = ["root", "node", "th", "size"]
+    rest = table(asked.join(large, "root", "left_semi").join(texts, "th").select(*own, "text"), "large-groups")
+    found = []
+    for _ in range(rounds):
+        pivot = rest.groupBy("root").agg(F.min(F.struct("node", "text")).alias("p"))
+        # written, so that it is known to be small where it is
+        pivot = table(pivot.select("root", F.col("p.node").alias("pivot"), F.col("p.text").alias("pivot_text")), "pivots")
+        met = table(rest.join(pivot, "root").select("root", "node", "pivot", apart("text", "pivot_text").alias("d")), "distances")
+        near = F.col("d") <= far
+        least = met.groupBy("root").agg(F.min(F.when(~near, F.col("d"))).alias("least"))
+        found.append(met.where(near & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        done = near & (F.col("least").isNull() | (F.col("d") < F.col("least") - far - 1e-9))
+        stay = met.join(least, "root").where(~done).select("node")
+        rest = table(rest.join(stay, "node", "left_semi"), "large-groups")
+        if rest.isEmpty():
+            break
+    return asked.join(large, "root", "left_anti").unionByName(rest.select(*own)), reduce(DataFrame.unionByName, found)
+
+
 def similar_groups(docs: DataFrame, plan: Alike = SIMILAR) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, th, component_id (smallest doc_id reachable).
 
     Links are pairs of texts whose sets of shingles have at least the plan's similarity; shingles are
     told apart by 64-bit hashes. Bands join candidates, whose texts then meet in one task per joined
-    group and are compared exactly. Wordless texts are alike; null ids are as in groups.
+    group and are compared exactly; a group of more than GROUP shingles is first thinned by nearby(),
+    and then cut into blocks, each pair of which has its task. Wordless texts are alike; null ids are as
+    in groups.
     """
     small_batches(docs.sparkSession)
     own_set = lambda t: np.unique(shingle_hashes(t, plan.words))
@@ -329,17 +414,18 @@ def similar_groups(docs: DataFrame, plan: Alike = SIMILAR) -> DataFrame:
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
         sets = [own_set(t) for t in texts]
-        return pd.Series([np.r_[np.int64(xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63), bands(x, plan)] for x in sets])
+        return pd.Series([np.r_[np.int64(xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63), len(x), bands(x, plan)] for x in sets])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = table(rows.select("doc_id", text_hash().alias("th"), keys("text").alias("k")).select("doc_id", "th", F.col("k")[0].alias("node"), F.slice("k", 2, plan.bands).alias("k")), "bands")
+    marks = table(rows.select("doc_id", text_hash().alias("th"), keys("text").alias("k")).select("doc_id", "th", F.col("k")[0].alias("node"), F.col("k")[1].alias("size"), F.slice("k", 3, plan.bands).alias("k")), "bands")
     # rows of equal sets are one node, for which the text of least hash stands
-    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("k").alias("k"))
+    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("k").alias("k"))
     nodes = table(nodes, "sets")
     shared = nodes.select("node", F.explode("k").alias("band"))
     low = shared.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
     joined = components(shared.join(low, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    asked = nodes.join(joined, "node").select("root", "node", "th")
+    asked = table(nodes.join(joined, "node").select("root", "node", "th", "size"), "candidates")
+    large = _large(asked)
     texts = rows.select(text_hash().alias("th"), "text").join(asked.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
@@ -347,7 +433,15 @@ def similar_groups(docs: DataFrame, plan: Alike = SIMILAR) -> DataFrame:
         label = alike([own_set(t) for t in group["text"]], plan.num, plan.den)
         return pd.DataFrame({"node": group["node"], "head": group["node"].to_numpy()[label]})
 
-    heads = table(asked.join(texts, "th").select("root", "node", "text").groupBy("root").applyInPandas(verify, "node long, head long"), "verified")
+    if large.isEmpty():
+        heads = table(asked.join(texts, "th").select("root", "node", "text").groupBy("root").applyInPandas(verify, "node long, head long"), "verified")
+    else:
+        asked, near = nearby(asked, large, texts, own_set, plan)
+        cut = asked.join(_large(asked), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        pairs = _block_pairs(cut, "root", "node", "blocks").join(texts, "th").select("root", "one", "two", "node", "text")
+        found = pairs.groupBy("root", "one", "two").applyInPandas(verify, "node long, head long")
+        found = found.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+        heads = components(found.unionByName(near)).withColumnRenamed("root", "head")
     placed = nodes.select("node", "least").join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
     ids = placed.groupBy("head").agg(F.min("least").alias("component_id"))
     return marks.select("doc_id", "th", "node").join(placed.join(ids, "head").select("node", "component_id"), "node").drop("node")
