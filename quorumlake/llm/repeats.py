@@ -128,15 +128,16 @@ def suffixes(docs: DataFrame) -> DataFrame:
 RANGE = 250_000
 #: Runs of one prefix that a task compares by itself; the windows of more common prefixes are spread.
 COMMON = 10_000
-SCANNED = "lead long, gram long, run long, doc_id long, th long, windows long, own boolean, again boolean, stands boolean, common boolean"
+SCANNED = "lead long, gram long, run long, doc_id long, th long, windows long, own boolean, again boolean, stands boolean, edge boolean, common boolean"
 
 
 def merge_scan(pool: DataFrame, rows: int) -> DataFrame:
     """The suffix array of pool (ENTRY and own: whether of the new batch), with what a scan finds.
 
     again: the run equals a neighbour's. stands: the entry stands for its run among runs to compare.
-    common: those runs are too many for one task, or lie at the edge of a range. Groups of equal
-    prefixes without an entry of the new batch were scanned before and are passed over.
+    common: those runs are too many for one task. edge: the prefix lies at the edge of a range, so that
+    more of its runs may lie beyond. Groups of equal prefixes without an entry of the new batch were
+    scanned before and are passed over.
     """
     key = [*ENTRY, "own"]
     pool = pool.select(*key).repartitionByRange(rows // RANGE + 1, *ENTRY).sortWithinPartitions(*ENTRY)
@@ -158,8 +159,7 @@ def merge_scan(pool: DataFrame, rows: int) -> DataFrame:
         asked = np.logical_or.reduceat(own, at) | edge
         again = (np.diff(np.r_[runs_at, len(run)]) > 1)[of_run] & asked[group]
         stands = other & (asked & ((runs > 1) | edge))[group]
-        common = (edge | (runs > COMMON))[group]
-        for name, flag in (("again", again), ("stands", stands), ("common", common)):
+        for name, flag in (("again", again), ("stands", stands), ("edge", edge[group]), ("common", (runs > COMMON)[group])):
             t = t.append_column(name, pa.array(flag))
         yield from t.to_batches(max_chunksize=50_000)
 
@@ -308,7 +308,12 @@ class IndexFamily:
         drop_table(new)
         whole = scanned.where("again").select("doc_id", "th", F.shiftright("windows", 32).cast("int").alias("s"), (F.col("windows").bitwiseAND(F.lit(0xFFFFFFFF)) + LENGTH).cast("int").alias("e"))
         whole = table(whole, "equal-runs")
-        runs = table(scanned.where("stands").select("gram", "common", "doc_id", "th", "windows"), "runs-to-compare")
+        # prefixes at edges are counted over all ranges that they span: some rows a range
+        over = scanned.where("stands and edge").groupBy("lead", "gram").count().where(F.col("count") > COMMON)
+        over = table(over.select("lead", "gram", F.lit(True).alias("over")), "common-prefixes")
+        runs = scanned.where("stands").join(over, ["lead", "gram"], "left")
+        common = F.when(F.col("edge"), F.coalesce("over", F.lit(False))).otherwise(F.col("common"))
+        runs = table(runs.select("gram", common.alias("common"), "doc_id", "th", "windows"), "runs-to-compare")
 
         rank, merging = 0, []
         while self.levels and self.levels[-1].rank == rank:

@@ -72,7 +72,10 @@ def slow_groups(ids, fps, radius):
     return [min((k for k in least[find(i)] if k is not None), default=None) for i in range(len(ids))]
 
 
-def test_fingerprints_and_groups(spark, docs):
+@pytest.mark.parametrize("shard, once", [(20_000, 100_000), (3, 50)])
+def test_fingerprints_and_groups(spark, docs, shard, once, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "_AT_ONCE", once)
     rows = hard(spark).unionByName(docs, allowMissingColumns=True)
     found = simhash.groups(rows, queries.OP7).select("doc_id", "th", "f0", "component_id").collect()
     source = rows.select("doc_id", "text").collect()
@@ -643,6 +646,34 @@ def test_near_stage_links_by_exact_similarity(spark):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+@pytest.mark.parametrize("group", [4_000_000, 700, 60])
+def test_large_groups_of_near_copies(spark, group, monkeypatch):
+    """A large group, chains that leave it step by step, and rows that meet it without a link."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rnd = random.Random(group)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(rnd.randrange(3)):
+            w[rnd.choice([0, 1, 58, 59])] = f"y{k}"
+        rows.append(w)
+    w = list(base)
+    for k in range(12):
+        w = w[3:] + [f"z{k}{i}" for i in range(3)]
+        rows.append(list(w))
+    rows += [base[:45] + [f"q{k}{i}" for i in range(10 + k)] for k in range(6)]
+    sets = [set(zip(x, x[1:], x[2:], x[3:], x[4:])) for x in rows]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = simhash.similar_groups(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(label)) and 1 < len(set(label)) < len(rows) / 2
+
+
 @given(st.randoms(use_true_random=False))
 @settings(max_examples=30, deadline=None)
 def test_alike_by_brute_force(rnd):
