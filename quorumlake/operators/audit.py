@@ -78,7 +78,7 @@ def counter_proof(s: Star, f: Filters = SHOWN) -> DataFrame:
     return f.votes(s.votos).join(own, "deliberacao_id").groupBy("ano").agg(F.count("*").alias("votos"))
 
 
-_PRESENT = """, d as (select id, agencia_id, data_reuniao from f where id % 3 = 2 and data_reuniao is not null),
+_PRESENT = """, d as (select id, agencia_id, data_reuniao from f where data_reuniao is not null),
   p as (select distinct d.id, m.diretor_id from d join mandatos m on m.agencia_id = d.agencia_id and m.data_inicio <= d.data_reuniao and (m.data_fim is null or m.data_fim >= d.data_reuniao)
     and not coalesce(m.afastado_desde <= d.data_reuniao and (m.afastado_ate is null or m.afastado_ate >= d.data_reuniao), false)),
   w as (select deliberacao_id id, diretor_id, tipo_voto from v where deliberacao_id in (select id from d) and tipo_voto <> 'Ausente')
@@ -86,7 +86,7 @@ _PRESENT = """, d as (select id, agencia_id, data_reuniao from f where id % 3 =
 
 
 def _present(s: Star) -> tuple[DataFrame, DataFrame, DataFrame]:
-    days = final(s).where("id % 3 = 2 and data_reuniao is not null").select("id", "agencia_id", "data_reuniao")
+    days = final(s).where("data_reuniao is not null").select("id", "agencia_id", "data_reuniao")
     seats = days.join(roster(days, s.mandatos), ["agencia_id", "data_reuniao"]).select("id", "diretor_id")
     votes = s.votos.where("tipo_voto <> 'Ausente'").select(F.col("deliberacao_id").alias("id"), "diretor_id").join(days.select("id"), "id", "left_semi")
     return days, seats, votes
@@ -133,10 +133,10 @@ def wrong_direction(s: Star) -> DataFrame:
 
 @query(
     "reparo_de_datas",
-    """, ref as (select agencia_id, coalesce(serie, '') serie, cast(numero_reuniao as int) k, data_reuniao from f where numero_reuniao is not null and data_reuniao is not null and year(data_reuniao) = 1996 and id % 50 = 3),
+    """, ref as (select agencia_id, coalesce(serie, '') serie, cast(numero_reuniao as int) k, data_reuniao from f where numero_reuniao is not null and data_reuniao is not null and year(data_reuniao) = 1996),
        g as (select agencia_id, serie, k, count(distinct data_reuniao) n, min(data_reuniao) dia from ref group by 1, 2, 3),
        o as (select *, lag(dia) over w antes, lead(dia) over w depois from g window w as (partition by agencia_id, serie order by k)),
-       t as (select id, agencia_id, coalesce(serie, '') serie, cast(numero_reuniao as int) k, data_reuniao from f where numero_reuniao is not null and documento_pai_id is null and id % 10 = 3)
+       t as (select id, agencia_id, coalesce(serie, '') serie, cast(numero_reuniao as int) k, data_reuniao from f where numero_reuniao is not null and documento_pai_id is null)
        select t.id, case when n > 1 then 'referencia_ambigua' when dia <= antes or dia >= depois then 'fora_da_ordem_da_serie' when dia = t.data_reuniao then 'ja_certa' else 'corrigir' end motivo,
          case when n = 1 and not coalesce(dia <= antes or dia >= depois, false) then dia end para from t join o using (agencia_id, serie, k)""",
 )
@@ -145,11 +145,11 @@ def date_repair(s: Star) -> DataFrame:
     def keyed(df: DataFrame, *more) -> DataFrame:
         return df.where("numero_reuniao is not null").select("agencia_id", F.coalesce("serie", F.lit("")).alias("serie"), T.ordinal(F.col("numero_reuniao")).alias("k"), "data_reuniao", *more)
 
-    ref = keyed(final(s).where(F.col("data_reuniao").isNotNull() & (F.year("data_reuniao") == 1996) & (F.col("id") % 50 == 3)))
+    ref = keyed(final(s).where(F.col("data_reuniao").isNotNull() & (F.year("data_reuniao") == 1996)))
     g = ref.groupBy("agencia_id", "serie", "k").agg(F.count_distinct("data_reuniao").alias("n"), F.min("data_reuniao").alias("dia"))
     w = Window.partitionBy("agencia_id", "serie").orderBy("k")
     o = g.select("*", F.lag("dia").over(w).alias("antes"), F.lead("dia").over(w).alias("depois"))
-    t = keyed(final(s).where("documento_pai_id is null and id % 10 = 3"), "id")
+    t = keyed(final(s).where("documento_pai_id is null"), "id")
     order = F.coalesce((F.col("dia") <= F.col("antes")) | (F.col("dia") >= F.col("depois")), F.lit(False))
     say = F.when(F.col("n") > 1, "referencia_ambigua").when(order, "fora_da_ordem_da_serie").when(F.col("dia") == F.col("data_reuniao"), "ja_certa").otherwise("corrigir")
     return t.join(o, ["agencia_id", "serie", "k"]).select("id", say.alias("motivo"), F.when((F.col("n") == 1) & ~order, F.col("dia")).alias("para"))

@@ -48,14 +48,14 @@ def listed_links(s: Star) -> DataFrame:
 @query(
     "itens_das_atas",
     """select agencia_id || '-' || numero_reuniao file, '50500.' || id || '/1996' processo, interessado, case when resultado is null then null else resultado end resultado
-       from deliberacoes where tipo_documento = 'ata' and numero_reuniao is not null and id % 3 = 0""",
+       from deliberacoes where tipo_documento = 'ata' and numero_reuniao is not null""",
 )
 def minutes_items(s: Star) -> DataFrame:
     """#136 and the splitter: minutes are put together from decisions and split into items again."""
     k = F.col("id").cast("string")
     words = F.coalesce(F.lower("resultado"), F.lit("em debate"))
     lines = F.concat(F.lit(". Processo nº 50500."), k, F.lit("/1996\nInteressado: "), F.col("interessado"), F.lit("\nDecisão: "), words, F.lit(".\n"))
-    rows = s.deliberacoes.where("tipo_documento = 'ata' and numero_reuniao is not null and id % 3 = 0")
+    rows = s.deliberacoes.where("tipo_documento = 'ata' and numero_reuniao is not null")
     minutes = rows.groupBy(F.concat_ws("-", F.col("agencia_id").cast("string"), "numero_reuniao").alias("file")).agg(F.array_sort(F.collect_list(F.struct("id", lines.alias("x")))).alias("l"))
     body = F.array_join(F.transform("l", lambda x, n: F.concat(F.lit("1."), (n + 1).cast("string"), x["x"])), "")
     split = items.items(minutes.select("file", F.concat(F.lit("ATA DA REUNIÃO\n"), body, F.lit("ENCERRAMENTO\nfim")).alias("text")))

@@ -46,10 +46,10 @@ def global_position(s: Star, width: int = 10) -> DataFrame:
     return inside.join(before, "p").select("id", (F.col("k") + F.col("antes")).alias("n"))
 
 
-@query("rank_com_nulos", "select agencia_id, media, case when media is not null then row_number() over (order by media desc nulls last, agencia_id) end posicao from (select a.id agencia_id, cast(sum(cast(f.extraction_confidence as decimal(18,4))) as double) / nullif(count(f.extraction_confidence), 0) media from agencias a left join f on f.agencia_id = a.id and f.id % 3 = 0 and a.id % 4 <> 0 group by 1)")
+@query("rank_com_nulos", "select agencia_id, media, case when media is not null then row_number() over (order by media desc nulls last, agencia_id) end posicao from (select a.id agencia_id, cast(sum(cast(f.extraction_confidence as decimal(18,4))) as double) / nullif(count(f.extraction_confidence), 0) media from agencias a left join f on f.agencia_id = a.id and a.id % 4 <> 0 group by 1)")
 def rank_measured(s: Star) -> DataFrame:
     """#115: rank of what was measured; the others have none. One row per agency by then."""
-    own = final(s).where("id % 3 = 0 and agencia_id % 4 <> 0").groupBy("agencia_id").agg(P.mean(F.col("extraction_confidence")).alias("media"))
+    own = final(s).where("agencia_id % 4 <> 0").groupBy("agencia_id").agg(P.mean(F.col("extraction_confidence")).alias("media"))
     rows = s.agencias.select(F.col("id").alias("agencia_id")).join(own, "agencia_id", "left")
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("media"), "agencia_id"))
     return rows.select("agencia_id", "media", F.when(F.col("media").isNotNull(), rank).alias("posicao"))
@@ -185,11 +185,11 @@ def stratified_sample(s: Star, per_agency: int = 5, seed: str = "auditoria") ->
     return chosen.select("agencia_id", F.explode(F.aggregate("lista", F.col("c"), fill)).alias("x")).select("agencia_id", "x.*")
 
 
-@query("uniao_discriminada", "select 'decisao' origem, id, data_reuniao dia, cast(null as varchar) tipo from f where id % 50 = 0 union all select 'voto', deliberacao_id, cast(null as date), tipo_voto from v where deliberacao_id % 50 = 0")
+@query("uniao_discriminada", "select 'decisao' origem, id, data_reuniao dia, cast(null as varchar) tipo from f union all select 'voto', deliberacao_id, cast(null as date), tipo_voto from v")
 def union_tagged(s: Star) -> DataFrame:
     """#129: UNION ALL with a discriminator and nulls for what a side lacks."""
-    a = final(s).where("id % 50 = 0").select(F.lit("decisao").alias("origem"), "id", F.col("data_reuniao").alias("dia"))
-    b = s.votos.where("deliberacao_id % 50 = 0").select(F.lit("voto").alias("origem"), F.col("deliberacao_id").alias("id"), F.col("tipo_voto").alias("tipo"))
+    a = final(s).select(F.lit("decisao").alias("origem"), "id", F.col("data_reuniao").alias("dia"))
+    b = s.votos.select(F.lit("voto").alias("origem"), F.col("deliberacao_id").alias("id"), F.col("tipo_voto").alias("tipo"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -205,10 +205,10 @@ def semi_join(s: Star) -> DataFrame:
     return final(s).select("id").join(s.votos.where(P.is_nominal()).select(F.col("deliberacao_id").alias("id")), "id", "left_semi")
 
 
-@query("lote_com_lista", "select id, resultado from deliberacoes where id in (select o_orderkey from orders where o_orderkey % 97 = 0)")
+@query("lote_com_lista", "select id, resultado from deliberacoes where id in (select event_id from events)")
 def batched_lookup(s: Star) -> DataFrame:
     """#3: an IN list of any length, as a semi-join."""
-    wanted = s.deliberacoes.where("id % 97 = 0").select("id")
+    wanted = s.table("events").select(F.col("event_id").cast("long").alias("id"))
     return s.deliberacoes.join(wanted, "id", "left_semi").select("id", "resultado")
 
 
@@ -229,19 +229,19 @@ def filtered_aggregates(s: Star) -> DataFrame:
     return out.where("p > 10").drop("p")
 
 
-@query("embutidos", "select f.id, string_agg(v.diretor_id || ':' || v.tipo_voto, ';' order by v.diretor_id) votos from f left join v on v.deliberacao_id = f.id where f.id % 20 = 1 group by 1")
+@query("embutidos", "select f.id, string_agg(v.diretor_id || ':' || v.tipo_voto, ';' order by v.diretor_id) votos from f left join v on v.deliberacao_id = f.id group by 1")
 def embedded(s: Star) -> DataFrame:
     """#48, #50: decisions with their votes as a nested, ordered list."""
-    own = final(s).where("id % 20 = 1").select("id")
+    own = final(s).select("id")
     votes = s.votos.groupBy(F.col("deliberacao_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("diretor_id", "tipo_voto"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: F.concat(x["diretor_id"].cast("string"), F.lit(":"), x["tipo_voto"])), ";")
     return own.join(votes, "id", "left").select("id", text.alias("votos"))
 
 
-@query("unnest_ordinality", "select id, n, cast(parte as varchar) parte from (select id, unnest(string_split(interessado, '#')) parte, unnest(range(1, len(string_split(interessado, '#')) + 1)) n from f where id % 100 = 1)")
+@query("unnest_ordinality", "select id, n, cast(parte as varchar) parte from (select id, unnest(string_split(interessado, '#')) parte, unnest(range(1, len(string_split(interessado, '#')) + 1)) n from f)")
 def exploded(s: Star) -> DataFrame:
     """#63: array elements as rows with their position, from 1."""
-    rows = final(s).where("id % 100 = 1").select("id", F.posexplode(F.split("interessado", "#")).alias("k", "parte"))
+    rows = final(s).select("id", F.posexplode(F.split("interessado", "#")).alias("k", "parte"))
     return rows.select("id", (F.col("k") + 1).cast("long").alias("n"), "parte")
 
 
@@ -252,10 +252,10 @@ def labelled_left_join(s: Star) -> DataFrame:
     return final(s).join(active, "agencia_id", "left").groupBy(F.coalesce("sigla", F.lit("(sem agência)")).alias("sigla")).agg(F.count("*").alias("total"))
 
 
-@query("serie_vizinhos", "select id, lag(data_reuniao) over w anterior, lead(data_reuniao) over w seguinte from f where numero_reuniao is not null and data_reuniao is not null and id % 3 = 1 window w as (partition by agencia_id, coalesce(serie, '') order by cast(numero_reuniao as int), data_reuniao, id)")
+@query("serie_vizinhos", "select id, lag(data_reuniao) over w anterior, lead(data_reuniao) over w seguinte from f where numero_reuniao is not null and data_reuniao is not null window w as (partition by agencia_id, coalesce(serie, '') order by cast(numero_reuniao as int), data_reuniao, id)")
 def series_neighbours(s: Star) -> DataFrame:
     """#64: the dates before and after in a series."""
-    rows = final(s).where("numero_reuniao is not null and data_reuniao is not null and id % 3 = 1")
+    rows = final(s).where("numero_reuniao is not null and data_reuniao is not null")
     w = Window.partitionBy("agencia_id", F.coalesce("serie", F.lit(""))).orderBy(F.col("numero_reuniao").cast("int"), "data_reuniao", "id")
     return rows.select("id", F.lag("data_reuniao").over(w).alias("anterior"), F.lead("data_reuniao").over(w).alias("seguinte"))
 

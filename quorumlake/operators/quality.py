@@ -95,22 +95,16 @@ def dq_fields(s: Star) -> DataFrame:
     return d.select("id", F.explode(codes).alias("codigo")).withColumn("nivel", levels[F.col("codigo")])
 
 
-@query(
-    "dq_serie_monotonica",
-    """, o as (select agencia_id, coalesce(serie, '') serie, cast(numero_reuniao as int) k, data_reuniao, id from f where numero_reuniao is not null and data_reuniao is not null and id % 40 = 7),
+_MONOTONIC = """, o as (select agencia_id, coalesce(serie, '') serie, cast(numero_reuniao as int) k, data_reuniao, id from f where numero_reuniao is not null and data_reuniao is not null),
        g as (select agencia_id, serie, k, min(data_reuniao) lo, max(data_reuniao) hi from o group by 1, 2, 3),
        w as (select *, max(hi) over (partition by agencia_id, serie order by k rows between unbounded preceding and 1 preceding) antes, min(lo) over (partition by agencia_id, serie order by k rows between 1 following and unbounded following) depois from g)
-       select o.id, 'C19_SERIE_NAO_MONOTONICA' codigo, 'aviso' nivel from o join w using (agencia_id, serie, k) where data_reuniao < antes or data_reuniao > depois""",
-)
-def dq_monotonic(s: Star) -> DataFrame:
-    """C19 over the decisions that its SQL reads, which hold a single ordinal; the whole is
-    `dq_serie_monotonica_inteira`."""
-    return monotonic_findings(final(s).where("id % 40 = 7"))
+       select o.id, 'C19_SERIE_NAO_MONOTONICA' codigo, 'aviso' nivel from o join w using (agencia_id, serie, k) where data_reuniao < antes or data_reuniao > depois"""
 
 
-@query("dq_serie_monotonica_inteira")
-def dq_monotonic_whole(s: Star) -> DataFrame:
-    """C19, #117, over all final decisions."""
+@query("dq_serie_monotonica", _MONOTONIC)
+@query("dq_serie_monotonica_inteira", _MONOTONIC)
+def dq_monotonic(s: Star) -> DataFrame:
+    """C19, #117, over all final decisions; under its older name too."""
     return monotonic_findings(final(s))
 
 

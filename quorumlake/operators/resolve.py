@@ -41,11 +41,11 @@ def _names(s: Star) -> tuple[DataFrame, DataFrame]:
     register = p.groupBy(F.col("p_brand").alias("block"), F.col("p_name").alias("nome")).agg(F.min("p_partkey").alias("id"))
     t = F.split("p_name", " ")
     raw = F.concat_ws(" ", F.element_at(t, -1), F.expr("left(split(p_name, ' ')[0], greatest(length(split(p_name, ' ')[0]) - 1, 1))"))
-    return p.where("p_partkey % 10 = 0").select(raw.alias("raw"), F.col("p_brand").alias("block")), register
+    return p.select(raw.alias("raw"), F.col("p_brand").alias("block")), register
 
 
 _FUZZY = """with reg as (select p_brand block, p_name nome, min(p_partkey) id from part group by 1, 2),
-  ask as (select distinct string_split(p_name, ' ')[-1] || ' ' || left(string_split(p_name, ' ')[1], greatest(length(string_split(p_name, ' ')[1]) - 1, 1)) raw, p_brand block from part where p_partkey % 10 = 0),
+  ask as (select distinct string_split(p_name, ' ')[-1] || ' ' || left(string_split(p_name, ' ')[1], greatest(length(string_split(p_name, ' ')[1]) - 1, 1)) raw, p_brand block from part),
   k as (select raw, a.block, id, array_to_string(list_sort(string_split(lower(raw), ' ')), ' ') x, array_to_string(list_sort(string_split(lower(nome), ' ')), ' ') y from ask a join reg r on r.block = a.block),
   sc as (select raw, block, id, max(case when x = y then 1e0 else 1e0 - levenshtein(x, y) / cast(greatest(length(x), length(y)) as double) end) score from k group by 1, 2, 3),
   rk as (select *, row_number() over (partition by raw, block order by score desc, id) n from sc),
@@ -94,38 +94,30 @@ def director_duplicates(s: Star, least: float = 0.95) -> DataFrame:
     return pairs.select("a", "b", T.similarity(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
 
 
-_FIND = """, novos as (select id nid, agencia_id, numero_deliberacao nn, data_reuniao nd, processo np, numero_reuniao nr from deliberacoes where id % 25 = 0),
-  velhos as (select * from deliberacoes where id % 25 <> 0)
-"""
-
-
 @query(
     "find_existing",
-    _FIND + """select nid, coalesce(
-      (select min(v.id) from velhos v where v.agencia_id = n.agencia_id and v.numero_deliberacao = n.nn and (v.data_reuniao is null or n.nd is null or year(v.data_reuniao) = year(n.nd))),
-      (select min(v.id) from velhos v where v.agencia_id = n.agencia_id and v.data_reuniao = n.nd and regexp_replace(v.numero_deliberacao, '0+(\\d)', '\\1', 'g') = regexp_replace(n.nn, '0+(\\d)', '\\1', 'g')),
-      (select min(v.id) from velhos v where v.agencia_id = n.agencia_id and v.processo = n.np and v.data_reuniao = n.nd),
-      (select min(v.id) from velhos v where v.agencia_id = n.agencia_id and v.numero_reuniao = n.nr and regexp_replace(lower(v.processo), '0+(\\d)', '\\1', 'g') = regexp_replace(lower(n.np), '0+(\\d)', '\\1', 'g'))) achado from novos n""",
+    """select nid, coalesce(
+      (select min(v.id) from deliberacoes v where v.id < n.nid and v.agencia_id = n.agencia_id and v.numero_deliberacao = n.nn and (v.data_reuniao is null or n.nd is null or year(v.data_reuniao) = year(n.nd))),
+      (select min(v.id) from deliberacoes v where v.id < n.nid and v.agencia_id = n.agencia_id and v.data_reuniao = n.nd and regexp_replace(v.numero_deliberacao, '0+(\\d)', '\\1', 'g') = regexp_replace(n.nn, '0+(\\d)', '\\1', 'g')),
+      (select min(v.id) from deliberacoes v where v.id < n.nid and v.agencia_id = n.agencia_id and v.processo = n.np and v.data_reuniao = n.nd),
+      (select min(v.id) from deliberacoes v where v.id < n.nid and v.agencia_id = n.agencia_id and v.numero_reuniao = n.nr and regexp_replace(lower(v.processo), '0+(\\d)', '\\1', 'g') = regexp_replace(lower(n.np), '0+(\\d)', '\\1', 'g'))) achado
+      from (select id nid, agencia_id, numero_deliberacao nn, data_reuniao nd, processo np, numero_reuniao nr from deliberacoes) n""",
 )
 def find_existing(s: Star) -> DataFrame:
-    """#132: each new row's existing decision: same number in a compatible year, same date and like
-    number, same process and date, same process and meeting; the first that holds. Each step is an
-    equi-join, aggregated to its least id before the next."""
-    new = s.deliberacoes.where("id % 25 = 0").select(F.col("id").alias("nid"), "agencia_id", F.col("numero_deliberacao").alias("nn"), F.col("data_reuniao").alias("nd"), F.col("processo").alias("np"), F.col("numero_reuniao").alias("nr"))
-    old = s.deliberacoes.where("id % 25 <> 0").select("id", F.col("agencia_id").alias("ag"), "numero_deliberacao", "data_reuniao", "processo", "numero_reuniao")
-    same = F.col("agencia_id") == F.col("ag")
-    years = F.col("nd").isNull() | F.col("data_reuniao").isNull() | (F.year("nd") == F.year("data_reuniao"))
-    steps = [
-        same & (F.col("nn") == F.col("numero_deliberacao")) & years,
-        same & (F.col("nd") == F.col("data_reuniao")) & (T.number_key(F.col("nn")) == T.number_key(F.col("numero_deliberacao"))),
-        same & (F.col("np") == F.col("processo")) & (F.col("nd") == F.col("data_reuniao")),
-        same & (F.col("nr") == F.col("numero_reuniao")) & (T.number_key(F.col("np")) == T.number_key(F.col("processo"))),
-    ]
-    out = new.select("nid")
-    for k, on in enumerate(steps):
-        hit = new.join(old, on).groupBy("nid").agg(F.min("id").alias(f"m{k}"))
-        out = out.join(hit, "nid", "left")
-    return out.select("nid", F.coalesce(*[F.col(f"m{k}") for k in range(len(steps))]).alias("achado"))
+    """#132: each decision's earliest one before it: same number in a compatible year, same date and like
+    number, same process and date, same process and meeting; the first that holds. The least id of a key
+    tells whether any comes before, so that no row meets all others of its key."""
+    k = T.number_key
+    rows = s.deliberacoes.select("id", "agencia_id", "numero_deliberacao", F.year("data_reuniao").alias("ano"), "data_reuniao", "processo", "numero_reuniao", k(F.col("numero_deliberacao")).alias("numero"), k(F.col("processo")).alias("p"))
+    own = ["agencia_id", "numero_deliberacao"]
+    by_year = rows.groupBy(*own, "ano").agg(F.min("id").alias("m"))
+    by_number = by_year.groupBy(*own).agg(F.min("m").alias("todos"), F.min(F.when(F.col("ano").isNull(), F.col("m"))).alias("sem_ano"))
+    found = rows.join(by_number, own, "left").join(by_year, [*own, "ano"], "left").withColumn("m0", F.when(F.col("ano").isNull(), F.col("todos")).otherwise(F.least("m", "sem_ano"))).drop("m")
+    keys = [["agencia_id", "data_reuniao", "numero"], ["agencia_id", "processo", "data_reuniao"], ["agencia_id", "numero_reuniao", "p"]]
+    for n, key in enumerate(keys, 1):
+        found = found.join(rows.dropna(subset=key).groupBy(*key).agg(F.min("id").alias(f"m{n}")), key, "left")
+    before = [F.when(F.col(f"m{n}") < F.col("id"), F.col(f"m{n}")) for n in range(4)]
+    return found.select(F.col("id").alias("nid"), F.coalesce(*before).alias("achado"))
 
 
 _KEY = """case when numero_deliberacao is not null and data_reuniao is not null then 'n|' || agencia_id || '|' || numero_deliberacao || '|' || year(data_reuniao)
@@ -168,12 +160,12 @@ def migrated_votes(s: Star) -> DataFrame:
          when numero_reuniao is not null and tipo_documento in ('ata', 'pauta') then concat_ws('|', a, t, numero_reuniao)
          when processo is not null and data_reuniao is not null then concat_ws('|', a, t, lower(processo), replace(cast(data_reuniao as varchar), '-', ' ') || case when t = 'voto individual' then '|doc ' || id else '' end)
          when numero_reuniao is not null then concat_ws('|', a, t, numero_reuniao, 'doc ' || id) else concat_ws('|', a, t, 'doc ' || id) end chave
-       from (select d.*, trim(regexp_replace(lower(sigla), '[^a-z0-9]+', ' ', 'g')) a, replace(tipo_documento, '_', ' ') t from deliberacoes d join agencias on agencias.id = d.agencia_id) where id % 7 = 1""",
+       from (select d.*, trim(regexp_replace(lower(sigla), '[^a-z0-9]+', ' ', 'g')) a, replace(tipo_documento, '_', ' ') t from deliberacoes d join agencias on agencias.id = d.agencia_id)""",
 )
 def semantic_keys(s: Star) -> DataFrame:
     """#134: own number; meeting, for types that are one per meeting; process and date, with the file for
     votes; meeting and file; file; else none."""
-    rows = s.deliberacoes.where("id % 7 = 1").join(s.agencias.select(F.col("id").alias("agencia_id"), "sigla"), "agencia_id")
+    rows = s.deliberacoes.join(s.agencias.select(F.col("id").alias("agencia_id"), "sigla"), "agencia_id")
     a, t, file = T.normalize(F.col("sigla")), T.normalize(F.col("tipo_documento")), F.concat(F.lit("doc "), F.col("id").cast("string"))
     n, m, p, d = (T.normalize(F.col(c).cast("string")) for c in ("numero_deliberacao", "numero_reuniao", "processo", "data_reuniao"))
     one_per_meeting = t.isin("ata", "pauta")
@@ -216,11 +208,11 @@ def intra_ata_dedup(s: Star) -> DataFrame:
     return rows.groupBy("agencia_id", "numero_reuniao", "processo").agg(best).select(F.col("m.id").alias("id"))
 
 
-@query("enriquecer", "select o.id, coalesce(o.resultado, n.resultado) resultado, coalesce(o.processo, n.processo) processo from deliberacoes o left join deliberacoes n on n.id = o.id + 1 where o.id % 9 = 0")
+@query("enriquecer", "select o.id, coalesce(o.resultado, n.resultado) resultado, coalesce(o.processo, n.processo) processo from deliberacoes o left join deliberacoes n on n.id = o.id + 1")
 def enrich(s: Star) -> DataFrame:
     """#138: fields that are unknown take the newly known ones."""
     new = s.deliberacoes.select((F.col("id") - 1).alias("id"), F.col("resultado").alias("r"), F.col("processo").alias("p"))
-    rows = s.deliberacoes.where("id % 9 = 0").join(new, "id", "left")
+    rows = s.deliberacoes.join(new, "id", "left")
     return rows.select("id", F.coalesce("resultado", "r").alias("resultado"), F.coalesce("processo", "p").alias("processo"))
 
 
