@@ -1,80 +1,172 @@
-"""Splitting the minutes of a meeting into items: a state machine over lines, as a table function."""
+"""Splitting the minutes of a meeting into items: a tokenizer of lines and a walk over them, as a table
+function.
+
+A line is read as a number, a label and a value, each of which may lack. Numbers open items, labels name
+fields, headings close what is open.
+"""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# What opens an item, what closes a section, and the labels of fields.
-_LABEL = r"(?:Processos?|Interessad[oa]s?|Assunto|Relat(?:or|ora))\b"
-_ROMAN = re.compile(rf"^([IVXLC]+)\s*[-–.]\s*{_LABEL}", re.I)
-_NUMBER = re.compile(r"^(\d+\.\d+(?:\.\d+)?)\s*[.)]?\s*")
-_AFTER = re.compile(rf"^[-–—:.\s]*{_LABEL}", re.I)
-_SECTION = re.compile(r"^(?:MAT[ÉE]RIAS?\b|APROVA[ÇC][ÃA]O\s+D[AE]\s+ATAS?\b|ENCERRAMENTO\b|\d+\.\s*DIRETOR(?:A|[-\s]GERAL)?\b)", re.I)
-_FIELDS = {
-    "processo": re.compile(r"Processos?(?:\s*n[ºo°]?)?\s*:?\s*(\d[\d./-]+)", re.I),
-    "interessado": re.compile(r"Interessad[oa]s?\s*:\s*(.+)", re.I),
-    "assunto": re.compile(r"Assunto\s*:\s*(.+)", re.I),
-    "relator": re.compile(r"Relat(?:or|ora)\s*:\s*(.+)", re.I),
-    "decisao": re.compile(r"(?:Decis[aã]o|DELIBERA[ÇC][ÃA]O)\s*:\s*(.+)", re.I),
-}
-COLUMNS = ("item_numero", *_FIELDS, "resultado", "raw_text")
+# The words that label fields, and of those the ones that may follow an item's number.
+LABELS = {
+    "processo": "processo", "processos": "processo", "interessado": "interessado", "interessada": "interessado", "interessados": "interessado", "interessadas": "interessado", "assunto": "assunto",
+    "relator": "relator", "relatora": "relator", "decisao": "decisao", "deliberacao": "decisao",
+}
+OPENING = ("processo", "interessado", "assunto", "relator")
+# How headings between items begin.
+HEADINGS = (("materia",), ("materias",), ("aprovacao", "da", "ata"), ("aprovacao", "da", "atas"), ("aprovacao", "de", "ata"), ("aprovacao", "de", "atas"), ("encerramento",))
+OFFICES = ("diretor", "diretora")
+FIELDS = ("processo", "interessado", "assunto", "relator", "decisao")
+COLUMNS = ("item_numero", *FIELDS, "resultado", "raw_text")
+_WORD = re.compile(r"\w+")
+
+
+class Line(NamedTuple):
+    """number is that of an item, levels its depth (0: roman), label the field that follows at once."""
+
+    number: str | None
+    levels: int
+    label: str | None
+    rest: str
+
+
+def plain(text: str) -> str:
+    """Lower case without accents, character for character."""
+    return "".join(unicodedata.normalize("NFD", c)[0] for c in text).lower()
+
+
+def words(text: str, most: int) -> list[str]:
+    out = []
+    for m in _WORD.finditer(plain(text)):
+        out.append(m[0])
+        if len(out) == most:
+            break
+    return out
+
+
+def label_of(text: str) -> str | None:
+    """The field whose label text starts with, dashes and stops before it aside."""
+    first = words(text.lstrip(" \t-–—:."), 1)
+    bare = plain(text.lstrip(" \t-–—:."))
+    return LABELS.get(first[0]) if first and bare.startswith(first[0]) else None
+
+
+def read(line: str) -> Line:
+    """The parts of a line."""
+    head = line.split(maxsplit=1)[0] if line.strip() else ""
+    digits = head[: next((k for k, c in enumerate(head) if not (c.isdigit() or c == ".")), len(head))]
+    parts = digits.rstrip(".").split(".")
+    if 2 <= len(parts) <= 3 and all(parts):
+        number = ".".join(parts)
+        rest = line[len(number) :].lstrip(" \t")
+        return Line(number, len(parts), label_of(rest[1:] if rest[:1] in (".", ")") else rest), rest.lstrip(".) \t"))
+    size = next((k for k, c in enumerate(line) if c.upper() not in "IVXLC"), len(line))
+    rest = line[size:].lstrip()
+    if size and rest[:1] in ("-", "–", "."):
+        return Line(line[:size], 0, label_of(rest[1:]), rest[1:].strip())
+    return Line(None, 0, None, line)
+
+
+def heading(line: str) -> bool:
+    """Whether a line is one of HEADINGS, or a number of one level before an office."""
+    first = words(line, 3)
+    if not first or not plain(line).startswith(first[0]):
+        return False
+    if any(tuple(first[: len(h)]) == h for h in HEADINGS):
+        return True
+    return len(first) > 1 and first[0].isdigit() and line[len(first[0]) : len(first[0]) + 1] == "." and first[1] in OFFICES
+
+
+def value_after(rest: str, field: str) -> str | None:
+    """What a label gives its field: for a process the number that follows, else what follows a colon."""
+    rest = rest.strip()
+    if field != "processo":
+        return rest[1:].strip() or None if rest.startswith(":") else None
+    if rest[:1] in ("n", "N") and rest[1:2] in ("º", "o", "°"):
+        rest = rest[2:].strip()
+    rest = rest.removeprefix(":").strip()
+    size = next((k for k, c in enumerate(rest) if not (c.isdigit() or c in "./-")), len(rest))
+    return rest[:size] if size > 1 and rest[0].isdigit() else None
+
+
+def fields_of(body: list[str]) -> dict[str, str | None]:
+    """The first value of each field among the lines."""
+    out: dict[str, str | None] = dict.fromkeys(FIELDS)
+    for line in body:
+        for m in _WORD.finditer(plain(line)):
+            field = LABELS.get(m[0])
+            if field and out[field] is None and (value := value_after(line[m.end() :], field)):
+                out[field] = value.rstrip(";,.") or None
+    return out
 
 
 def result_of(text: str) -> str | None:
     """The result that a decision's words state; suspension first, then denial, then approval."""
-    low = text.lower()
-    unanimous = "unanimidade" in low and not re.search(r"n[ãa]o\s+(?:houve|por)\s+unanimidade", low)
-    if re.search(r"retirad[oa]\s+de\s+pauta|sobrestad[oa]|pedido\s+de\s+vista", low):
+    low = plain(text)
+    said = lambda *roots: any(r in low for r in roots)
+    unanimous = "unanimidade" in low and not said("nao houve unanimidade", "nao por unanimidade")
+    if said("retirado de pauta", "retirada de pauta", "sobrestado", "sobrestada", "pedido de vista"):
         return "Retirado de Pauta"
-    if re.search(r"indeferid|indeferir|negar\s+provimento|n[ãa]o\s+provid", low):
+    if said("indeferid", "indeferir", "negar provimento", "nao provid"):
         return "Indeferido"
-    if re.search(r"deferid|deferir|dar\s+provimento", low):
+    if said("deferid", "deferir", "dar provimento"):
         return "Deferido"
-    if re.search(r"aprovad[oa]|aprovar", low) or unanimous:
+    if said("aprovado", "aprovada", "aprovar") or unanimous:
         return "Aprovado por Unanimidade" if unanimous else "Aprovado"
     return None
 
 
+def blocks(text: str | None) -> Iterator[tuple[str, int, list[str]]]:
+    """(number, levels, lines) of what may be an item; lines before the first or after a heading are none's."""
+    lines = [x.strip() for x in (text or "").split("\n")]
+    open_block = None
+    for line, following in zip(lines, [*lines[1:], ""]):
+        if heading(line):
+            if open_block:
+                yield open_block
+            open_block = None
+            continue
+        own = read(line)
+        label = own.label or (label_of(following) if own.levels and not own.rest else None)
+        if own.number and label in OPENING:
+            if open_block:
+                yield open_block
+            open_block = (own.number, own.levels, [line])
+        elif open_block:
+            open_block[2].append(line)
+    if open_block:
+        yield open_block
+
+
 def split_items(text: str | None) -> list[dict]:
     """Items in order, without doubles: number and process again keep the one with a decision, then the
     longer text. Items with no field are dropped; a numbered child takes what its parent states."""
-    lines, raw, at = (text or "").split("\n"), [], None
-    for k, line in enumerate(lines):
-        line = line.strip()
-        if _SECTION.match(line):
-            at = None
-            continue
-        opened = _ROMAN.match(line)
-        if not opened and (m := _NUMBER.match(line)):
-            rest, following = line[m.end() :], lines[k + 1].strip() if k + 1 < len(lines) else ""
-            if _AFTER.match(rest) or (not rest.strip() and _AFTER.match(following)):
-                opened = m
-        if opened:
-            at = (opened[1], [line])
-            raw.append(at)
-        elif at:
-            at[1].append(line)
-    out: dict[tuple, dict] = {}
     parents: dict[str, dict] = {}
-    for number, body in raw:
-        whole = "\n".join(body).strip()
-        item = {c: (m[1].strip().rstrip(";,.") if (m := p.search(whole)) else None) for c, p in _FIELDS.items()}
-        if not any(item[c] for c in ("processo", "assunto", "interessado", "decisao")):
+    best: dict[tuple, dict] = {}
+    for number, levels, body in blocks(text):
+        item = fields_of(body)
+        if not any(item[f] for f in FIELDS if f != "relator"):
             continue
-        if number.count(".") == 1 and item["assunto"] and not item["processo"]:
+        if levels == 2 and item["assunto"] and not item["processo"]:
             parents[number] = item
             continue
-        if number.count(".") == 2 and (up := parents.get(number.rsplit(".", 1)[0])):
-            item["assunto"], item["decisao"] = item["assunto"] or up["assunto"], item["decisao"] or up["decisao"]
+        above = parents.get(number.rpartition(".")[0]) if levels == 3 else None
+        for f in ("assunto", "decisao"):
+            item[f] = item[f] or (above and above[f])
+        whole = "\n".join(body).strip()
         item |= {"item_numero": number, "raw_text": whole, "resultado": result_of(item["decisao"] or whole)}
-        old = out.get(key := (number, item["processo"]))
-        if old is None or (bool(item["decisao"]), len(whole)) > (bool(old["decisao"]), len(old["raw_text"])):
-            out[key] = item
-    return list(out.values())
+        held = best.setdefault((number, item["processo"]), item)
+        if (bool(held["decisao"]), len(held["raw_text"])) < (bool(item["decisao"]), len(whole)):
+            best[number, item["processo"]] = item
+    return list(best.values())
 
 
 def items(minutes: DataFrame, key: str = "file", text: str = "text") -> DataFrame:

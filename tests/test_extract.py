@@ -54,6 +54,11 @@ def test_small_fields(spark):
     assert one(spark, X.protocol, "SEI 48051.001234/2026-11 / pg. 2") == "48051.001234/2026-11"
     assert one(spark, X.repair_ligatures, "cole?vo e respec_vo") == "coletivo e respectivo"
     assert one(spark, X.broken_ligatures, "cole?vo") == 1
+    broken = "subs7tuir Par,cipa ins!tuto re?rado Delibera,va obje?vo norma7vo administra?vo transmi?da polí?ca adi?vo compar?lhamento rela?vo des?nado inves?mento mo?va cole?vo respec?vo compe7?vo"
+    fixed = "substituir Participa instituto retirado Deliberativa objetivo normativo administrativo transmitida política aditivo compartilhamento relativo destinado investimento motiva coletivo respectivo competivo"
+    assert one(spark, X.repair_ligatures, broken) == fixed and one(spark, X.broken_ligatures, broken) == 19 and one(spark, X.broken_ligatures, fixed) == 0
+    assert one(spark, X.repair_ligatures, "exposto,voto") == "exposto,voto"
+    assert one(spark, lambda c: X.relevance(c, 1), "Custo-benefício e Decreto 10.411") == 67
     assert one(spark, lambda c: X.relevance(c, 2), "Consulta Pública e audiência pública") == 67
     df = spark.createDataFrame([("1", None, ["x"])], "numero_deliberacao string, processo string, signatarios array<string>")
     assert df.select(X.confidence(df.columns)).first()[0] == 0.26

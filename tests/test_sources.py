@@ -38,6 +38,41 @@ def test_listing(spark):
     assert [(r["pos"], r["href"], r["titulo"], r["tipo"]) for r in files.listing(df).orderBy("pos").collect()] == [(0, "/a.pdf", "Ata da 3ª", "ata"), (1, "/x", "Pauta", "pauta")]
 
 
+def test_items_of_minutes():
+    text = """ATA DA REUNIÃO
+Processo: 1.1/2020 before any item
+I- Processo: 123.4/2020; Interessado: Via Sul Ltda.
+Assunto: Revisão
+Decisão: deferido por unanimidade.
+MATÉRIAS
+2.1 Assunto: Multas
+Deliberação: aprovar
+2.1.1. Processo nº 50500.1/2020
+Interessada: A
+2.1.2) - Processos nº: 50500.2/2020
+Decisão: pedido de vista
+3. Diretor Geral
+not an item
+4.1
+Interessado: B
+4.1
+Interessado: B
+Decisão: indeferir
+5.2 Relator: only a rapporteur
+6.1 Prose that goes on
+Encerramento
+II - Processo: 9.9 """
+    got = [(i["item_numero"], i["processo"], i["interessado"], i["assunto"], i["decisao"], i["resultado"]) for i in items.split_items(text)]
+    assert got == [
+        ("I", "123.4/2020", "Via Sul Ltda", "Revisão", "deferido por unanimidade", "Deferido"),
+        ("2.1.1", "50500.1/2020", "A", "Multas", "aprovar", "Aprovado"),
+        ("2.1.2", "50500.2/2020", None, "Multas", "pedido de vista", "Retirado de Pauta"),
+        ("4.1", None, "B", None, "indeferir", "Indeferido"),
+        ("II", "9.9", None, None, None, None),
+    ]
+    assert items.split_items(None) == items.split_items("") == []
+
+
 def test_items_table(spark):
     df = spark.createDataFrame([("f", "I- Processo: 123.4/2020\nDecisão: deferido"), ("g", None)], "file string, text string")
     assert [(r["file"], r["resultado"]) for r in items.items(df).collect()] == [("f", "Deferido")]
