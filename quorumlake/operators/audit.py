@@ -15,6 +15,7 @@ from quorumlake.operators.analytics import counted, final
 from quorumlake.operators.ordering import by_rank
 from quorumlake.operators.roster import roster
 from quorumlake.operators.votes import inferred_vote_rows
+from quorumlake.operators.ordering import positions
 from quorumlake.plans.registry import query
 from quorumlake.plans.star import Star
 
@@ -162,8 +163,8 @@ def date_repair(s: Star) -> DataFrame:
 )
 def targeted_batch(s: Star, targets: tuple[str, ...] = ("7", "113", "250"), start: int = 100, end: int = 150, ceiling: int = 60) -> DataFrame:
     """#127: rows of target numbers first, then those of the window, up to the ceiling."""
-    everyone = Window.partitionBy(F.lit(0)).orderBy("id")  # one agency's rows
-    p = final(s).where("agencia_id = 2").select("id", F.regexp_replace(F.coalesce("numero_deliberacao", F.lit("")), r"\D", "").isin(*targets).alias("alvo"), (F.row_number().over(everyone) - 1).alias("k"))
+    own = final(s).where("agencia_id = 2").select("id", F.regexp_replace(F.coalesce("numero_deliberacao", F.lit("")), r"\D", "").isin(*targets).alias("alvo"))
+    p = positions(own, "id").withColumn("k", F.col("n") - 1)
     return p.where(F.col("alvo") | F.col("k").between(start, end - 1)).orderBy(F.desc("alvo"), "id").limit(ceiling).select("id", "alvo")
 
 

@@ -16,11 +16,12 @@ from quorumlake.streaming import ingest
 
 
 def shared_folder(spark) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quorumlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quorumlake/flow-{uuid.uuid4().hex}"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +36,28 @@ def last_term(s: Star) -> DataFrame:
     return last.select("diretor_id", "m.data_inicio", "m.data_fim")
 
 
-@query("posicao_global", "select id, row_number() over (order by id) n from agencias")
-def global_position(s: Star, width: int = 10) -> DataFrame:
-    """#111: positions over a whole table, without a single sorting task: blocks of ids are numbered
-    apart, and a block's offset is the sum of the sizes before it."""
-    parts = s.agencias.select("id", F.floor(F.col("id") / width).alias("p"))
-    inside = parts.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("id")))
-    sizes = parts.groupBy("p").agg(F.count("*").alias("c"))
-    # a row per block
-    before = sizes.select("p", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("antes"))
-    return inside.join(before, "p").select("id", (F.col("k") + F.col("antes")).alias("n"))
+def positions(rows: DataFrame, key: str, out: str = "n") -> DataFrame:
+    """rows with their position, from 1, by a whole-number key; rows of one key in no fixed order.
+
+    No task sorts the table: blocks of keys, about as many as the square root of the rows, are numbered
+    apart, and a block's offset is the sum of the sizes before it, a window over a row per block.
+    """
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    if not n or low is None:
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("long"))
+    width = max(1, (high - low + 1) // max(1, math.isqrt(n)))
+    parts = rows.withColumn("block__", F.coalesce(F.floor((F.col(key) - low) / width), F.lit(-1)))
+    inside = parts.withColumn("k__", F.row_number().over(Window.partitionBy("block__").orderBy(key)))
+    sizes = parts.groupBy("block__").agg(F.count("*").alias("c__"))
+    before = F.coalesce(F.sum("c__").over(Window.partitionBy(F.lit(0)).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("block__", before.alias("before__"))
+    return inside.join(offsets, "block__").withColumn(out, F.col("k__") + F.col("before__")).drop("block__", "k__", "before__")
+
+
+@query("posicao_global", "select id, row_number() over (order by id) n from deliberacoes")
+def global_position(s: Star) -> DataFrame:
+    """#111: positions over a whole table, without a single sorting task."""
+    return positions(s.deliberacoes.select("id"), "id")
 
 
 @query("rank_com_nulos", "select agencia_id, media, case when media is not null then row_number() over (order by media desc nulls last, agencia_id) end posicao from (select a.id agencia_id, cast(sum(cast(f.extraction_confidence as decimal(18,4))) as double) / nullif(count(f.extraction_confidence), 0) media from agencias a left join f on f.agencia_id = a.id and a.id % 4 <> 0 group by 1)")
@@ -125,13 +139,15 @@ def rotating_window(total: int, size: int, minute: int) -> tuple[int, int]:
     return block * size, min(block * size + size, total)
 
 
-@query("janela_rotativa", "select diretor_id, k from (select diretor_id, row_number() over (order by diretor_id) - 1 k from mandatos) where k >= (7 % cast(ceil((select count(*) from mandatos) / 10e0) as int)) * 10 and k < (7 % cast(ceil((select count(*) from mandatos) / 10e0) as int)) * 10 + 10")
+@query(
+    "janela_rotativa",
+    "select id, k from (select id, row_number() over (order by id) - 1 k, count(*) over () n from f) where k >= (7 % cast(ceil(n / 10e0) as bigint)) * 10 and k < (7 % cast(ceil(n / 10e0) as bigint)) * 10 + 10",
+)
 def rotation(s: Star, size: int = 10, minute: int = 7) -> DataFrame:
-    """#124: the rows of the minute's block, by position."""
-    everyone = Window.partitionBy(F.lit(0))
-    rows = s.mandatos.select("diretor_id", (F.row_number().over(everyone.orderBy("diretor_id")) - 1).alias("k"), F.count("*").over(everyone).alias("n"))
-    start = F.pmod(F.lit(minute), F.ceil(F.col("n") / float(size))) * size
-    return rows.where((F.col("k") >= start) & (F.col("k") < start + size)).select("diretor_id", "k")
+    """#124: the rows of the minute's block, by position among all final decisions."""
+    rows = final(s).select("id")
+    start, end = rotating_window(rows.count(), size, minute)
+    return positions(rows, "id").select("id", (F.col("n") - 1).alias("k")).where((F.col("k") >= start) & (F.col("k") < end))
 
 
 @query("amostra_reprodutivel")
