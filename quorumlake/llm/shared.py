@@ -50,7 +50,10 @@ def drop_table(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """At most ARROW_ROWS rows an Arrow batch in this session; plans are lazy, so it can't be set back here."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
