@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import signal
+import threading
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +34,15 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def zip_entries(archives: DataFrame, most: int = 200, most_bytes: int = 200 << 20) -> DataFrame:
-    """(path, entry, content) of PDF entries of ZIP archives, up to a count and a total size each."""
+    """(path, entry, content, truncated) of PDF entries of ZIP archives, up to a count and a total size each.
+
+    truncated: the archive has more than that; one without room for any entry is a row without entry.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                rows, total = [], 0
+                rows, total, more = [], 0, False
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for info in z.infolist():
@@ -44,15 +50,41 @@ def zip_entries(archives: DataFrame, most: int = 200, most_bytes: int = 200 << 2
                                 continue
                             total += info.file_size
                             if len(rows) >= most or total > most_bytes:
+                                more = True
                                 break
                             data = z.read(info)
                             if data[:5] == b"%PDF-":
                                 rows.append((path, info.filename, data))
                 except (zipfile.BadZipFile, zlib.error, EOFError):
                     continue
-                yield pd.DataFrame(rows, columns=["path", "entry", "content"])
+                if more and not rows:
+                    rows.append((path, None, None))
+                yield pd.DataFrame(rows, columns=["path", "entry", "content"]).assign(truncated=more)
+
+    return archives.where("kind = 'zip'").select("path", "content").mapInPandas(run, "path string, entry string, content binary, truncated boolean")
+
+
+class OutOfTime(Exception):
+    pass
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """Raises OutOfTime in the block after so many seconds; where no signal can be set, there is no limit."""
+
+    def stop(*_):
+        raise OutOfTime
 
-    return archives.where("kind = 'zip'").select("path", "content").mapInPandas(run, "path string, entry string, content binary")
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
@@ -93,10 +125,11 @@ def pdf_text(content: bytes) -> tuple[str, int]:
     return text, len(re.findall(rb"/Type\s*/Page\b(?!s)", content))
 
 
-def pdf_texts(documents: DataFrame) -> DataFrame:
-    """(path, sha256, texto, paginas, chars_por_pagina) of PDF files; unreadable ones have no text.
+def pdf_texts(documents: DataFrame, seconds: float = 20.0, read=pdf_text) -> DataFrame:
+    """#7, #8: (path, sha256, texto, paginas, chars_por_pagina) of PDF files; unreadable ones have no text.
 
-    A file that breaks is a row, not a failed task.
+    A file that breaks, or takes more seconds than that, is a row, not a failed or stuck task. read makes
+    (text, pages) of a file's bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +137,9 @@ def pdf_texts(documents: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(b["path"], b["content"]):
                 try:
-                    text, pages = pdf_text(bytes(content))
-                except (ValueError, re.error):
+                    with time_limit(seconds):
+                        text, pages = read(bytes(content))
+                except (ValueError, re.error, OutOfTime):
                     text, pages = "", 0
                 rows.append((path, hashlib.sha256(bytes(content)).hexdigest(), text, pages, len(text) / max(1, pages)))
             yield pd.DataFrame(rows, columns=["path", "sha256", "texto", "paginas", "chars_por_pagina"])

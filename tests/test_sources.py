@@ -29,7 +29,39 @@ def test_files(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1]: r["kind"] for r in found.collect()} == {"a.pdf": "pdf", "b.html": "html", "broken.pdf": "pdf", "c.zip": "zip", "d.zip": "zip"}
     texts = {r["path"].rsplit("/", 1)[1]: (r["texto"], r["paginas"]) for r in files.pdf_texts(found.where("kind = 'pdf'")).collect()}
     assert texts == {"a.pdf": ("Deliberação (1)", 1), "broken.pdf": ("", 0)}
-    assert [(r["entry"]) for r in files.zip_entries(found).collect()] == ["x/voto.pdf"]
+    assert [(r["entry"], r["truncated"]) for r in files.zip_entries(found).collect()] == [("x/voto.pdf", False)]
+    assert [(r["entry"], r["truncated"]) for r in files.zip_entries(found, most=0).collect()] == [(None, True)]
+
+    def slow(content):
+        import time
+
+        time.sleep(30)
+        return "never", 1
+
+    late = files.pdf_texts(found.where("kind = 'pdf'"), seconds=0.2, read=slow).collect()
+    assert len(late) == 2 and all(r["texto"] == "" and r["paginas"] == 0 for r in late)
+
+
+def test_fetching_and_reading_images(spark):
+    from quorumlake.sources import external
+
+    def get(url):
+        if "down" in url:
+            raise OSError("no route")
+        return (503, b"", 0.0) if "busy" in url else (404, b"", None) if "none" in url else (200, url.encode(), None)
+
+    urls = spark.createDataFrame([(u,) for u in ("http://a/1", "http://a/busy", "http://b/none", "http://b/down", "http://a/1", "no host")], "url string")
+    got = {r["url"]: (r["status"], bytes(r["content"]), r["tries"]) for r in external.fetched(urls, get, pause=lambda s: None).collect()}
+    assert got == {"http://a/1": (200, b"http://a/1", 1), "http://a/busy": (503, b"", 3), "http://b/none": (404, b"", 1), "http://b/down": (0, b"", 3), "no host": (200, b"no host", 1)}
+
+    def ocr(data):
+        if data == b"bad":
+            raise ValueError
+        return "read " + data.decode()
+
+    texts = spark.createDataFrame([("a", b"x", "", 0.0), ("b", b"bad", "", None), ("c", b"y", "long", 400.0)], "path string, content binary, texto string, chars_por_pagina double")
+    got = {r["path"]: (r["texto"], r["origem"]) for r in external.with_ocr(texts, ocr).collect()}
+    assert got == {"a": ("read x", "ocr"), "b": ("", "pdf"), "c": ("long", "pdf")}
 
 
 def test_listing(spark):
