@@ -3,32 +3,19 @@ into items."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.plans.registry import query
-from quorumlake.plans.star import Star
+from quorumlake.plans.star import Star, shared_folder
 from quorumlake.sources import files, items
 from quorumlake.streaming import ingest
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share; a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quorumlake-")
-    return f"{base.rstrip('/')}/quorumlake/flow-{uuid.uuid4().hex}"
-
-
 @query("fluxo_de_itens", "select cast(user_id as varchar) site, props hash, min(ts) first_seen_at, max(ts) last_seen_at from events group by 1, 2", tables=False)
 def streamed_items(s: Star) -> DataFrame:
     """#157, #163, #174: the events as a file stream, merged batch by batch until none is left."""
-    folder = shared_folder(s.spark)
+    folder = shared_folder(s.spark, "flow")
     schema = s.table("events").schema
     # a stream's source is a folder or a pattern; this one matches the table alone
     stream = s.spark.readStream.schema(schema).parquet(f"{s.sf_dir}/events.parque[t]")

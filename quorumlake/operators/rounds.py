@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from quorumlake.operators import votes
 from quorumlake.operators.analytics import final
-from quorumlake.operators.flows import shared_folder
 from quorumlake.plans.registry import query
-from quorumlake.plans.star import Star
+from quorumlake.plans.star import Star, shared_folder
 from quorumlake.sources import demo, tables
 
 #: Seconds that a lane has in a round, and what is kept back for the step that ends it.
@@ -125,7 +124,7 @@ def reordered_queue(s: Star) -> DataFrame:
 @query("situacao_dos_jobs", "select user_id, arg_max(event_type, (ts, event_id)) situacao, count(*) passos from events group by 1", tables=False)
 def job_status(s: Star) -> DataFrame:
     """#165: the latest status of every job as a stream's complete output, read when it has run to its end."""
-    folder = shared_folder(s.spark)
+    folder = shared_folder(s.spark, "status")
     stream = s.spark.readStream.schema(s.table("events").schema).parquet(f"{s.sf_dir}/events.parque[t]")
     latest = stream.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m"), F.count("*").alias("passos"))
     out: list[str] = []

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, tables: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(star.from_tables(spark, sf_dir))) for name, (f, _) in _REGISTERED.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(star.stored(spark, sf_dir))) for name, (f, _) in _REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,13 +2,17 @@
 
 `Star` is what operators take: lazy DataFrames of agencies, directors, terms of office, companies,
 decisions and votes. `from_tables` derives them from the TPC-H-like tables by column expressions alone,
-so that projections and filters of an operator reach the Parquet scans. `SQL` states the same tables
-for the oracle.
+so that projections and filters of an operator reach the Parquet scans. `stored` writes the facts once,
+in buckets by decision, for all queries of an application: votes meet their decisions without a shuffle
+and lines are grouped to votes once. `SQL` states the same tables for the oracle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import tempfile
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +40,8 @@ class Star:
         return F.to_date(F.lit(TODAY))
 
 
-def from_tables(spark: SparkSession, sf_dir: str) -> Star:
+def from_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Star:
+    """The star over the tables of a folder; with buckets, facts come dealt by decision into so many parts."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = lambda x: x.cast("string")
     null = F.lit(None)
@@ -85,7 +90,10 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Star:
     )
 
     # a director votes once on a decision: the first line
-    first = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min(F.struct("l_linenumber", "l_returnflag", "l_linestatus")).alias("v"))
+    lines = t("lineitem")
+    if buckets:
+        deliberacoes, lines = deliberacoes.repartition(buckets, "id"), lines.repartition(buckets, "l_orderkey")
+    first = lines.groupBy("l_orderkey", "l_suppkey").agg(F.min(F.struct("l_linenumber", "l_returnflag", "l_linestatus")).alias("v"))
     d, p, flag = F.col("l_orderkey"), F.col("l_suppkey"), F.col("v.l_returnflag")
     tipo = F.when(flag == "A", "Desfavoravel").when(flag == "N", "Favoravel").when(F.col("v.l_linenumber") % 2 == 0, "Abstencao").otherwise("Ausente")
     votos = first.select(
@@ -97,6 +105,51 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Star:
     return Star(spark, sf_dir, agencias, diretores, mandatos, empresas, deliberacoes, votos)
 
 
+#: Bytes of source files to a bucket, about, and the least number of buckets.
+BUCKET_BYTES, BUCKETS = 128 << 20, 8
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that driver and executors share; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quorumlake-")
+    return f"{base.rstrip('/')}/quorumlake/{kind}-{uuid.uuid4().hex}"
+
+
+def _stamp(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
+    """A hash of the names, sizes and times of the files below paths, and their bytes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen, total = [], 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        found = path.getFileSystem(conf).listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+            total += f.getLen()
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16], total
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Star:
+    """The star with decisions and votes as bucketed tables, written on the application's first use.
+
+    Tables are known by the names, sizes and times of the files they are made of, so that changed files
+    make new ones.
+    """
+    key, size = _stamp(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "lineitem")])
+    buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
+    names = {kind: f"quorumlake_{spark.sparkContext.applicationId.replace('-', '_')}_{key}_{kind}" for kind in ("deliberacoes", "votos")}
+    if not all(spark.catalog.tableExists(n) for n in names.values()):
+        made = from_tables(spark, sf_dir, buckets)
+        for kind, by in (("deliberacoes", "id"), ("votos", "deliberacao_id")):
+            out = getattr(made, kind).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", shared_folder(spark, kind))
+            out.saveAsTable(names[kind])
+    return replace(from_tables(spark, sf_dir), **{kind: spark.table(n) for kind, n in names.items()})
+
+
 SQL = """
 with agencias as (
   select cast(n_nationkey as bigint) id, n_name sigla, r_name esfera, n_nationkey % 10 <> 9 ativo from nation left join region on n_regionkey = r_regionkey),
