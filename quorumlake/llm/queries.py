@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets.sql(), "op8_warc": warc.sql()}
+    return {"op2_secret_scans": secrets.sql(), "op8_warc": warc.sql(), "op9_suffix_array_dedup": repeats.sql()}

@@ -400,3 +400,22 @@ def without_repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
     some = some.select("doc_id", cut("text", "ranges").alias("c")).select("doc_id", "c.*")
     none = may.where("not may").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text", "UTF-8").alias("kept"))
     return some.unionByName(none).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
+
+
+def sql(name: str = "documents", length: int = LENGTH) -> str:
+    """DuckDB SQL for the columns of without_repeats but kept: every window of every text by its hash, told
+    apart by 64 bits; windows that recur are joined to islands, and what is left of a text is hashed."""
+    step = 400
+    return f"""
+        with d as (select row_number() over () rid, doc_id, hex(encode(coalesce(text, ''))) x from {name}),
+        l as (select *, length(x) // 2 n from d),
+        seg as (select rid, s, substr(x, 2 * s + 1, 2 * ({step} + {length} - 1)) y from (select rid, x, unnest(range(0, n - {length} + 1, {step})) s from l where n >= {length})),
+        w as (select rid, s + i p, hash(substr(y, 2 * i + 1, 2 * {length})) h from (select rid, s, y, unnest(range(0, least({step}, length(y) // 2 - {length} + 1))) i from seg)),
+        hit as (select rid, p from w where h in (select h from w group by h having count(*) > 1)),
+        g as (select rid, p, case when p <= lag(p) over (partition by rid order by p) + {length} then 0 else 1 end fresh from hit),
+        k as (select rid, p, sum(fresh) over (partition by rid order by p) k from g),
+        s as (select rid, min(p) a, max(p) + {length} b from k group by rid, k),
+        t as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) z from s),
+        u as (select rid, sum(b - a) n_removed, count(*) n_spans, max(b) z, string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' order by a) kept from t join l using (rid) group by rid)
+        select doc_id, n n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept || substr(x, 2 * u.z + 1), x))) kept_sha256
+        from l left join u using (rid)"""

@@ -207,6 +207,70 @@ def test_chain_uses_earlier_links():
     assert ((p[:, 1] > 0.5) == first.astype(bool)).all() and chain.links[1].earlier[0] > 0.1
 
 
+def test_toxicity_held_out(spark):
+    """Fitted without every third label, whose rows it is then asked."""
+    d, lab = held(spark, sf="/root/testdata/sf0.1"), held(spark, "labels", sf="/root/testdata/sf0.1")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    asked = lab.where(out)
+    chain = toxicity.train(d, lab.where(~out))
+    rows = d.join(asked, "doc_id").select("text", "toxic").collect()
+    p = chain.probabilities(toxicity.Rows.of([toxicity.features(r["text"]) for r in rows]))[:, -1]
+    y = np.array([r["toxic"] for r in rows])
+    assert (p[y == 1] >= 0.5).mean() > 0.8 and (p[y == 0] < 0.5).mean() > 0.99
+
+
+def test_chain_by_brute_force(docs, labels):
+    """A row's probabilities, link by link and word by word."""
+    chain = toxicity.train(docs, labels)
+    texts = [r["text"] for r in docs.limit(30).collect()] + [None, "", "x"]
+    got = chain.probabilities(toxicity.Rows.of([toxicity.features(t) for t in texts]))
+    for t, p in zip(texts, got):
+        words = {crc32(w.encode()) & (toxicity.BUCKETS - 1) for w in re.findall(r"[^\W\d_]+", (t or "").lower())} if t != "" else set()
+        before = []
+        for link in chain.links:
+            z = link.bias + sum(w for k, w in zip(link.place.tolist(), link.words) if k in words) + sum(a * b for a, b in zip(link.earlier, before))
+            before.append(1 / (1 + np.exp(-min(30, max(-30, z)))))
+        assert np.allclose(before, p)
+
+
+def test_machine_by_brute_force():
+    """A row's whole score with every pair of its features summed by itself."""
+    rnd = np.random.default_rng(5)
+    m = quality_fm.Machine(0.3, rnd.normal(0, 0.1, quality_fm.SIZE), rnd.normal(0, 0.2, (quality_fm.SIZE, quality_fm.RANK)))
+    lists = [rnd.choice(quality_fm.SIZE, n, replace=False) for n in (0, 1, 2, 17)]
+    values = [rnd.normal(0, 1, len(x)) for x in lists]
+    got = m.score(quality_fm.Rows.of(lists, values))
+    for x, v, g in zip(lists, values, got):
+        z = m.bias + sum(m.linear[i] * a for i, a in zip(x, v))
+        z += sum(float(m.factors[x[i]] @ m.factors[x[j]]) * v[i] * v[j] for i in range(len(x)) for j in range(i))
+        assert np.isclose(g, 1 / (1 + np.exp(-z)))
+
+
+def test_decoding_by_brute_force():
+    """Every codeword's loss bit by bit, the least of which is the answer."""
+    rnd = np.random.default_rng(6)
+    names = list("abcd")
+    x = rnd.normal(0, 1, (200, 30)).astype(np.float32)
+    y = np.argmax(x[:, :4], axis=1)
+    codes = language_id.fit(x, names, y)
+    best, share = codes.predict(x[:20])
+    for row, b, s in zip(x[:20], best, share):
+        bits = [float(row @ codes.weights[:, k] + codes.bias[k]) for k in range(codes.code.shape[1])]
+        loss = [sum(t * max(0.0, 1 - a * c) ** 2 for a, c, t in zip(bits, word, codes.trust)) / codes.trust.sum() for word in codes.code]
+        p = np.exp(-8 * (np.array(loss) - min(loss)))
+        assert b == int(np.argmin(loss)) and np.isclose(s, p[b] / p.sum(), atol=1e-4)
+    assert (codes.predict(x)[0] == y).mean() > 0.8
+
+
+def test_kinds_split_toxic_rows():
+    lists = [np.array(x) for x in ([1, 2, 9], [1, 2], [1, 9], [5, 6], [5, 6, 9], [7], [7, 9])] * 6 + [np.array([9, k % 3 + 20]) for k in range(60)] + [np.array([], np.int64)]
+    toxic = np.r_[np.ones(42), np.zeros(61)]
+    found = toxicity.kinds(toxicity.Rows.of(lists), toxic)
+    assert found[toxic == 0].sum() == 0 and (found[toxic == 1].sum(1) == 1).all()
+    assert found.sum(0).tolist() == [18, 12, 12] and len({tuple(found[k]) for k in range(3)}) == 1
+    assert toxicity.kinds(toxicity.Rows.of(lists[:2]), np.ones(2)).sum() == 0
+
+
 # ---- 2: secrets
 
 def test_secrets_match_sql(spark):
@@ -514,6 +578,18 @@ def test_long_header_first_in_a_split(tmp_path, split):
     assert got == ["0", "1", "2"]
 
 
+@pytest.mark.parametrize("split", [1 << 24, 5000, 97])
+def test_splits_are_tasks(spark, split):
+    """Long headers, and a task for each split at most a few of its kind."""
+    rows = [(k, f"http://h/{k}?" + "u" * (200_000 if k == 2 else 20_000 if k % 5 == 0 else 9), random.Random(k).randbytes(300).hex()) for k in range(12)]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    found = warc.read(archives, split=split)
+    assert sorted(r["page_id"] for r in found.collect()) == list(range(12))
+    splits = sum(-(-r["size"] // split) for r in archives.collect())
+    if split > 97:
+        assert found.rdd.getNumPartitions() >= 0.6 * splits
+
+
 # ---- 9: repeats
 
 def slow_repeats(rows, length=400):
@@ -549,6 +625,10 @@ def test_repeats_by_brute_force(spark, docs, batches, common, keys, wide, monkey
     assert repeats.without_repeats(rows.limit(0)).count() == 0
 
 
+def test_repeats_match_sql(spark):
+    assert_same(queries.op9_suffix_array_dedup(spark, SF), connect(SF), queries.oracle_sql()["op9_suffix_array_dedup"])
+
+
 def test_levels_merge_geometrically(spark, docs):
     from quorumlake.llm.shared import text_hash
 
