@@ -39,12 +39,25 @@ def listed_links(s: Star) -> DataFrame:
        from deliberacoes where tipo_documento = 'ata' and numero_reuniao is not null""",
 )
 def minutes_items(s: Star) -> DataFrame:
-    """#136 and the splitter: minutes are put together from decisions and split into items again."""
+    """#136 and the splitter: minutes are put together from decisions and split into items again.
+
+    Items are numbered in two ways; some come a second time without their decision, some follow a heading
+    and a line that is in no item, and every file ends with one.
+    """
     k = F.col("id").cast("string")
     words = F.coalesce(F.lower("resultado"), F.lit("em debate"))
-    lines = F.concat(F.lit(". Processo nº 50500."), k, F.lit("/1996\nInteressado: "), F.col("interessado"), F.lit("\nDecisão: "), words, F.lit(".\n"))
+    head = F.concat(F.lit("Processo nº 50500."), k, F.lit("/1996\nInteressado: "), F.col("interessado"))
     rows = s.deliberacoes.where("tipo_documento = 'ata' and numero_reuniao is not null")
+    lines = F.struct(head.alias("h"), F.concat(F.lit("\nDecisão: "), words, F.lit(".\n")).alias("d"))
     minutes = rows.groupBy(F.concat_ws("-", F.col("agencia_id").cast("string"), "numero_reuniao").alias("file")).agg(F.array_sort(F.collect_list(F.struct("id", lines.alias("x")))).alias("l"))
-    body = F.array_join(F.transform("l", lambda x, n: F.concat(F.lit("1."), (n + 1).cast("string"), x["x"])), "")
-    split = items.items(minutes.select("file", F.concat(F.lit("ATA DA REUNIÃO\n"), body, F.lit("ENCERRAMENTO\nfim")).alias("text")))
+
+    def block(x, n):
+        number = F.when(x["id"] % 3 == 0, "XIV - ").otherwise(F.concat(F.lit("1."), (n + 1).cast("string"), F.lit(". ")))
+        whole = F.concat(number, x["x"]["h"], x["x"]["d"])
+        again = F.when(x["id"] % 4 == 0, F.concat(number, x["x"]["h"], F.lit("\n"))).otherwise("")
+        between = F.when(x["id"] % 5 == 0, "MATÉRIAS EM PAUTA\nProcesso: 1.1/1900\nDecisão: de ninguém\n").otherwise("")
+        return F.concat(between, again, whole, again)
+
+    body = F.array_join(F.transform("l", block), "")
+    split = items.items(minutes.select("file", F.concat(F.lit("ATA DA REUNIÃO\n"), body, F.lit("ENCERRAMENTO\nInteressado: ninguém")).alias("text")))
     return split.select("file", "processo", "interessado", "resultado")

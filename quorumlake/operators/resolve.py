@@ -72,10 +72,20 @@ def candidate_approval(s: Star) -> DataFrame:
     return b.groupBy(say.alias("decisao")).agg(F.count("*").alias("n"))
 
 
-@query("company_key", "select id, replace(lower(nome), '#', ' ') chave from (select id, 'Cia ' || nome || ' Ltda.' as nome0, nome from empresas)")
+@query(
+    "company_key",
+    r"""select id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(case id % 5 when 0 then 'Companhia ' || nome || ' S/A' when 1 then 'CONCESSIONÁRIA ' || nome || ' - Ltda.'
+           when 2 then nome || ' Participações e  Empreendimentos S.A.' when 3 then '"' || nome || '" (EIRELI), ME' else 'Cia. São ' || replace(nome, '#', ' / ') || '\Saúde EPP' end)),
+         '[.,/\\\\()''"]+', ' ', 'g'), '\b(s\s*/?\s*a|sa|ltda|eireli|epp|mei|me|cia|companhia|concessionaria|holding|participacoes|empreendimentos)\b', ' ', 'g'), '\s+', ' ', 'g')) chave from empresas""".replace("\\\\", "\\"),
+)
 def company_keys(s: Star) -> DataFrame:
-    """#61: canonical keys of decorated company names."""
-    dressed = F.concat(F.lit("Cia "), F.replace("nome", F.lit("#"), F.lit(" ")), F.lit(" Ltda."))
+    """#61: canonical keys of names with company forms, accents and punctuation around them."""
+    k, name, lit = F.col("id") % 5, F.col("nome"), F.lit
+    dressed = (
+        F.when(k == 0, F.concat(lit("Companhia "), name, lit(" S/A"))).when(k == 1, F.concat(lit("CONCESSIONÁRIA "), name, lit(" - Ltda.")))
+        .when(k == 2, F.concat(name, lit(" Participações e  Empreendimentos S.A."))).when(k == 3, F.concat(lit('"'), name, lit('" (EIRELI), ME')))
+        .otherwise(F.concat(lit("Cia. São "), F.replace(name, lit("#"), lit(" / ")), lit("\\Saúde EPP")))
+    )
     return s.empresas.select("id", T.company_key(dressed).alias("chave"))
 
 

@@ -115,7 +115,12 @@ def privacy_flags(s: Star) -> DataFrame:
     return s.table("documents").select("doc_id", t.rlike(T.CPF).alias("tem_cpf"), t.rlike(T.EMAIL).alias("tem_email"), F.regexp_count(t, F.lit(T.EMAIL)).cast("long").alias("emails"))
 
 
-@query("texto_limpo")
+@query(
+    "texto_limpo",
+    r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b', '[CPF removido]', 'g'),
+         '\b[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}\b', '[e-mail removido]', 'g'), '\b(?:\+?55\s?)?(?:\(?\d{2}\)?\s?)?\d{4,5}[-\s]?\d{4}\b', '[telefone removido]', 'g'), '\s+', ' ', 'g')) texto from documents""",
+    tables=False,
+)
 def scrubbed(s: Star) -> DataFrame:
     """Texts with personal data as placeholders."""
     return s.table("documents").select("doc_id", T.scrub(F.col("text")).alias("texto"))
@@ -153,7 +158,15 @@ def long_dates(s: Star) -> DataFrame:
     return s.table("nation").select(k.alias("k"), T.long_date(text).alias("dia"))
 
 
-@query("variantes_de_nome")
+_SMALL = "('de', 'da', 'do', 'das', 'dos', 'e')"
+
+
+@query(
+    "variantes_de_nome",
+    f"""select id, unnest(list_filter(list_distinct([t[1] || ' ' || t[2], t[1] || ' ' || t[-1], t[1] || ' ' || t[2] || ' ' || t[3]] || list_transform(list_filter(t[2:], lambda x: lower(x) not in {_SMALL}), lambda x: t[1] || ' ' || x)
+         || case when len(b) between 2 and len(t) - 1 then [array_to_string(b, ' ')] else [] end), lambda x: x <> n)) forma
+       from (select id, n, t, list_filter(t, lambda x, i: lower(x) not in {_SMALL} and (i = 1 or lower(t[i - 1]) not in {_SMALL})) b from (select id, n, string_split(n, ' ') t from (select id, 'Ana Maria de ' || replace(nome, '#', ' da ') n from diretores)))""",
+)
 def variants(s: Star) -> DataFrame:
     """Shorter forms of the registered names."""
     return s.diretores.select("id", F.explode(T.name_variants(F.concat(F.lit("Ana Maria de "), F.replace("nome", F.lit("#"), F.lit(" da "))))).alias("forma"))
