@@ -23,7 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quorumlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quorumlake/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quorumlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; results that are still to be read must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark, "none")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a file, about, where the number of rows is known beforehand.
