@@ -150,10 +150,11 @@ def rotation(s: Star, size: int = 10, minute: int = 7) -> DataFrame:
     return positions(rows, "id").select("id", (F.col("n") - 1).alias("k")).where((F.col("k") >= start) & (F.col("k") < end))
 
 
-@query("amostra_reprodutivel")
+@query("amostra_reprodutivel", "select id, agencia_id from f order by md5('auditoria:' || id), id limit 25")
 def sample(s: Star, n: int = 25, seed: str = "auditoria") -> DataFrame:
     """#125: a reproducible sample, the n least seeded hashes."""
-    return final(s).select("id", "agencia_id").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(n)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    return final(s).select("id", "agencia_id").orderBy(key, "id").limit(n)
 
 
 QUOTAS = ("ausencia_ou_impedimento", "divergencia_nominal", "fonte_ata", "fonte_voto_individual", "fonte_deliberacao", "desfecho_indeferido", "desfecho_deferido", "origem_lido", "origem_inferido")

@@ -214,7 +214,16 @@ def touched_rows(s: Star) -> DataFrame:
     return s.deliberacoes.select("id").join(changed, "id", "left").select("id", F.col("updated_at").isNotNull().alias("tocada"))
 
 
-@query("demonstracao")
+_DRAW = "cast('0x' || substr(md5(id || ':1:{0}'), 1, 8) as bigint) % {1}"
+
+
+@query(
+    "demonstracao",
+    f"""select id, {_DRAW.format('a', 3)} + 1 agencia_id, (['deliberacao', 'ata', 'pauta'])[1 + {_DRAW.format('t', 3)}] tipo_documento, case when {_DRAW.format('p', 3)} = 0 then id - 1 end documento_pai_id,
+        date '2026-01-01' + cast({_DRAW.format('d', 365)} as int) data_reuniao, (['Deferido', 'Indeferido', 'Retirado de Pauta'])[1 + {_DRAW.format('r', 3)}] resultado,
+        cast(null as varchar) juizo, cast(null as boolean) import_counts_as_final, (['multa', 'tarifa', 'obras'])[1 + {_DRAW.format('m', 3)}] microtema from (select unnest(range(1000)) id)""",
+    tables=False,
+)
 def demonstration(s: Star) -> DataFrame:
     """#6: the synthetic source."""
     return demo.decisions(s.spark)
