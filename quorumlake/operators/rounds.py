@@ -252,3 +252,64 @@ def source_capacity(s: Star) -> DataFrame:
     sigla = F.element_at(F.array(*[F.lit(x) for x in ("ANTT", "ANM", "ARTESP", "ANEEL")]), (1 + F.col("id") % 4).cast("int"))
     kind, day = F.when(F.col("id") % 9 != 0, F.col("tipo_documento")), F.add_months("data_reuniao", 96)
     return s.deliberacoes.select("id", votes.nominal_capacity(sigla, kind).alias("capacidade"), votes.plausible_date(sigla, day, 2026).alias("plausivel"))
+
+
+def new_id(*parts: Column) -> Column:
+    """An id made of a key, above 2^48, so that runs and tasks agree on it without a counter."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 12), 16, 10).cast("long") + (1 << 48)
+
+
+def term_done(start: Column, end: Column, day: Column) -> Column:
+    """Percent of a term that has passed, 0 to 100; null without both ends in order."""
+    share = F.round(F.datediff(day, start) * 100.0 / F.datediff(end, start), 2)
+    return F.when(end > start, F.least(F.lit(100.0), F.greatest(F.lit(0.0), share)))
+
+
+def seeded_terms(directors: DataFrame, terms: DataFrame, asked: DataFrame, day: Column) -> DataFrame:
+    """#28: (diretor_id, data_inicio, data_fim, percentual, situacao) of asked (agencia_id, nome, data_inicio, data_fim).
+
+    A director is the one of that agency and name, case aside, or a new one; a term is the one with those
+    days or a new one. situacao: diretor_novo, mandato_novo or conhecido. Of several directors of a name
+    the least id counts.
+    """
+    name = F.lower("nome").alias("chave")
+    known = directors.groupBy("agencia_id", name).agg(F.min("id").alias("id"))
+    rows = asked.select("agencia_id", name, "data_inicio", "data_fim").distinct().join(known, ["agencia_id", "chave"], "left")
+    rows = rows.withColumn("diretor_id", F.coalesce("id", new_id(F.col("agencia_id"), F.col("chave"))))
+    end = F.coalesce("data_fim", F.to_date(F.lit("9999-12-31"))).alias("fim")
+    held = terms.select("diretor_id", "data_inicio", end, F.lit(True).alias("tem")).distinct()
+    rows = rows.select("*", end).join(held, ["diretor_id", "data_inicio", "fim"], "left")
+    say = F.when(F.col("id").isNull(), "diretor_novo").when(F.col("tem").isNull(), "mandato_novo").otherwise("conhecido")
+    return rows.select("diretor_id", "data_inicio", "data_fim", term_done(F.col("data_inicio"), F.col("data_fim"), day).alias("percentual"), say.alias("situacao"))
+
+
+@query(
+    "mandatos_semeados",
+    """, a as (select distinct d.agencia_id, lower(case when d.id % 5 = 0 then 'Nova ' || nome else upper(nome) end) chave, case when d.id % 3 = 0 then m.data_inicio + 30 else m.data_inicio end data_inicio, m.data_fim
+         from diretores d join mandatos m on m.diretor_id = d.id)
+       select coalesce(k.id, cast('0x' || substr(md5(a.agencia_id || '|' || a.chave), 1, 12) as bigint) + 281474976710656) diretor_id, a.data_inicio, a.data_fim,
+         case when a.data_fim > a.data_inicio then least(100e0, greatest(0e0, round((date '1998-08-02' - a.data_inicio) * 100e0 / (a.data_fim - a.data_inicio), 2))) end percentual,
+         case when k.id is null then 'diretor_novo' when not exists (select 1 from mandatos m where m.diretor_id = k.id and m.data_inicio = a.data_inicio and m.data_fim is not distinct from a.data_fim) then 'mandato_novo' else 'conhecido' end situacao
+       from a left join (select agencia_id, lower(nome) chave, min(id) id from diretores group by 1, 2) k on k.agencia_id = a.agencia_id and k.chave = a.chave""",
+)
+def seeded(s: Star) -> DataFrame:
+    """#28: every director is asked for, in capitals or under a new name, some with a later start."""
+    d = s.diretores.select(F.col("id").alias("diretor_id"), "agencia_id", "nome").join(s.mandatos.drop("agencia_id"), "diretor_id")
+    k = F.col("diretor_id")
+    name = F.when(k % 5 == 0, F.concat(F.lit("Nova "), "nome")).otherwise(F.upper("nome"))
+    start = F.when(k % 3 == 0, F.date_add("data_inicio", 30)).otherwise(F.col("data_inicio"))
+    return seeded_terms(s.diretores, s.mandatos, d.select("agencia_id", name.alias("nome"), start.alias("data_inicio"), "data_fim"), s.day)
+
+
+@query(
+    "lista_triplice",
+    """select id agencia_id, 'Diretor' vaga, case when id % 3 = 0 then 'aberta' when id % 2 = 0 then 'mapeada' else 'publicada' end situacao, case when id % 2 = 1 and id % 3 <> 0 then 'A definir' when id % 2 = 0 then sigla else 'A definir' end candidato
+       from agencias where id % 2 = 0 or id % 3 <> 2""",
+)
+def three_name_lists(s: Star) -> DataFrame:
+    """#28: lists of candidates by agency and vacancy: known ones take the new status and keep their
+    candidate, others come in with none yet."""
+    a, k = s.agencias, F.col("id")
+    held = a.where(k % 2 == 0).select(k.alias("agencia_id"), F.lit("Diretor").alias("vaga"), F.lit("mapeada").alias("situacao"), F.col("sigla").alias("candidato"))
+    new = a.where(k % 3 != 2).select(k.alias("agencia_id"), F.lit("Diretor").alias("vaga"), F.when(k % 3 == 0, "aberta").when(k % 2 == 0, "mapeada").otherwise("publicada").alias("situacao"))
+    return tables.upsert(held, new, ["agencia_id", "vaga"]).fillna("A definir", ["candidato"])
