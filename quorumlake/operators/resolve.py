@@ -89,6 +89,33 @@ def company_keys(s: Star) -> DataFrame:
     return s.empresas.select("id", T.company_key(dressed).alias("chave"))
 
 
+def close_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of the pairs of rows (block, id, t) of one block whose similarity is `least` or more; a < b.
+
+    With at most k edits, one of k + 1 pieces of the shorter text stands whole in the longer one, at most
+    k places off. So pieces and the substrings that may equal them meet by an equi-join, and only those
+    pairs are measured. k is what the shorter text's length leaves: a text of n characters has partners
+    of at most n / least.
+    """
+    most = lambda n: F.floor(n * ((1 - least) / least) + 1e-9).cast("int")
+    start = lambda i, n, k: F.floor(i * n / (k + 1)).cast("int")
+    i, n, k = F.col("i"), F.col("n"), F.col("k")
+    sized = rows.where("t is not null").select("block", "id", "t", F.length("t").alias("n")).withColumn("k", most(n))
+    pieces = sized.withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    size = start(i + 1, n, k) - start(i, n, k)
+    pieces = pieces.select("block", F.col("id").alias("x"), F.col("t").alias("tx"), "n", "i", F.substring("t", start(i, n, k) + 1, size).alias("piece"))
+    asked = sized.withColumnRenamed("n", "own").withColumn("n", F.explode(F.sequence(F.ceil(F.col("own") * least - 1e-9).cast("int"), F.col("own")))).withColumn("k", most(n))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), k)))
+    shift = F.explode(F.sequence(F.greatest(start(i, n, k) - k, F.lit(0)), start(i, n, k) + k))
+    asked = asked.withColumn("size", size).withColumn("at", shift)
+    asked = asked.select("block", F.col("id").alias("y"), F.col("t").alias("ty"), "n", "i", F.substring("t", F.col("at") + 1, F.col("size")).alias("piece"))
+    met = pieces.join(asked, ["block", "n", "i", "piece"]).where("x <> y")
+    first = F.col("x") < F.col("y")
+    pick = lambda one, two: F.when(first, F.col(one)).otherwise(F.col(two))
+    pairs = met.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("tx", "ty").alias("ta"), pick("ty", "tx").alias("tb")).distinct()
+    return pairs.select("a", "b", T.similarity(F.col("ta"), F.col("tb")).alias("score")).where(F.col("score") >= least)
+
+
 @query(
     "director_duplicates",
     """, p as (select a.id a, b.id b, array_to_string(list_sort(string_split(lower(a.nome), ' ')), ' ') x, array_to_string(list_sort(string_split(lower(b.nome), ' ')), ' ') y
@@ -97,11 +124,9 @@ def company_keys(s: Star) -> DataFrame:
        where case when x = y then 1e0 else 1e0 - levenshtein(x, y) / cast(greatest(length(x), length(y)) as double) end >= 0.95""",
 )
 def director_duplicates(s: Star, least: float = 0.95) -> DataFrame:
-    """#62: pairs of one agency with like names, the smaller id first. A board is small; agencies are
-    the blocks."""
-    d = s.diretores.select("agencia_id", "id", T.sorted_tokens(F.col("nome")).alias("t"))
-    pairs = d.select("agencia_id", F.col("id").alias("a"), F.col("t").alias("x")).join(d.select("agencia_id", F.col("id").alias("b"), F.col("t").alias("y")), "agencia_id").where("a < b")
-    return pairs.select("a", "b", T.similarity(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+    """#62: pairs of one agency with like names, the smaller id first."""
+    d = s.diretores.select(F.col("agencia_id").alias("block"), "id", T.sorted_tokens(F.col("nome")).alias("t"))
+    return close_pairs(d, least)
 
 
 @query(

@@ -3,7 +3,7 @@
 import datetime
 
 from quorumlake import catalog
-from quorumlake.operators import quality
+from quorumlake.operators import quality, resolve
 
 DAY = datetime.date(2020, 1, 1)
 
@@ -28,3 +28,35 @@ def test_votes_of_all_decisions(spark):
         assert {r[0] % n for r in q[name](spark, "/root/testdata/sf0.001").select(key).distinct().collect()} >= set(range(n)) - {0}
     built = q["construir_votos"](spark, "/root/testdata/sf0.001").count()
     assert sum(r["n"] for r in q["votos_por_proveniencia"](spark, "/root/testdata/sf0.001").collect()) == built
+
+
+def test_close_pairs_by_brute_force(spark):
+    import random
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for k, c in enumerate(x, 1):
+            new = [k]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab ") for _ in range(rnd.randrange(1, 30))) for _ in range(40)]
+    for _ in range(60):
+        t = list(rnd.choice(texts))
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randrange(2)] = rnd.choice(["", "a", "b", "ab"])
+        texts.append("".join(t))
+    rows = [(k % 3, k, t) for k, t in enumerate(texts)] + [(0, 1000, None)]
+    df = spark.createDataFrame(rows, "block int, id int, t string")
+    for least in (0.95, 0.8):
+        got = {(r["a"], r["b"]): round(r["score"], 9) for r in resolve.close_pairs(df, least).collect()}
+        want = {}
+        for i, (p, a, x) in enumerate(rows[:-1]):
+            for q, b, y in rows[i + 1 : -1]:
+                if p == q and (x == y or (x and y and 1 - distance(x, y) / max(len(x), len(y)) >= least)):
+                    want[a, b] = 1.0 if x == y else round(1 - distance(x, y) / max(len(x), len(y)), 9)
+        assert got == want and want
