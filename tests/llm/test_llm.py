@@ -392,7 +392,8 @@ def test_decontamination_of_hard_rows(spark):
     assert Counter(r["doc_id"] for r in decontamination.contaminated(rows, b).collect()) == {1: 4, None: 2, 5: 2, 2**60 + 1: 2}
     assert decontamination.clean(rows, b).columns == rows.columns
     assert decontamination.contaminated(rows, b.limit(0)).count() == 0
-    assert decontamination.contaminated(rows.limit(0), b).count() == 0
+    assert decontamination.contaminated(rows.limit(0), b).count() == decontamination.clean(rows.limit(0), b).count() == 0
+    assert decontamination.clean(rows, b.limit(0)).count() == rows.count()
 
 
 def test_blocks_of_items(spark, monkeypatch):
@@ -578,6 +579,13 @@ def test_long_header_first_in_a_split(tmp_path, split):
     assert got == ["0", "1", "2"]
 
 
+def test_long_pages(spark):
+    """Payloads and an archive beyond what the reader takes at a step."""
+    rows = [(k, "http://h", random.Random(k).randbytes(n).hex()) for k, n in enumerate((3_000_000, 10, 1_500_000, 0))]
+    got = warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), split=400_000)
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in got.collect()} == {k: (len(h), warc.digest_of(h.encode())) for k, _, h in rows}
+
+
 @pytest.mark.parametrize("split", [1 << 24, 5000, 97])
 def test_splits_are_tasks(spark, split):
     """Long headers, and a task for each split at most a few of its kind."""
@@ -625,6 +633,26 @@ def test_repeats_by_brute_force(spark, docs, batches, common, keys, wide, monkey
     assert repeats.without_repeats(rows.limit(0)).count() == 0
 
 
+def test_long_texts_are_taken_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "_CHUNK", 700)
+    rnd = random.Random(9)
+    text = " ".join(str(rnd.random()) for _ in range(300))
+    rows = [(1, text), (2, "x" * 333 + text[1000:2900] + "y" * 50), (3, text[2000:2399]), (4, "é" * 900), (None, text[100:900])]
+    got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=2)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == slow_repeats(rows)
+
+
+def test_scratch_can_be_cleared(spark):
+    from quorumlake.llm.shared import clear, drop_table, table
+
+    one, two = table(spark.range(3).toDF("k"), "one"), table(spark.range(4).toDF("k"), "two")
+    drop_table(one)
+    files = [f.removeprefix("file://") for f in (*one.inputFiles(), *two.inputFiles())]
+    assert [os.path.exists(f) for f in files].count(True) == len(two.inputFiles()) and two.count() == 4
+    clear(spark)
+    assert not any(map(os.path.exists, files))
+
+
 def test_repeats_match_sql(spark):
     assert_same(queries.op9_suffix_array_dedup(spark, SF), connect(SF), queries.oracle_sql()["op9_suffix_array_dedup"])
 
