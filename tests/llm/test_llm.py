@@ -671,6 +671,21 @@ def test_levels_merge_geometrically(spark, docs):
     assert sum(level.array.count() for level in family.levels) == sum(level.rows for level in family.levels) == repeats.suffixes(rows).count()
 
 
+def test_batches_find_repeats_on_both_sides(spark):
+    from quorumlake.llm.shared import text_hash
+
+    rnd = random.Random(4)
+    passage = " ".join(str(rnd.random()) for _ in range(60))
+    rows = [(k, f"{k} " * 30 + (passage[k * 9 : 700 + k * 9] if k % 2 else "") + f" {k * k}" * 90) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", text_hash())
+    family, found = repeats.IndexFamily(), defaultdict(set)
+    for k in range(3):
+        for r in family.repeats(df.where(F.col("doc_id") % 3 == k)).collect():
+            found[r["doc_id"]] |= set(range(r["s"], r["e"]))
+    want = {k: removed for k, _, removed, _, _ in slow_repeats(rows) if removed}
+    assert {k: len(x) for k, x in found.items()} == want and len(want) >= 6
+
+
 def test_a_level_is_in_byte_order(spark, docs):
     from quorumlake.llm.shared import text_hash
 
