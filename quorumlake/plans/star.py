@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
 import uuid
 from dataclasses import dataclass, replace
 
@@ -133,20 +134,34 @@ def _stamp(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16], total
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+_WRITTEN: dict[str, str] = {}
+_ONE_AT_A_TIME = threading.Lock()
+
+
 def stored(spark: SparkSession, sf_dir: str) -> Star:
     """The star with decisions and votes as bucketed tables, written on the application's first use.
 
     Tables are known by the names, sizes and times of the files they are made of, so that changed files
-    make new ones.
+    make new ones; a table whose files are gone is written again.
     """
     key, size = _stamp(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "lineitem")])
     buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
     names = {kind: f"quorumlake_{spark.sparkContext.applicationId.replace('-', '_')}_{key}_{kind}" for kind in ("deliberacoes", "votos")}
-    if not all(spark.catalog.tableExists(n) for n in names.values()):
-        made = from_tables(spark, sf_dir, buckets)
+    with _ONE_AT_A_TIME:
         for kind, by in (("deliberacoes", "id"), ("votos", "deliberacao_id")):
-            out = getattr(made, kind).write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", shared_folder(spark, kind))
-            out.saveAsTable(names[kind])
+            name = names[kind]
+            if name in _WRITTEN and spark.catalog.tableExists(name) and _exists(spark, f"{_WRITTEN[name]}/_SUCCESS"):
+                continue
+            path = shared_folder(spark, kind)
+            rows = getattr(from_tables(spark, sf_dir, buckets), kind)
+            spark.sql(f"drop table if exists {name}")
+            rows.write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+            _WRITTEN[name] = path
     return replace(from_tables(spark, sf_dir), **{kind: spark.table(n) for kind, n in names.items()})
 
 

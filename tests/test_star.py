@@ -26,3 +26,11 @@ def test_the_star_is_written_once_for_the_same_files(spark, tmp_path):
     (folder / "orders.parquet").unlink()
     spark.read.parquet(f"{SF}/orders.parquet").limit(10).write.parquet(f"file://{folder}/orders.parquet")
     assert star.stored(spark, str(folder)).deliberacoes.count() <= 10 < one.deliberacoes.count()
+
+
+def test_a_star_whose_files_are_gone_is_written_again(spark):
+    s = star.stored(spark, SF)
+    n, path = s.votos.count(), s.votos.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    shutil.rmtree(path)
+    again = star.stored(spark, SF)
+    assert again.votos.count() == n and again.deliberacoes.inputFiles() == s.deliberacoes.inputFiles()
