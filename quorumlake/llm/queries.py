@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlake.llm import decontamination, language_id, packing, quality_fm, quality_rules, repeats, secrets, simhash, toxicity, warc
+from quorumlake.llm import decontamination, language_id, packing, periodic, quality_fm, quality_rules, repeats, secrets, simhash, spelling, toxicity, vafile, warc
 from quorumlake.llm.shared import read
 
 #: 4-word shingles, 64 bits, links of at most 4 bits.
@@ -64,6 +64,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read(spark, sf_dir, "documents")).drop("runs", "collapsed")
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -76,8 +88,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_exact_top_k": op13_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets.sql(), "op8_warc": warc.sql(), "op9_suffix_array_dedup": repeats.sql()}
+    return {
+        "op2_secret_scans": secrets.sql(),
+        "op8_warc": warc.sql(),
+        "op9_suffix_array_dedup": repeats.sql(),
+        "op11_spelling_variants": spelling.sql(),
+        "op12_periodic_runs": periodic.sql(),
+        "op13_exact_top_k": vafile.sql(),
+    }

@@ -76,3 +76,11 @@ def fresh(columns: list[str], stem: str) -> str:
 
 def text_hash(column: str = "text"):
     return F.xxhash64(F.col(column))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, four bits at a time."""
+    table = "list_transform(range(16), lambda i: list_reduce(range(4), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i))"
+    digits = f"hex(encode({text}))"
+    nibbles = f"list_transform(range(length({digits})), lambda i: instr('0123456789ABCDEF', {digits}[xor(i, 1) + 1]) - 1)"
+    return f"xor(list_reduce({nibbles}, lambda c, b: xor(c >> 4, {table}[(xor(c, b) & 15) + 1]), 4294967295), 4294967295)"
