@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlake.functions import charset
 from quorumlake.functions import extract as X
 from quorumlake.functions import text as T
 from quorumlake.functions import themes
@@ -38,7 +39,7 @@ def theme_by_keywords(s: Star, phrases: dict | None = None) -> DataFrame:
     return rows.select("doc_id", F.when(total == 0, "outros").otherwise(best["tema"]).alias("tema"), F.coalesce(F.try_divide((-best["m"]).cast("double"), total), F.lit(0.0)).alias("confianca"))
 
 
-_GENERAL, _MINING = themes.phrases(themes.GENERAL), themes.phrases(themes.MINING)
+_GENERAL, _MINING = themes.GENERAL, themes.MINING
 
 
 def official_theme(c, mining):
@@ -79,7 +80,7 @@ def official_themes(s: Star) -> DataFrame:
     return rows.select("id", F.when(total == 0, "outros").otherwise(best["tema"]).alias("tema"), F.coalesce(F.try_divide((-best["m"]).cast("double"), total), F.lit(0.0)).alias("confianca"))
 
 
-_CRITERIA = themes.phrases(themes.CRITERIA)
+_CRITERIA = themes.CRITERIA
 
 
 def _relevance_sql() -> str:
@@ -135,18 +136,11 @@ def junk(s: Star) -> DataFrame:
     )
 
 
-def repair_mojibake(c):
-    """UTF-8 read as Latin-1, put right where that gives plausible text."""
-    back = F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
-    return F.when(c.rlike("[ÃÂ][\u0080-¿]") & ~back.contains("�"), back).otherwise(c)
-
-
-@query("mojibake", "select doc_id, lang, length(text) n from documents where lang <> 'en'", tables=False)
+@query("mojibake", "select doc_id, lang, md5(text) texto from documents", tables=False)
 def mojibake(s: Star) -> DataFrame:
-    """Texts broken and repaired again, by length."""
-    rows = s.table("documents").where("lang <> 'en'")
+    """Texts whose UTF-8 was read as Latin-1, repaired again, by contents."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return rows.select("doc_id", "lang", F.length(repair_mojibake(broken)).cast("long").alias("n"))
+    return s.table("documents").select("doc_id", "lang", F.md5(charset.reread(broken)).alias("texto"))
 
 
 @query("datas_por_extenso", "select k, cast('1996-' || lpad(cast(k % 12 + 1 as varchar), 2, '0') || '-' || lpad(cast(k % 28 + 1 as varchar), 2, '0') as date) dia from (select n_nationkey k from nation)", tables=False)

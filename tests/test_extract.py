@@ -63,3 +63,71 @@ def test_small_fields(spark):
     df = spark.createDataFrame([("1", None, ["x"])], "numero_deliberacao string, processo string, signatarios array<string>")
     assert df.select(X.confidence(df.columns)).first()[0] == 0.26
     assert sum(X.CONFIDENCE.values()) == pytest.approx(1)
+
+
+def test_item_votes(spark):
+    from quorumlake.functions import item_votes as V
+
+    def votes(text, general=None):
+        r = one(spark, V.item_votes, text, general)
+        return {d: list(r[d]) for d in (*V.DIRECTIONS, "impedido") if r[d]} | {k: r[k] for k in ("voto_qualidade_por", "aviso") if r[k]}
+
+    assert votes("Ana Lima Souza – Favorável.\nRui Sá Reis – Contrário.") == {"favor": ["Ana Lima Souza"], "contra": ["Rui Sá Reis"]}
+    assert votes("Votaram a favor os Diretores Caio Braga, Rita Dias e Otto Luz; votaram contra Eva Reis e Ata da Pauta") == {"favor": ["Caio Braga", "Rita Dias", "Otto Luz"], "contra": ["Eva Reis"]}
+    assert votes("Caio Braga – Favorável. O Diretor Caio Braga votou contrariamente. O Diretor Caio Braga se absteve.") == {"abstencao": ["Caio Braga"]}
+    assert votes("Voto do Revisor, Diretor Caio Braga, aprovado por maioria, vencido o Diretor Caio Braga.") == {"aviso": True}
+    assert votes("aprovado, com voto contrário do Diretor-Geral, relator original", "Ana Lima") == {"contra": ["Ana Lima"]}
+    assert votes("com divergência apresentada pelo Diretor-Geral em relação ao tema", None) == {"aviso": True}
+    assert votes("voto de qualidade proferido pelo Diretor Otto Luz. O Diretor Rui Reis, este não participou da votação.\nRui Reis – Favorável.") == {"favor": ["Otto Luz"], "impedido": ["Rui Reis"], "voto_qualidade_por": "Otto Luz", "aviso": True}
+    assert votes("O Diretor Rui Reis acompanhou a manifestação técnica e divergiu da área técnica") == {"aviso": True}
+    assert votes("não havia impedimento a que o Diretor Rui Reis não votou") == {} and votes(None) == {}
+    assert one(spark, V.chair, "reunião presidida pelo Diretor-Geral, Ana Lima e demais") == "Ana Lima" and one(spark, V.chair, "nada") is None
+
+
+def test_prevailing_vote(spark):
+    from quorumlake.operators import readings as R
+
+    text = "VOTO DO RELATOR: nega.\nVOTO DO PRIMEIRO REVISOR, Rui: acolhe.\nVoto da Segunda Revisora: retira.\nDELIBERAÇÃO: x"
+    said = lambda d: one(spark, R.prevailing, text, d)
+    assert said("Voto do Relator aprovado").strip() == "nega." and said(None).strip() == "nega."
+    assert said("voto do Primeiro Revisor aprovado").strip() == "acolhe." and said("Voto do revisor aprovado").strip() == "retira." and said("Voto do quarto revisor").strip() == "retira."
+    assert one(spark, R.prevailing, "Decisão: aprovado", "voto do revisor") is None and one(spark, R.prevailing, None, None) is None
+
+
+def test_names_of_files(spark):
+    from quorumlake.functions import charset
+
+    def read(raw):
+        return spark.createDataFrame([(bytearray(raw),)], "b binary").select(charset.decoded(F.col("b")).alias("d")).first()["d"]
+
+    for name in ("Decisão nº 3.pdf", "Ação & 100% +1.pdf", "ata.pdf"):
+        for page in ("utf-8", "cp1252", "cp850", "latin-1"):
+            assert read(name.encode(page))["nome"] == name, (name, page)
+        assert read(name.encode().decode("latin-1").encode())["nome"] == name
+    assert read("Ata ordin%C3%A1ria%202.pdf".encode())["nome"] == "Ata ordinária 2.pdf" and read(b"Ata ordin%E1ria.pdf")["nome"] == "Ata ordinária.pdf"
+    assert read("DELIBERAÇÃO".encode("latin-1"))["codificacao"] == "latin-1" and read(b"")["nota"] == 0.0
+    assert spark.sql("select cast(null as binary) b").select(charset.decoded(F.col("b")).alias("d")).first()["d"] is None
+
+
+def test_repair_asks_sources_in_turn(spark):
+    """A row that one source repairs isn't asked of the next: its later source would say otherwise."""
+    from quorumlake.operators import readings as R
+
+    child = "id long, pai_id long, item_numero string, numero_deliberacao string, resultado string, resumo_pleito string"
+    rows = [(1, 9, "1.1", None, None, None), (2, 9, "1.2", None, "", "Processo re%rado de pauta"), (3, 9, "1.3", "PAUTA-3", None, None), (4, 9, "1.4", None, "Deferido", None), (5, 9, "1.5", None, None, "nada"), (6, None, None, None, None, None)]
+    stored = [(9, "1.1", "Deferido", "x"), (9, "1.2", None, None), (9, "1.3", "Deferido", None)]
+    again = [(9, f"1.{k}", "Indeferido", "y") for k in range(1, 6)] + [(9, "1.5", "Aprovado", "z")]
+    item = "pai_id long, item_numero string, resultado string, decisao string"
+    got = R.repair_items(spark.createDataFrame(rows, child), spark.createDataFrame(stored, item), spark.createDataFrame(again, item)).collect()
+    assert {r["id"]: (r["resultado"], r["degrau"], r["resumo_pleito"]) for r in got} == {1: ("Deferido", "array", "x"), 2: ("Retirado de Pauta", "ligadura", "Processo re%rado de pauta"), 5: ("Indeferido", "resplit", "nada")}
+
+
+def test_one_false_date_shuts_a_listing(spark):
+    from quorumlake.operators import readings as R
+
+    row = "fonte string, numero string, data string"
+    listing = spark.createDataFrame([("a", "1.024ª", "d1"), ("a", "2ª", "d2"), ("b", "1", "d1"), ("b", "2", "d9"), ("c", "1", "d1"), ("e", "3", "d1"), ("e", "3ª", "d2"), ("e", "4", "d4")], row)
+    checked = spark.createDataFrame([("a", "1024", "d1"), ("b", "1", "d1"), ("b", "2", "d2"), ("d", "1", "d1"), ("e", "4", "d4")], row)
+    assert {r["fonte"]: r["motivo"] for r in R.listing_gate(listing, checked).collect()} == {"a": "aprovado", "b": "divergencia", "c": "sem_ata_para_conferir", "d": "listagem_vazia", "e": "aprovado"}
+    got = R.dates_by_listing(listing.select("fonte", "numero"), listing, checked).collect()
+    assert {(r["fonte"], r["numero"]): r["data_listagem"] for r in got if r["data_listagem"]} == {("a", "1.024ª"): "d1", ("a", "2ª"): "d2", ("e", "4"): "d4"}
