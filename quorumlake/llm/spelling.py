@@ -11,10 +11,10 @@ shortens each time, and two letters or fewer make no large part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,19 +126,33 @@ def _halves(rest, path):
 
 
 def parts(words: DataFrame, size: int) -> DataFrame:
-    """(path, rest, word) of words (word): parts of at most size words, unless all rests have two letters or fewer."""
-    level = words.select("word", _halves(F.col("word"), F.lit("")).alias("p")).select("p.path", "p.rest", "word")
+    """(path, rest, word, n) of words (word, n): parts of at most size words, unless all rests have two letters or fewer."""
+    level = words.select("word", "n", _halves(F.col("word"), F.lit("")).alias("p")).select("p.path", "p.rest", "word", "n")
     done = None
     while True:
         level = table(level, "vocabulary-parts")
-        counts = level.groupBy("path").agg(F.count("*").alias("n"), F.max(F.char_length("rest")).alias("longest"))
-        large = table(counts.where((F.col("n") > size) & (F.col("longest") > 2)).select("path"), "large-parts")
+        counts = level.groupBy("path").agg(F.count("*").alias("rows"), F.max(F.char_length("rest")).alias("longest"))
+        large = table(counts.where((F.col("rows") > size) & (F.col("longest") > 2)).select("path"), "large-parts")
         if large.isEmpty():
             return level if done is None else done.unionByName(level)
         small = level.join(large, "path", "left_anti")
         done = small if done is None else done.unionByName(small)
         level = level.join(large, "path", "left_semi")
-        level = level.select("word", _halves(F.col("rest"), F.col("path")).alias("p")).select("p.path", "p.rest", "word")
+        level = level.select("word", "n", _halves(F.col("rest"), F.col("path")).alias("p")).select("p.path", "p.rest", "word", "n")
+
+
+def _steps(path: str) -> list[tuple[str, int]]:
+    """The halves that a path takes: side and letters of each."""
+    return [(step[0], int(step[1 : step.index(":")])) for step in path.split("/")[1:]]
+
+
+def _own(steps: list[tuple[str, int]], a: str, b: str) -> bool:
+    """Whether a pair is this path's: a pair that shares both halves is that of its first half, so that it is found once."""
+    for side, m in steps:
+        if m != min(len(a), len(b)) // 2 or (side == "f") != (a[:m] == b[:m]):
+            return False
+        a, b = (a[m:], b[m:]) if side == "f" else (a[: len(a) - m], b[: len(b) - m])
+    return True
 
 
 def trie_pairs(words: list[str]) -> Iterator[tuple[int, int]]:
@@ -179,29 +193,32 @@ def trie_pairs(words: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def near_pairs(words: DataFrame, size: int = PART) -> DataFrame:
-    """(word, near): all ordered pairs of words (word, distinct) that differ by one inserted, deleted or replaced code point."""
+    """(word, n, near, near_n): all ordered pairs, each once, of words (word, n; distinct) that differ by one
+    inserted, deleted or replaced code point."""
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, rests, held = None, [], []
 
-        def found() -> pd.DataFrame:
-            pairs = list(trie_pairs(rests)) if len(rests) > 1 else []
-            return pd.DataFrame({"word": [held[i] for i, _ in pairs], "near": [held[j] for _, j in pairs]}, dtype=object)
+        def found() -> Iterator[pa.RecordBatch]:
+            steps = _steps(path)
+            pairs = ((held[i], held[j]) for i, j in trie_pairs(rests) if _own(steps, held[i][0], held[j][0]))
+            while some := list(islice(pairs, 20_000)):
+                columns = zip(*[(*a, *b) for a, b in some])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64()) * 2)], ["word", "n", "near", "near_n"])
 
         for b in batches:
-            for p, rest, word in zip(b["path"], b["rest"], b["word"]):
+            for p, rest, word, n in zip(*[b.column(c).to_pylist() for c in ("path", "rest", "word", "n")]):
                 if p != path:
                     if len(rests) > 1:
-                        yield found()
+                        yield from found()
                     path, rests, held = p, [], []
                 rests.append(rest)
-                held.append(word)
+                held.append((word, n))
         if len(rests) > 1:
-            yield found()
+            yield from found()
 
-    dealt = parts(words.select("word"), size).repartition("path").sortWithinPartitions("path")
-    # a pair whose words share both halves is found in two parts
-    return dealt.mapInPandas(joined, "word string, near string").distinct()
+    dealt = parts(words.select("word", "n"), size).repartition("path").sortWithinPartitions("path")
+    return dealt.mapInArrow(joined, "word string, n long, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -228,12 +245,11 @@ def variants(docs: DataFrame, size: int = PART) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     words = table(vocabulary(docs), "vocabulary")
-    n = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = near_pairs(words, size).join(n, "near")
-    best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
-    formed = words.join(best, "word", "left")
+    none = words.select("word", "n", F.lit(None).cast("string").alias("near"), F.lit(None).cast("long").alias("near_n"))
+    best = F.min(F.when(F.col("near").isNotNull(), F.struct((-F.col("near_n")).alias("less"), "near")))
+    formed = near_pairs(words, size).unionByName(none).groupBy("word").agg(F.max("n").alias("n"), F.count("near").alias("n_near"), best.alias("best"))
     form = -F.col("best.less") >= TIMES * F.col("n")
-    formed = formed.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(form, F.col("best.near")).alias("form"), F.when(form, -F.col("best.less")).alias("form_n"))
+    formed = formed.select("word", "n", "n_near", F.when(form, F.col("best.near")).alias("form"), F.when(form, -F.col("best.less")).alias("form_n"))
     formed = table(formed, "word-forms")
     ends = roots(formed.where("form is not null"))
     return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -74,8 +74,8 @@ def test_pairs_over_parts(spark, size):
     rnd = random.Random(size)
     words = {"".join(rnd.choice("ab") for _ in range(rnd.randrange(6, 10))) for _ in range(250)}
     words |= {f"{'x' * 9}{c}{d}" for c in "abcd" for d in "abcdef"} | {f"{c}{'y' * 10}" for c in "abcdef"} | {"ététété", "ététeté", "aaaaaa", "aaaaaaa"}
-    got = spelling.near_pairs(spark.createDataFrame([(w,) for w in sorted(words)], "word string"), size).collect()
-    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a in words for b in words if near(a, b)}
+    got = spelling.near_pairs(spark.createDataFrame([(w, len(w)) for w in sorted(words)], "word string, n long"), size).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, len(a), b, len(b)) for a in words for b in words if near(a, b)}
 
 
 def test_variants_by_brute_force(spark):
