@@ -174,7 +174,7 @@ def directors(s: Star) -> DataFrame:
         counted("impedido", (t == "Ausente") & (away == "impedimento")), counted("ausente", (t == "Ausente") & (away != "impedimento")),
         counted("nominais", P.is_nominal()), counted("inferidos", ~P.is_nominal()), counted("divergente", F.col("is_divergente") & P.is_nominal()),
     )
-    last = s.mandatos.groupBy("diretor_id").agg(F.max("data_inicio").alias("ultimo_mandato"), F.max_by("fonte_dado", "data_inicio").alias("fonte"))
+    last = s.mandatos.groupBy("diretor_id").agg(F.max("data_inicio").alias("ultimo_mandato"), F.max_by("fonte_dado", F.struct("data_inicio", "fonte_dado")).alias("fonte"))
     written = final(s).groupBy(F.replace("relator", F.lit("Diretor "), F.lit("")).alias("nome")).agg(F.count("*").alias("relatorias"))
     rows = s.diretores.withColumnRenamed("id", "diretor_id").where("review_status <> 'rejeitado'")
     rows = rows.join(of, "diretor_id", "left").join(last, "diretor_id", "left").join(written, "nome", "left")

@@ -158,12 +158,12 @@ def date_repair(s: Star) -> DataFrame:
 
 @query(
     "lote_com_alvo",
-    """, p as (select id, regexp_replace(coalesce(numero_deliberacao, ''), '\\D', '', 'g') n, row_number() over (order by id) - 1 k from f where agencia_id = 2)
+    """, p as (select id, regexp_replace(coalesce(numero_deliberacao, ''), '\\D', '', 'g') n, row_number() over (order by id) - 1 k from f)
        select id, alvo from (select id, alvo, row_number() over (order by alvo desc, id) r from (select id, n in ('7', '113', '250') alvo, k from p) where alvo or k between 100 and 149) where r <= 60""",
 )
 def targeted_batch(s: Star, targets: tuple[str, ...] = ("7", "113", "250"), start: int = 100, end: int = 150, ceiling: int = 60) -> DataFrame:
     """#127: rows of target numbers first, then those of the window, up to the ceiling."""
-    own = final(s).where("agencia_id = 2").select("id", F.regexp_replace(F.coalesce("numero_deliberacao", F.lit("")), r"\D", "").isin(*targets).alias("alvo"))
+    own = final(s).select("id", F.regexp_replace(F.coalesce("numero_deliberacao", F.lit("")), r"\D", "").isin(*targets).alias("alvo"))
     p = positions(own, "id").withColumn("k", F.col("n") - 1)
     return p.where(F.col("alvo") | F.col("k").between(start, end - 1)).orderBy(F.desc("alvo"), "id").limit(ceiling).select("id", "alvo")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from quorumlake.functions import predicates as P
 from quorumlake.operators.analytics import final
 from quorumlake.plans.registry import query
-from quorumlake.plans.star import Star
+from quorumlake.plans.star import Star, shared_folder
 
 
 def by_rank(df: DataFrame, keys: list, order: list, name: str = "n") -> DataFrame:
@@ -29,29 +28,31 @@ def first_of_meeting(s: Star) -> DataFrame:
     return final(s).where("data_reuniao is not null").groupBy("agencia_id", "data_reuniao").agg(F.min("id").alias("id"))
 
 
-@query("ultimo_mandato", "select diretor_id, data_inicio, data_fim from (select *, row_number() over (partition by diretor_id order by data_inicio desc) n from mandatos) where n = 1")
+@query("ultimo_mandato", "select diretor_id, data_inicio, data_fim from (select *, row_number() over (partition by diretor_id order by data_inicio desc, data_fim desc nulls last) n from mandatos) where n = 1")
 def last_term(s: Star) -> DataFrame:
-    """#113: the latest term of each director."""
-    last = s.mandatos.groupBy("diretor_id").agg(F.max_by(F.struct("data_inicio", "data_fim"), "data_inicio").alias("m"))
+    """#113: the latest term of each director, of those the one that ends last; one without an end comes last."""
+    last = s.mandatos.groupBy("diretor_id").agg(F.max_by(F.struct("data_inicio", "data_fim"), F.struct("data_inicio", F.col("data_fim").isNotNull(), "data_fim")).alias("m"))
     return last.select("diretor_id", "m.data_inicio", "m.data_fim")
 
 
 def positions(rows: DataFrame, key: str, out: str = "n") -> DataFrame:
-    """rows with their position, from 1, by a whole-number key; rows of one key in no fixed order.
+    """rows with their position, from 1, by a key; rows of one key in no fixed order.
 
-    No task sorts the table: blocks of keys, about as many as the square root of the rows, are numbered
-    apart, and a block's offset is the sum of the sizes before it, a window over a row per block.
+    Rows are dealt by ranges of the key, in which a hash splits equal keys, and written once, so that counting and
+    numbering see the same ranges. Within a range a row's place is its number, and a range's offset is the sum of
+    the sizes before it, a window over a row per range.
     """
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n or low is None:
-        return rows.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("long"))
-    width = max(1, (high - low + 1) // max(1, math.isqrt(n)))
-    parts = rows.withColumn("block__", F.coalesce(F.floor((F.col(key) - low) / width), F.lit(-1)))
-    inside = parts.withColumn("k__", F.row_number().over(Window.partitionBy("block__").orderBy(key)))
-    sizes = parts.groupBy("block__").agg(F.count("*").alias("c__"))
-    before = F.coalesce(F.sum("c__").over(Window.partitionBy(F.lit(0)).orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("block__", before.alias("before__"))
-    return inside.join(offsets, "block__").withColumn(out, F.col("k__") + F.col("before__")).drop("block__", "k__", "before__")
+    columns = rows.columns
+    dealt = rows.repartitionByRange(F.col(key), F.xxhash64(*[F.col(c) for c in columns])).sortWithinPartitions(key)
+    path = shared_folder(rows.sparkSession, "positions")
+    dealt.withColumn("place__", F.monotonically_increasing_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    part = F.shiftright("place__", 33)
+    sizes = placed.groupBy(part.alias("part__")).agg(F.count("*").alias("c__"))
+    before = F.coalesce(F.sum("c__").over(Window.partitionBy(F.lit(0)).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part__", before.alias("before__"))
+    inside = placed.withColumn("part__", part).join(offsets, "part__")
+    return inside.select(*columns, (F.col("place__").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("before__")).alias(out))
 
 
 @query("posicao_global", "select id, row_number() over (order by id) n from deliberacoes")

@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from quorumlake.functions import predicates as P
 from quorumlake.functions import text as T
 from quorumlake.operators.analytics import final
+from quorumlake.operators.nearest import nearest_two
 from quorumlake.plans.registry import query
 from quorumlake.plans.star import Star
 
 
 def fuzzy_scores(names: DataFrame, register: DataFrame) -> DataFrame:
-    """#59: (raw, block, id, score) for names (raw, block) against register (id, block, nome), within blocks.
+    """#59: (raw, block, id, score, visited) for names (raw, block) against register (id, block, nome), within blocks: at
+    least the two best of each name.
 
     Distinct names meet distinct register forms (the name and its shorter variants) of their block;
-    sorting tokens is done once for each, before the join. A name equal to a form skips the distance.
+    sorting tokens is done once for each. Tries of the forms are searched, so that most forms are never compared.
     """
     forms = register.select("id", "block", F.explode(F.array_union(F.array("nome"), T.name_variants(F.col("nome")))).alias("forma")).select("id", "block", T.sorted_tokens(F.col("forma")).alias("b"))
     asked = names.select("raw", "block").distinct().where(F.length(F.trim("raw")) >= 3).withColumn("a", T.sorted_tokens(F.col("raw")))
-    pairs = asked.join(forms.distinct(), "block").withColumn("s", T.similarity(F.col("a"), F.col("b")))
-    return pairs.groupBy("raw", "block", "id").agg(F.max("s").alias("score"))
+    return nearest_two(asked, forms.where("b is not null").distinct())
 
 
 def best_match(scores: DataFrame) -> DataFrame:
@@ -36,17 +37,25 @@ def best_match(scores: DataFrame) -> DataFrame:
 
 
 def _names(s: Star) -> tuple[DataFrame, DataFrame]:
-    """Registered part names per brand, and requests with their tokens swapped and a letter lost."""
-    p = s.table("part").where("p_name is not null")
-    register = p.groupBy(F.col("p_brand").alias("block"), F.col("p_name").alias("nome")).agg(F.min("p_partkey").alias("id"))
-    t = F.split("p_name", " ")
-    raw = F.concat_ws(" ", F.element_at(t, -1), F.expr("left(split(p_name, ' ')[0], greatest(length(split(p_name, ' ')[0]) - 1, 1))"))
+    """Registered part names of three words and more per brand, and requests with tokens swapped, lost or added and a letter lost."""
+    p = s.table("part").where("p_name is not null and p_type is not null")
+    t, kind, k = F.split("p_name", " "), F.element_at(F.split(F.initcap("p_type"), " "), -1), F.col("p_partkey")
+    register = p.groupBy(F.col("p_brand").alias("block"), F.concat_ws(" ", "p_name", F.when(k % 2 == 0, F.lit("de")), kind).alias("nome")).agg(F.min("p_partkey").alias("id"))
+    short = F.expr("left(split(p_name, ' ')[0], greatest(length(split(p_name, ' ')[0]) - 1, 1))")
+    raw = F.concat_ws(" ", F.when(k % 3 == 0, kind), F.element_at(t, -1), short)
     return p.select(raw.alias("raw"), F.col("p_brand").alias("block")), register
 
 
-_FUZZY = """with reg as (select p_brand block, p_name nome, min(p_partkey) id from part group by 1, 2),
-  ask as (select distinct string_split(p_name, ' ')[-1] || ' ' || left(string_split(p_name, ' ')[1], greatest(length(string_split(p_name, ' ')[1]) - 1, 1)) raw, p_brand block from part),
-  k as (select raw, a.block, id, array_to_string(list_sort(string_split(lower(raw), ' ')), ' ') x, array_to_string(list_sort(string_split(lower(nome), ' ')), ' ') y from ask a join reg r on r.block = a.block),
+_SMALL = "('de', 'da', 'do', 'das', 'dos', 'e')"
+_FUZZY = f"""with p as (select *, p_partkey k, string_split(p_name, ' ') t, string_split(p_type, ' ')[-1] y from part where p_name is not null and p_type is not null),
+  named as (select k, p_brand block, t, p_name || case when k % 2 = 0 then ' de ' else ' ' end || upper(left(y, 1)) || lower(substr(y, 2)) nome from p),
+  reg as (select block, nome, min(k) id from named group by 1, 2),
+  ask as (select distinct case when k % 3 = 0 then upper(left(y, 1)) || lower(substr(y, 2)) || ' ' else '' end || t[-1] || ' ' || left(t[1], greatest(length(t[1]) - 1, 1)) raw, p_brand block from p),
+  tok as (select *, string_split(nome, ' ') t from reg),
+  bare as (select *, list_filter(t, lambda x, i: lower(x) not in {_SMALL} and (i = 1 or lower(t[i - 1]) not in {_SMALL})) b from tok),
+  form as (select id, block, unnest([nome] || case when len(t) < 3 then [] else [t[1] || ' ' || t[2], t[1] || ' ' || t[-1], t[1] || ' ' || t[2] || ' ' || t[3]] || list_transform(list_filter(t[2:], lambda x: lower(x) not in {_SMALL}), lambda x: t[1] || ' ' || x)
+         || case when len(b) between 2 and len(t) - 1 then [array_to_string(b, ' ')] else [] end end) forma from bare),
+  k as (select raw, a.block, id, array_to_string(list_sort(string_split(lower(raw), ' ')), ' ') x, array_to_string(list_sort(string_split(lower(forma), ' ')), ' ') y from ask a join form r on r.block = a.block),
   sc as (select raw, block, id, max(case when x = y then 1e0 else 1e0 - levenshtein(x, y) / cast(greatest(length(x), length(y)) as double) end) score from k group by 1, 2, 3),
   rk as (select *, row_number() over (partition by raw, block order by score desc, id) n from sc),
   bm as (select raw, block, max(id) filter (n = 1) id, max(score) filter (n = 1) score, coalesce(max(score) filter (n = 2), 0e0) segundo from rk where n <= 2 group by 1, 2)
@@ -118,15 +127,19 @@ def close_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 @query(
     "director_duplicates",
-    """, p as (select a.id a, b.id b, array_to_string(list_sort(string_split(lower(a.nome), ' ')), ' ') x, array_to_string(list_sort(string_split(lower(b.nome), ' ')), ' ') y
-       from diretores a join diretores b on a.agencia_id = b.agencia_id and a.id < b.id)
+    """, d as (select id, agencia_id, nome || ' Filho' nome from diretores union all select id + 1000000, agencia_id, case id % 3 when 1 then 'FILHO ' || nome when 2 then replace(nome, 'pp', 'p') || ' Filho' else 'Outra ' || nome end from diretores),
+       p as (select a.id a, b.id b, array_to_string(list_sort(string_split(lower(a.nome), ' ')), ' ') x, array_to_string(list_sort(string_split(lower(b.nome), ' ')), ' ') y
+       from d a join d b on a.agencia_id = b.agencia_id and a.id < b.id)
        select a, b, case when x = y then 1e0 else 1e0 - levenshtein(x, y) / cast(greatest(length(x), length(y)) as double) end score from p
        where case when x = y then 1e0 else 1e0 - levenshtein(x, y) / cast(greatest(length(x), length(y)) as double) end >= 0.95""",
 )
 def director_duplicates(s: Star, least: float = 0.95) -> DataFrame:
-    """#62: pairs of one agency with like names, the smaller id first."""
-    d = s.diretores.select(F.col("agencia_id").alias("block"), "id", T.sorted_tokens(F.col("nome")).alias("t"))
-    return close_pairs(d, least)
+    """#62: pairs of one agency with like names, the smaller id first. Every director is registered a second time: with words
+    swapped, a letter lost, or another name."""
+    name, k = F.col("nome"), F.col("id") % 3
+    again = F.when(k == 1, F.concat(F.lit("FILHO "), name)).when(k == 2, F.concat(F.replace(name, F.lit("pp"), F.lit("p")), F.lit(" Filho"))).otherwise(F.concat(F.lit("Outra "), name))
+    d = s.diretores.select("agencia_id", "id", F.concat(name, F.lit(" Filho")).alias("nome")).unionByName(s.diretores.select("agencia_id", (F.col("id") + 1_000_000).alias("id"), again.alias("nome")))
+    return close_pairs(d.select(F.col("agencia_id").alias("block"), "id", T.sorted_tokens(F.col("nome")).alias("t")), least)
 
 
 @query(

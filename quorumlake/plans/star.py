@@ -2,8 +2,8 @@
 
 `Star` is what operators take: lazy DataFrames of agencies, directors, terms of office, companies,
 decisions and votes. `from_tables` derives them from the TPC-H-like tables by column expressions alone,
-so that projections and filters of an operator reach the Parquet scans. `stored` writes the facts once,
-in buckets by decision, for all queries of an application: votes meet their decisions without a shuffle
+so that projections and filters of an operator reach the Parquet scans. `stored` writes a fact when it is first
+asked for, in buckets by decision, for all queries that follow: votes meet their decisions without a shuffle
 and lines are grouped to votes once. `SQL` states the same tables for the oracle.
 """
 
@@ -13,7 +13,7 @@ import hashlib
 import tempfile
 import threading
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,27 +106,39 @@ def from_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) ->
     return Star(spark, sf_dir, agencias, diretores, mandatos, empresas, deliberacoes, votos)
 
 
-#: Bytes of source files to a bucket, about, and the least number of buckets.
-BUCKET_BYTES, BUCKETS = 128 << 20, 8
+#: Bytes of source files to a bucket, about, and the least and the greatest number of buckets; beyond that, buckets grow.
+BUCKET_BYTES, BUCKETS, MOST_BUCKETS = 128 << 20, 8, 50_000
+_LOCAL: list[str] = []
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that driver and executors share; a local session without one gets a temporary folder."""
+def _base(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quorumlake-")
-    return f"{base.rstrip('/')}/quorumlake/{kind}-{uuid.uuid4().hex}"
+    if base:
+        return f"{base.rstrip('/')}/quorumlake"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="quorumlake-"))
+    return f"{_LOCAL[0]}/quorumlake"
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, among those of this application."""
+    return f"{_base(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _stamp(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
     """A hash of the names, sizes and times of the files below paths, and their bytes."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     seen, total = [], 0
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        found = path.getFileSystem(conf).listFiles(path, True)
+    for name in paths:
+        path, fs = _path(spark, name)
+        found = fs.listFiles(path, True)
         while found.hasNext():
             f = found.next()
             seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
@@ -135,34 +147,75 @@ def _stamp(spark: SparkSession, paths: list[str]) -> tuple[str, int]:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _path(spark, path)
+    return fs.exists(p)
 
 
-_WRITTEN: dict[str, str] = {}
 _ONE_AT_A_TIME = threading.Lock()
+_BUCKETED = {"deliberacoes": "id", "votos": "deliberacao_id"}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> Star:
-    """The star with decisions and votes as bucketed tables, written on the application's first use.
+class StoredStar(Star):
+    """A star whose facts are bucketed tables, each written when it is first asked for.
 
-    Tables are known by the names, sizes and times of the files they are made of, so that changed files
-    make new ones; a table whose files are gone is written again.
+    A table is known by the names, sizes and times of the files that it is made of, so that changed files make
+    a new one, and applications with the same shared folder use the same one. A table whose files are gone is written again.
     """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        lazy = from_tables(spark, sf_dir)
+        self._made: dict[str, DataFrame] = {}
+        super().__init__(**{f.name: getattr(lazy, f.name) for f in fields(Star) if f.name not in _BUCKETED}, deliberacoes=None, votos=None)
+
+    def __getattribute__(self, name: str):
+        if name not in _BUCKETED:
+            return super().__getattribute__(name)
+        made = self._made
+        if name not in made:
+            made[name] = _table(self.spark, self.sf_dir, name)
+        return made[name]
+
+
+def _table(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     key, size = _stamp(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "lineitem")])
-    buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
-    names = {kind: f"quorumlake_{spark.sparkContext.applicationId.replace('-', '_')}_{key}_{kind}" for kind in ("deliberacoes", "votos")}
+    most = min(MOST_BUCKETS, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    buckets = min(most, max(BUCKETS, -(-size // BUCKET_BYTES)))
+    by, path = _BUCKETED[kind], f"{_base(spark)}/star/{key}-{buckets}/{kind}"
+    name = f"quorumlake_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{kind}"
     with _ONE_AT_A_TIME:
-        for kind, by in (("deliberacoes", "id"), ("votos", "deliberacao_id")):
-            name = names[kind]
-            if name in _WRITTEN and spark.catalog.tableExists(name) and _exists(spark, f"{_WRITTEN[name]}/_SUCCESS"):
-                continue
-            path = shared_folder(spark, kind)
+        if not _exists(spark, f"{path}/_SUCCESS"):
             rows = getattr(from_tables(spark, sf_dir, buckets), kind)
+            draft = f"{path}-{uuid.uuid4().hex}"
+            spark.sql(f"drop table if exists {name}_draft")
+            rows.write.bucketBy(buckets, by).sortBy(by).option("path", draft).saveAsTable(f"{name}_draft")
+            spark.sql(f"drop table {name}_draft")
+            # whoever is first gives the files their name; a later draft isn't needed
+            (old, fs), (new, _) = _path(spark, draft), _path(spark, path)
+            if not fs.exists(new):
+                fs.rename(old, new)
+            fs.delete(old, True)
             spark.sql(f"drop table if exists {name}")
-            rows.write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
-            _WRITTEN[name] = path
-    return replace(from_tables(spark, sf_dir), **{kind: spark.table(n) for kind, n in names.items()})
+        if not spark.catalog.tableExists(name):
+            schema = getattr(from_tables(spark, sf_dir), kind).schema
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+            spark.sql(f"create table {name} ({columns}) using parquet clustered by ({by}) sorted by ({by}) into {buckets} buckets location '{path}'")
+    return spark.table(name)
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Star:
+    """The star with decisions and votes as bucketed tables; nothing is written before a query asks for them."""
+    return StoredStar(spark, sf_dir)
+
+
+def clear(spark: SparkSession, stars: bool = False) -> None:
+    """Deletes what this application wrote to the shared folder; with stars, also the stored facts of all
+    applications and their tables in this session's catalog. Results still to be read must be saved before."""
+    for folder in (spark.sparkContext.applicationId, *(["star"] if stars else [])):
+        p, fs = _path(spark, f"{_base(spark)}/{folder}")
+        fs.delete(p, True)
+    if stars:
+        for t in spark.catalog.listTables(pattern="quorumlake_*"):
+            spark.sql(f"drop table if exists {t.name}")
 
 
 SQL = """
