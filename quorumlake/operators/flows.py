@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quorumlake.plans.registry import query
 from quorumlake.plans.star import Star, shared_folder
 from quorumlake.sources import files, items
-from quorumlake.streaming import ingest
+from quorumlake.streaming import ingest, queue
 
 
 @query("fluxo_de_itens", "select cast(user_id as varchar) site, props hash, min(ts) first_seen_at, max(ts) last_seen_at from events group by 1, 2", tables=False)
@@ -25,6 +25,35 @@ def streamed_items(s: Star) -> DataFrame:
     return store.read()
 
 
+_STATUS = "case event_type when 'purchase' then 'confirmed' when 'error' then 'failed' when 'click' then 'processing' else 'queued' end"
+
+
+@query(
+    "fila_em_fluxo",
+    f"""with l as (select user_id, {_STATUS} status, epoch_us(ts) us from events), e as (select max(us) // 1000 agora from l),
+        m as (select user_id, max(struct_pack(us := us, status := status)) m, count(*) filter (status = 'processing') ciclos from l group by 1)
+        select user_id job_id, m.status status, ciclos, case when m.status = 'processing' and (m.us + 30 * 60000000) // 1000 + 1 <= agora then case when ciclos >= 3 then 'failed' else 'pending' end else m.status end desfecho from m, e""",
+    tables=False,
+)
+def streamed_queue(s: Star) -> DataFrame:
+    """#158: the events as entries of their user's job, as a stream with state whose timers give back what is stuck."""
+    folder, schema = shared_folder(s.spark, "queue"), s.table("events").schema
+    stream = s.spark.readStream.schema(schema).parquet(f"{s.sf_dir}/events.parque[t]")
+    log = stream.select(F.col("user_id").alias("job_id"), F.expr(_STATUS).alias("status"), "ts")
+    held = s.spark.conf.get(queue.PROVIDER[0])
+    s.spark.conf.set(*queue.PROVIDER)
+    try:
+        put = lambda rows, k: rows.withColumn("k", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
+        out = queue.fates(log).writeStream.outputMode("update").foreachBatch(put)
+        out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.spark.conf.set(queue.PROVIDER[0], held)
+    rows = s.spark.read.parquet(f"{folder}/out")
+    # a fate that a timer brings comes with a later batch than the entry, or with its own
+    last = rows.groupBy("job_id").agg(F.max(F.struct("k", F.col("desfecho") != F.col("status"), "status", "ciclos", "desfecho")).alias("m"))
+    return last.select("job_id", "m.status", "m.ciclos", "m.desfecho")
+
+
 @query("listagem_de_paginas", "select url, len(regexp_extract_all(html, '<a\\s+href=\"([^\"]*)\"')) links from pages where html like '%<a href%'", tables=False)
 def listed_links(s: Star) -> DataFrame:
     """#12: links per page, by a parser rather than a pattern."""

@@ -8,56 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from quorumlake.streaming.store import ItemStore
+
 
 def source(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
     """New Parquet files of a folder; the checkpoint of a query is its cursor."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def merge_items(held: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """#157, #174: (site, hash) with the first and the last sight and their count.
-
-    Seen again, a row keeps first_seen_at and moves last_seen_at. Replaying a batch changes neither.
-    """
-    own = batch.groupBy("site", "hash").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"))
-    if held is not None:
-        own = held.select("site", "hash", "first_seen_at", "last_seen_at").unionByName(own)
-    return own.groupBy("site", "hash").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
-
-
-class ItemStore:
-    """A versioned Parquet table of items: a batch writes its own version and only then is it current,
-    so that a failed or repeated batch leaves no half state."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        names = [x.getPath() for x in fs.listStatus(p)]
-        return sorted(int(x.getName()[1:]) for x in names if x.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
-
-    def apply(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Merges a batch and returns the items that are new in it, the alerts."""
-        held = self.read(batch_id)
-        merge_items(held, batch).write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        now = self.spark.read.parquet(f"{self.path}/v{batch_id}")
-        return now if held is None else now.join(held.select("site", "hash"), ["site", "hash"], "left_anti")
-
-
-def run_ingest(items: DataFrame, store: ItemStore, checkpoint: str, alert: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Takes all that is there, batch by batch, and stops (#159, #163)."""
+def run_ingest(items: DataFrame, store: ItemStore, checkpoint: str, alert: Callable[[DataFrame, int], None] | None = None, fence: int = 0) -> StreamingQuery:
+    """Takes all that is there, batch by batch, and stops (#159, #163). A writer of an earlier fence than the store's fails."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = store.apply(batch, batch_id)
+        new = store.apply(batch, batch_id, fence)
         if alert:
             alert(new, batch_id)
 
@@ -79,9 +42,10 @@ MOST_CYCLES = 3
 
 
 def queue_state(log: DataFrame, now, stuck_minutes: int = 30) -> DataFrame:
-    """#158: the state of each job from an append-only log (job_id, status, ts): the last entry, how
-    often it was taken up, and what the reaper does: stuck ones go back until MOST_CYCLES, then fail."""
-    last = log.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"), F.count_if(F.col("status") == "processing").alias("ciclos"))
+    """#158: the state of each job from an append-only log (job_id, status, ts): the last entry
+    (of one time that of the greatest status), how often it was taken up, and what the reaper does: stuck ones go back until MOST_CYCLES, then fail."""
+    last = log.groupBy("job_id").agg(F.max(F.struct("ts", "status")).alias("m"), F.count_if(F.col("status") == "processing").alias("ciclos"))
+    last = last.select("job_id", F.col("m.status").alias("status"), F.col("m.ts").alias("ts"), "ciclos")
     stuck = (F.col("status") == "processing") & (F.col("ts") < now - F.expr(f"INTERVAL {stuck_minutes} MINUTES"))
     fate = F.when(stuck & (F.col("ciclos") >= MOST_CYCLES), "failed").when(stuck, "pending").otherwise(F.col("status"))
     return last.select("job_id", "status", "ts", "ciclos", fate.alias("desfecho"))
