@@ -6,17 +6,18 @@ least-hashed GRAM-byte string of some window of LENGTH bytes are in it (two in G
 of all): equal windows have the same such string at the same place, so no repeat is lost. Each entry
 stands for the run of windows that chose it.
 
-A new batch is merge-scanned with the existing levels: all are dealt by ranges of suffixes, and a task
-walks its range and looks at neighbours. Entries with equal runs are repeats at once; where suffixes
-agree in GRAM bytes and the runs differ, the windows of each different run are compared. Ranges split
-even a single very common suffix; what lies at the edge of a range is compared in any case. Levels of
-equal rank then merge into one of the next rank, so a family of n batches has at most log2(n) + 1
-levels and rewrites each entry as often. Where a scan holds just the levels that merge, the array that
-it wrote is the new level.
+A new batch is sorted by itself, and of equal runs one is kept. It is then merge-scanned with each existing level: a level
+lies in files by ranges of suffixes, with known bounds, and only the batch is dealt to these ranges; a task looks the
+batch's suffixes up among its range's, which are in order, and nothing of the level moves. Entries with equal runs are
+repeats at once; where suffixes agree in GRAM bytes and the runs differ, the windows of each different run
+are compared. A prefix may go over the edges of ranges; where the batch has it, all ranges that it spans are asked.
+Levels of equal rank then merge into one of the next rank: the younger is dealt to the older's ranges, and those that
+have become large are cut. A family of n batches has at most log2(n) + 1 levels and moves each entry as often.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.shared import drop_table, small_batches, table, text_hash
+from quorumlake.llm.shared import drop_table, scratch, small_batches, table, text_hash
 
 LENGTH, GRAM = 400, 128
 _WINDOW = LENGTH - GRAM + 1
@@ -114,56 +115,212 @@ def suffixes(docs: DataFrame) -> DataFrame:
     """The entries, ENTRY, of docs (doc_id, th, text), in no order yet."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<array<long>>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(entries(x).T) for x in _utf8(texts)])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [entries((t or "").encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+            own = pa.array(np.repeat(np.arange(len(texts)), [len(e) for e in texts]))
+            e = np.concatenate(texts) if texts else np.zeros((0, 4), np.int64)
+            lead, gram, run, windows = (pa.array(np.ascontiguousarray(c)) for c in e.T)
+            out = pa.RecordBatch.from_arrays([lead, gram, run, b.column("doc_id").take(own), b.column("th").take(own), windows], list(ENTRY))
+            for at in range(0, out.num_rows, 50_000):
+                yield out.slice(at, 50_000)
 
-    rows = docs.select("doc_id", "th", of("text").alias("e"))
-    e = F.arrays_zip(*[F.col("e")[k].alias(c) for k, c in enumerate(("lead", "gram", "run", "windows"))])
-    rows = rows.where(F.size("e") == 4).select("doc_id", "th", F.explode(e).alias("e"))
-    return rows.select("doc_id", "th", "e.*").select(*ENTRY)
+    return docs.select("doc_id", "th", "text").mapInArrow(of, ", ".join(f"{c} long" for c in ENTRY))
 
 
-#: Entries in a range, about: what a task that scans holds at once.
-RANGE = 250_000
+#: Entries in a range, about: what a task that scans holds at once; parts that a range is cut into when levels merge, at most.
+RANGE, CUTS = 250_000, 4
+#: Ranges of a level, at most, so that its bounds (24 bytes each) can be broadcast; beyond that, ranges grow.
+MOST_RANGES = 1 << 20
 #: Runs of one prefix that a task compares by itself; the windows of more common prefixes are spread.
 COMMON = 10_000
-SCANNED = "lead long, gram long, run long, doc_id long, th long, windows long, own boolean, again boolean, stands boolean, edge boolean, common boolean"
+#: What tells runs apart, and what a scan says of an entry: `again`, its run occurs again; `stands`, it is to be compared with other runs of its prefix.
+RUN = ("lead", "gram", "run")
+_FLAGGED = "lead long, gram long, run long, doc_id long, th long, windows long, again boolean, stands boolean"
+_STORED = "lead long, gram long, run long, doc_id long, th long, windows long, range long"
+
+
+def _columns(t: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [t[c].to_numpy() for c in names]
+
+
+def ranks(held: list[np.ndarray], keys: list[np.ndarray], right: bool) -> np.ndarray:
+    """How many of held, rows in order by their columns, come before each key; with right, or equal it."""
+    low, high = np.searchsorted(held[0], keys[0]), np.searchsorted(held[0], keys[0], "right")
+    out = high.copy() if right and len(held) == 1 else low
+    if len(held) > 1:
+        # few first columns are alike; only there do the next ones decide
+        for k in np.flatnonzero(high > low):
+            i, j = low[k], high[k]
+            out[k] = i + ranks([x[i:j] for x in held[1:]], [x[k : k + 1] for x in keys[1:]], right)[0]
+    return out
 
 
-def merge_scan(pool: DataFrame, rows: int) -> DataFrame:
-    """The suffix array of pool (ENTRY and own: whether of the new batch), with what a scan finds.
+def batch_scan(entries: DataFrame, rows: int) -> DataFrame:
+    """entries (ENTRY) in ranges of suffixes, each in order, with range, again, stands and kept, by a scan of neighbours.
 
-    again: the run equals a neighbour's. stands: the entry stands for its run among runs to compare.
-    common: those runs are too many for one task. edge: the prefix lies at the edge of a range, so that
-    more of its runs may lie beyond. Groups of equal prefixes without an entry of the new batch were
-    scanned before and are passed over.
+    kept: the first of its run in its range. A prefix at the edge of a range may have other runs beyond it, so its runs
+    stand.
     """
-    key = [*ENTRY, "own"]
-    pool = pool.select(*key).repartitionByRange(rows // RANGE + 1, *ENTRY).sortWithinPartitions(*ENTRY)
+    n = min(rows // RANGE + 1, MOST_RANGES)
+    dealt = entries.select(*ENTRY).repartitionByRange(n, *ENTRY).withColumn("range", F.spark_partition_id().cast("long")).sortWithinPartitions(*ENTRY)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        lead, gram, run, own = (t[c].to_numpy() for c in ("lead", "gram", "run", "own"))
+        lead, gram, run = _columns(t, RUN)
         new = np.r_[True, (gram[1:] != gram[:-1]) | (lead[1:] != lead[:-1])]
         other = new | np.r_[True, run[1:] != run[:-1]]
         at, runs_at = np.flatnonzero(new), np.flatnonzero(other)
-        group, of_run = np.cumsum(new) - 1, np.cumsum(other) - 1
+        group = np.cumsum(new) - 1
         runs = np.add.reduceat(other.astype(np.int64), at)
         edge = np.zeros(len(at), bool)
         edge[[0, -1]] = True
-        # what the neighbouring range holds isn't known here
-        asked = np.logical_or.reduceat(own, at) | edge
-        again = (np.diff(np.r_[runs_at, len(run)]) > 1)[of_run] & asked[group]
-        stands = other & (asked & ((runs > 1) | edge))[group]
-        for name, flag in (("again", again), ("stands", stands), ("edge", edge[group]), ("common", (runs > COMMON)[group])):
+        again = (np.diff(np.r_[runs_at, len(run)]) > 1)[np.cumsum(other) - 1]
+        for name, flag in (("again", again), ("stands", other & ((runs > 1) | edge)[group]), ("kept", other)):
             t = t.append_column(name, pa.array(flag))
         yield from t.to_batches(max_chunksize=50_000)
 
-    return pool.mapInArrow(walk, SCANNED)
+    return dealt.mapInArrow(walk, _STORED + ", again boolean, stands boolean, kept boolean")
+
+
+class Stored:
+    """Entries in ranges, as a table in buckets by range, so that a range is met without being moved.
+
+    bounds are each range's least (lead, gram, run), in order, and ids the ranges' numbers.
+    """
+
+    def __init__(self, rows: DataFrame, ranges: int, name: str):
+        spark = rows.sparkSession
+        self.path, self.name = scratch(spark, name), f"quorumlake_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(max(1, min(ranges, MOST_BUCKETS)), "range").sortBy("range", *RUN).option("path", self.path).saveAsTable(self.name)
+        self.table = spark.table(self.name)
+        kept = self.kept()
+        least = kept.groupBy("range").agg(F.min(F.struct(*RUN)).alias("m"), F.count("*").alias("n")).select("m.*", "range", "n")
+        # at most MOST_RANGES rows
+        found = least.toPandas().sort_values(["lead", "gram", "run", "range"], ignore_index=True)
+        self.bounds = [found[c].to_numpy(np.int64) for c in RUN]
+        self.ids, self.rows = found["range"].to_numpy(np.int64), int(found["n"].sum())
+
+    def kept(self) -> DataFrame:
+        return self.table.where("kept") if "kept" in self.table.columns else self.table
+
+    def drop(self) -> None:
+        drop_table(self.table)
+        self.table.sparkSession.sql(f"drop table if exists {self.name}")
+
+
+#: Buckets of a table, within what Spark allows; ranges share them beyond that.
+MOST_BUCKETS = 50_000
+
+
+def _dealt(rows: DataFrame, level: Stored) -> DataFrame:
+    """rows (ENTRY) with the range of a level that holds their run if it has it, the last one that starts with it or before."""
+    shared = rows.sparkSession.sparkContext.broadcast((level.bounds, level.ids))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, ids = shared.value
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            at = np.maximum(ranks(bounds, _columns(t, RUN), True) - 1, 0)
+            yield from t.append_column("range", pa.array(ids[at])).to_batches()
+
+    return rows.select(*ENTRY).mapInArrow(deal, _STORED)
+
+
+def _asked_beyond(rows: DataFrame, level: Stored) -> DataFrame:
+    """Rows without an entry for the ranges that a prefix of rows spans in a level, one a prefix and range."""
+    shared = rows.sparkSession.sparkContext.broadcast((level.bounds[:2], level.ids))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, ids = shared.value
+        for b in batches:
+            keys = _columns(pa.Table.from_batches([b]), RUN[:2])
+            first, last = ranks(bounds, keys, False), ranks(bounds, keys, True)
+            more = np.flatnonzero(last > first)
+            if not len(more):
+                continue
+            start = np.maximum(first[more] - 1, 0)
+            count = last[more] - start
+            at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+            own = np.repeat(more, count)
+            zero = pa.array(np.zeros(len(at), np.int64))
+            columns = [pa.array(keys[0][own]), pa.array(keys[1][own]), zero, zero, zero, pa.array(np.full(len(at), -1)), pa.array(ids[at])]
+            yield pa.RecordBatch.from_arrays(columns, [*ENTRY, "range"])
+
+    return rows.select(*RUN[:2]).distinct().mapInArrow(spans, _STORED).distinct()
+
+
+def _in_order(t: pa.Table) -> pa.Table:
+    """t by run; a range's file is in order, and is sorted only where Spark has read it in another one."""
+    if t.num_rows < 2:
+        return t
+    lead, gram, run = _columns(t, RUN)
+    ahead = (lead[1:] > lead[:-1]) | ((lead[1:] == lead[:-1]) & ((gram[1:] > gram[:-1]) | ((gram[1:] == gram[:-1]) & (run[1:] >= run[:-1]))))
+    return t if ahead.all() else t.take(pa.array(np.lexsort((run, gram, lead))))
+
+
+def merge_scan(level: Stored, batch: DataFrame) -> DataFrame:
+    """_FLAGGED: what batch (ENTRY, each run once a range of its own) and a level have in common, on both sides."""
+    shared = batch.sparkSession.sparkContext.broadcast((level.bounds, level.ids))
+    right = _dealt(batch, level).unionByName(_asked_beyond(batch, level))
+    fields = pa.schema([(c, pa.int64()) for c in ENTRY] + [("again", pa.bool_()), ("stands", pa.bool_())])
+
+    def scan(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not held.num_rows or not asked.num_rows:
+            return fields.empty_table()
+        bounds, ids = shared.value
+        held = _in_order(held.select(ENTRY))
+        have, keys = _columns(held, RUN), _columns(asked, RUN)
+        real = asked["windows"].to_numpy() >= 0
+        low, high = ranks(have[:2], keys[:2], False), ranks(have[:2], keys[:2], True)
+        first, last = ranks(have, keys, False), ranks(have, keys, True)
+        same = real & (last > first)
+        # the prefix may go on beyond this range if a range starts with it
+        edge = ranks(bounds[:2], keys[:2], True) > ranks(bounds[:2], keys[:2], False)
+        differ = (high - low > last - first) | ~real | edge
+        steps = np.zeros((2, held.num_rows + 1), np.int64)
+        for k, (i, j, which) in enumerate(((first, last, same), (low, high, differ))):
+            np.add.at(steps[k], i[which], 1)
+            np.add.at(steps[k], j[which], -1)
+        again, stands = np.cumsum(steps, axis=1)[:, :-1] > 0
+        out = []
+        for t, a, x in ((held, again, stands), (asked.select(ENTRY), same, differ & real)):
+            some = np.flatnonzero(a | x)
+            if len(some):
+                out.append(t.take(pa.array(some)).append_column("again", pa.array(a[some])).append_column("stands", pa.array(x[some])).cast(fields))
+        return pa.concat_tables(out) if out else fields.empty_table()
+
+    return level.kept().select(*ENTRY, "range").groupBy("range").cogroup(right.groupBy("range")).applyInArrow(scan, _FLAGGED)
+
+
+def merge(level: Stored, younger: Stored) -> Stored:
+    """A level of both: the younger's entries go to the older's ranges, of equal runs the older's stay, and large ranges are cut."""
+    right = _dealt(younger.kept(), level)
+    fields = pa.schema([(c, pa.int64()) for c in (*ENTRY, "range")])
+
+    def join(key: tuple, held: pa.Table, more: pa.Table) -> pa.Table:
+        held, more = _in_order(held.select(ENTRY)), _in_order(more.select(ENTRY))
+        have, keys = _columns(held, RUN), _columns(more, RUN)
+        first, last = ranks(have, keys, False), ranks(have, keys, True)
+        fresh = np.flatnonzero((last == first) & np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)][: more.num_rows])
+        # the places of both in the merged order: each after what comes before it on the other side
+        place = np.empty(held.num_rows + len(fresh), np.int64)
+        mine = last[fresh] + np.arange(len(fresh))
+        taken = np.zeros(len(place), bool)
+        taken[mine] = True
+        place[mine] = held.num_rows + np.arange(len(fresh))
+        place[~taken] = np.arange(held.num_rows)
+        t = pa.concat_tables([held, more.take(pa.array(fresh))]).take(pa.array(place))
+        parts = min(CUTS, -(-len(place) // RANGE))
+        number = int(key[0].as_py()) * CUTS + np.arange(len(place)) * parts // max(1, len(place))
+        return t.append_column("range", pa.array(number)).cast(fields)
+
+    both = level.kept().select(*ENTRY, "range").groupBy("range").cogroup(right.groupBy("range")).applyInArrow(join, _STORED)
+    n = (level.rows + younger.rows) // RANGE + 1
+    return Stored(both, n, "suffix-array")
 
 
 #: Bits of a filter on documents, whatever their number, and the keys up to which it is of use.
@@ -204,7 +361,13 @@ def maybe_in(docs: DataFrame, keys: DataFrame):
 
 
 def compared(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, th, s, e): byte ranges of equal windows of runs (gram, common, doc_id, th, windows) of docs (doc_id, th, text)."""
+    """(doc_id, th, s, e): byte ranges of equal windows of runs (gram, doc_id, th, windows) of docs (doc_id, th, text).
+
+    Prefixes are counted over all runs that are compared; those of more than COMMON are spread.
+    """
+    runs = table(runs.distinct(), "runs-to-compare")
+    common = runs.groupBy("gram").count().where(F.col("count") > COMMON).select("gram", F.lit(True).alias("common"))
+    runs = runs.join(common, "gram", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     per_doc = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("gram", "common", "windows")).alias("w"))
     per_doc = table(per_doc, "runs-by-document")
 
@@ -278,13 +441,21 @@ def _compare(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Level:
-    """A suffix array with its rank, its number of entries and the documents it is of."""
+    """A suffix array of different runs with its rank and the documents it is of."""
 
     rank: int
-    rows: int
-    array: DataFrame
+    stored: Stored
     docs: DataFrame
 
+    @property
+    def rows(self) -> int:
+        return self.stored.rows
+
+    @property
+    def array(self) -> DataFrame:
+        """The entries in the order of their suffixes."""
+        return self.stored.kept().select(*ENTRY).sort(*ENTRY)
+
 
 class IndexFamily:
     """Levels of suffix arrays: a batch has rank 0, and two levels of a rank make one of the next."""
@@ -293,48 +464,31 @@ class IndexFamily:
         self.levels: list[Level] = []
         self.merges = 0
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def add(self, docs: DataFrame, entries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Indexes a batch (doc_id, th, text) and scans it with itself and with what is indexed.
 
         Returns the ranges (doc_id, th, s, e) of equal runs, on both sides, and the runs that compared()
-        is to take further, with the documents of the batch and all levels.
+        is to take further, with the documents of the batch and all levels. entries: the batch's, if they are written already.
         """
-        new = table(suffixes(docs), "suffixes")
-        rows = new.count()
-        pool, total = new.withColumn("own", F.lit(True)), rows
+        entries = table(suffixes(docs), "suffixes") if entries is None else entries
+        rows = entries.count()
+        batch = Stored(batch_scan(entries, rows), rows // RANGE + 1, "batch-scan")
+        flagged = batch.table.where("again or stands").select(*ENTRY, "again", "stands")
         for level in self.levels:
-            pool, total = pool.unionByName(level.array.withColumn("own", F.lit(False))), total + level.rows
-        scanned = table(merge_scan(pool, total), "merge-scan")
-        drop_table(new)
-        whole = scanned.where("again").select("doc_id", "th", F.shiftright("windows", 32).cast("int").alias("s"), (F.col("windows").bitwiseAND(F.lit(0xFFFFFFFF)) + LENGTH).cast("int").alias("e"))
-        whole = table(whole, "equal-runs")
-        # prefixes at edges are counted over all ranges that they span: some rows a range
-        over = scanned.where("stands and edge").groupBy("lead", "gram").count().where(F.col("count") > COMMON)
-        over = table(over.select("lead", "gram", F.lit(True).alias("over")), "common-prefixes")
-        runs = scanned.where("stands").join(over, ["lead", "gram"], "left")
-        common = F.when(F.col("edge"), F.coalesce("over", F.lit(False))).otherwise(F.col("common"))
-        runs = table(runs.select("gram", common.alias("common"), "doc_id", "th", "windows"), "runs-to-compare")
-
-        rank, merging = 0, []
+            if level.rows and batch.rows:
+                flagged = flagged.unionByName(merge_scan(level.stored, batch.kept()))
+        flagged = table(flagged, "flagged")
+        whole = flagged.where("again").select("doc_id", "th", F.shiftright("windows", 32).cast("int").alias("s"), (F.col("windows").bitwiseAND(F.lit(0xFFFFFFFF)) + LENGTH).cast("int").alias("e"))
+        runs = flagged.where("stands").select("gram", "doc_id", "th", "windows")
+        new, rank = batch, 0
         while self.levels and self.levels[-1].rank == rank:
-            merging.append(self.levels.pop())
-            rank, docs = rank + 1, docs.unionByName(merging[-1].docs)
-        if self.levels:
-            array = scanned.where("own")
-            array, size = array.select(*ENTRY), rows + sum(level.rows for level in merging)
-            for level in merging:
-                array = array.unionByName(level.array)
-            if merging:
-                array = array.repartitionByRange(size // RANGE + 1, *ENTRY).sortWithinPartitions(*ENTRY)
-            array = table(array, "suffix-array")
-            drop_table(scanned)
-        else:
-            # the scan held just the levels that merge
-            array, size = scanned.select(*ENTRY), total
-        for level in merging:
-            drop_table(level.array)
-        self.merges += len(merging)
-        self.levels.append(Level(rank, size, array, docs))
+            older = self.levels.pop()
+            both = merge(older.stored, new) if older.rows and new.rows else new if new.rows else older.stored
+            for x in (older.stored, new):
+                if x is not both:
+                    x.drop()
+            new, docs, rank, self.merges = both, docs.unionByName(older.docs), rank + 1, self.merges + 1
+        self.levels.append(Level(rank, new, docs))
         return whole, runs
 
     def repeats(self, docs: DataFrame) -> DataFrame:
@@ -346,6 +500,11 @@ class IndexFamily:
         whole, runs = self.add(docs)
         return whole.unionByName(compared(runs, texts))
 
+    def drop(self) -> None:
+        for level in self.levels:
+            level.stored.drop()
+        self.levels.clear()
+
 
 def merged(ranges: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Disjoint ranges that touch nowhere, in order."""
@@ -365,12 +524,15 @@ def ranges(docs: DataFrame, batches: int = 4) -> tuple[DataFrame, DataFrame]:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", text_hash())
     family, whole, runs = IndexFamily(), [], []
+    # texts are read once for the entries of all batches
+    path = scratch(docs.sparkSession, "suffixes")
+    suffixes(rows).withColumn("batch", F.pmod("th", F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
+    entries = docs.sparkSession.read.schema(", ".join(f"{c} long" for c in ENTRY) + ", batch int").parquet(path)
     for k in range(batches):
-        equal, differ = family.add(rows.where(F.pmod("th", F.lit(batches)) == k))
+        equal, differ = family.add(rows.where(F.pmod("th", F.lit(batches)) == k), entries.where(F.col("batch") == k).drop("batch"))
         whole.append(equal)
         runs.append(differ)
-    for level in family.levels:
-        drop_table(level.array)
+    family.drop()
     found = compared(reduce(DataFrame.unionByName, runs), rows)
     found = reduce(DataFrame.unionByName, whole, found)
     return rows, table(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "e")).alias("ranges")), "ranges")

@@ -668,7 +668,11 @@ def test_levels_merge_geometrically(spark, docs):
         ranks.append([level.rank for level in family.levels])
     assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
     assert family.merges == 3
-    assert sum(level.array.count() for level in family.levels) == sum(level.rows for level in family.levels) == repeats.suffixes(rows).count()
+    # a level holds each run once, and none is lost
+    held = sum(level.array.count() for level in family.levels)
+    different = [r for level in family.levels for r in level.array.select("lead", "gram", "run").distinct().collect()]
+    assert held == sum(level.rows for level in family.levels) == len(different)
+    assert set(different) == set(repeats.suffixes(rows).select("lead", "gram", "run").distinct().collect())
 
 
 def test_batches_find_repeats_on_both_sides(spark):
@@ -686,6 +690,32 @@ def test_batches_find_repeats_on_both_sides(spark):
     assert {k: len(x) for k, x in found.items()} == want and len(want) >= 6
 
 
+def test_a_level_is_met_where_it_lies(spark, docs, monkeypatch):
+    """A scan moves the batch alone: a small batch moves little, whatever the level holds."""
+    from quorumlake.llm.shared import text_hash
+
+    monkeypatch.setattr(repeats, "RANGE", 100)
+    family = repeats.IndexFamily()
+    rows = docs.select("doc_id", "text").withColumn("th", text_hash())
+    family.add(rows.where("doc_id % 40 <> 1"))
+    level = family.levels[0].stored
+    assert len(level.ids) > 5 and all(level.bounds[0][:-1] <= level.bounds[0][1:])
+    plan = repeats.merge_scan(level, repeats.suffixes(rows.where("doc_id % 40 = 1")))._jdf.queryExecution().executedPlan().toString()
+    held, asked = plan.split("+- Sort [range")[0], plan.split("+- Sort [range")[1]
+    assert "Bucketed: true" in held and "Exchange" not in held and "Exchange" in asked
+
+
+def test_ranks():
+    rnd = random.Random(2)
+    held = sorted((rnd.randrange(4), rnd.randrange(3), rnd.randrange(3)) for _ in range(60))
+    keys = [(rnd.randrange(-1, 6), rnd.randrange(-1, 4), rnd.randrange(-1, 4)) for _ in range(200)]
+    columns = lambda rows: [np.array(c) for c in zip(*rows)]
+    for n in (1, 2, 3):
+        for right in (False, True):
+            want = [sum(h[:n] < k[:n] or (right and h[:n] == k[:n]) for h in held) for k in keys]
+            assert repeats.ranks(columns(held)[:n], columns(keys)[:n], right).tolist() == want
+
+
 def test_a_level_is_in_byte_order(spark, docs):
     from quorumlake.llm.shared import text_hash
 
