@@ -1,8 +1,9 @@
 """Secret scans through an incremental blob ledger, in DataFrame functions only.
 
-Every version of every path is content-addressed by SHA-256. The ledger holds a row per scanned pair
-of blob and rule version, with the spans found (none included). A run scans only the pairs that the
-ledger lacks, appends them, and joins the spans back to all paths that hold the blob.
+Every version of every path is content-addressed by SHA-256. The ledger holds, for each blob that was scanned, the
+rule versions with the spans found (none included), in parts by blob. A run scans only the pairs of blob and
+rule version that the ledger lacks, appends them, and joins the spans back to all paths that hold the blob.
+It reads the parts that its own blobs are in, and of those only its own blobs go further.
 """
 
 from __future__ import annotations
@@ -77,30 +78,47 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(may & text.rlike(rule.pattern), F.aggregate(found, start, step)["out"]).otherwise(F.array().cast(SPANS))
 
 
-LEDGER = f"blob string, rule string, spans {SPANS}"
+RESULT = f"array<struct<rule:string,spans:{SPANS}>>"
+LEDGER = f"blob string, results {RESULT}, part int"
+#: Parts of a ledger.
+PARTS = 64
 
 
 class Ledger:
-    """The pairs of blob and rule version scanned so far, a Parquet table that only grows."""
+    """What was scanned so far, by blob: a Parquet table in parts that only grows. Each run adds a row for a blob it scanned."""
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or scratch(spark, "ledger")
-        if not self._exists():
-            spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
 
     def _exists(self) -> bool:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self.path) if self._exists() else self.spark.createDataFrame([], LEDGER)
+
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(LEDGER).parquet(self.path)
+        """(blob, rule, spans) of all that was scanned."""
+        return self._table().select("blob", F.explode("results").alias("x")).select("blob", "x.rule", "x.spans")
+
+    @staticmethod
+    def _part() -> Column:
+        return F.pmod(F.xxhash64("blob"), F.lit(PARTS)).cast("int")
+
+    def held(self, blobs: DataFrame) -> DataFrame:
+        """(blob, results) of blobs (blob) alone, from the parts that they are in."""
+        if not self._exists():
+            return self.spark.createDataFrame([], LEDGER).drop("part")
+        parts = [r[0] for r in blobs.select(self._part()).distinct().collect()]  # PARTS numbers at most
+        return self._table().where(F.col("part").isin(parts)).join(blobs.select("blob"), "blob", "left_semi").select("blob", "results")
 
     def unseen(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(blob, todo): the blobs of versions (blob, body) that the ledger lacks for some rule versions, and those."""
-        known = self.rows().groupBy("blob").agg(F.collect_set("rule").alias("known"))
+        """(blob, todo): the blobs of versions (blob, ...) that the ledger lacks for some rule versions, and those."""
+        own = table(versions.select("blob").distinct(), "run-blobs")
+        known = self.held(own).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("results", lambda x: x["rule"])))).alias("known"))
         names = F.array(*[F.lit(r.name) for r in rules])
-        blobs = versions.select("blob").distinct().join(known, "blob", "left")
+        blobs = own.join(known, "blob", "left")
         blobs = blobs.select("blob", F.array_except(names, F.coalesce("known", F.array().cast("array<string>"))).alias("todo"))
         return table(blobs.where(F.size("todo") > 0), "unseen-blobs")
 
@@ -117,16 +135,16 @@ class Ledger:
         # as a semi join it goes below the aggregation where unseen is small enough to broadcast
         blobs = blobs.join(unseen.select("blob"), "blob", "left_semi").join(unseen, "blob")
         made = [F.when(F.array_contains("todo", r.name), F.struct(F.lit(r.name).alias("rule"), spans(F.col("body"), r).alias("spans"))) for r in rules]
-        rows = blobs.select("blob", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x"))
-        rows.select("blob", "x.rule", "x.spans").write.mode("append").parquet(self.path)
+        rows = blobs.select("blob", F.filter(F.array(*made), lambda x: x.isNotNull()).alias("results")).withColumn("part", self._part())
+        rows.repartition("part").write.partitionBy("part").mode("append").parquet(self.path)
 
-    def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(blob, found): the spans of each blob with any, by start, then by the order of rules."""
+    def findings(self, blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(blob, found): the spans of each of blobs (blob) with any, by start, then by the order of rules."""
         order = {r.name: k for k, r in enumerate(rules)}
         rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-        rows = self.rows().where(F.col("rule").isin(*order) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"])
-        k = rank[F.col("rule")]
-        rows = rows.select("blob", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e"))).alias("found"))
+        rows = self.held(blobs).select("blob", F.explode(F.filter("results", lambda x: x["rule"].isin(*order) & (F.size(x["spans"]) > 0))).alias("x"))
+        rows = rows.select("blob", rank[F.col("x.rule")].alias("k"), "x.spans").dropDuplicates(["blob", "k"])
+        rows = rows.select("blob", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), F.col("k").alias("k"), x["e"].alias("e"))).alias("found"))
         return rows.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
 
 
@@ -152,7 +170,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     blob = fresh(docs.columns, "blob")
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     spans_at = fresh(docs.columns, "blob_spans")
-    found = ledger.findings(rules).select(F.col("blob").alias(blob), F.col("found").alias(spans_at))
+    found = ledger.findings(versions(docs).select("blob").distinct(), rules).select(F.col("blob").alias(blob), F.col("found").alias(spans_at))
     rows = docs.select(*own, F.sha2(body, 256).alias(blob)).join(found, blob, "left")
     return rows.select(*own, F.coalesce(spans_at, F.array().cast(FOUND)).alias(out))
 

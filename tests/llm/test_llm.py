@@ -311,6 +311,19 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert ledger.rows().count() == n + 2 + 3
 
 
+def test_a_small_run_reads_its_own_parts_of_the_ledger(spark, docs, tmp_path):
+    """One blob's run reads one part, and of its rows the blob's alone are grouped."""
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    secrets.scan(docs.select("doc_id", "text"), ledger).count()
+    assert len([p for p in os.listdir(tmp_path / "ledger") if p.startswith("part=")]) > 20
+    one = secrets.versions(docs.limit(1)).select("blob")
+    held = ledger.held(one)
+    assert len({p.rsplit("/", 2)[1] for p in held.inputFiles()}) >= 1 and held.count() == 1
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"part#\d+ = \d+|part#\d+ IN", plan) or "PartitionFilters" in held._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def test_redaction(spark):
     rows = hard(spark)
     got = secrets.redact(rows)
@@ -342,6 +355,32 @@ def test_a_second_run_moves_no_text(spark, tmp_path, monkeypatch):
     assert secrets.scan(more, ledger).where("doc_id = 9 and size(found) = 1").count() == 1
 
 
+def test_members_longer_than_a_split_take_linear_time():
+    """Bytes read grow with the archive: each is read about once, however long a member is."""
+    import gzip
+    import io
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.read_bytes += len(out)
+            return out
+
+    rnd = random.Random(3)
+    for mb in (3, 12):
+        body = rnd.randbytes(mb << 20)
+        whole = b"WARC/1.0\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        raw = gzip.compress(whole, 1) + gzip.compress(b"WARC/1.0\r\nContent-Length: 1\r\n\r\nx", 1)
+        source, got = Counted(raw), []
+        for start in range(0, len(raw), 1 << 20):
+            got += [len(x) for _, x in warc.records(source, start, min(start + (1 << 20), len(raw)), len(raw))]
+        assert got[0] == len(whole) and len(got) == 2
+        # the splits inside the member look for a record, the first one reads the member
+        assert source.read_bytes < 4 * len(raw)
+
+
 def test_secrets_stay_in_the_jvm(spark, docs):
     plan = secrets.scan(docs.select("doc_id", "text"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
