@@ -108,73 +108,82 @@ def _valid(head: bytes | None) -> bool:
 
 
 class _Window:
-    """Bytes of a file from a place on, read as they are asked for."""
-
-    def __init__(self, source, at: int, size: int):
-        self.source, self.at, self.size, self.data = source, at, size, b""
-
-    def upto(self, end: int) -> None:
-        while self.at + len(self.data) < min(end, self.size):
-            self.source.seek(self.at + len(self.data))
-            self.data += self.source.read(max(_STEP, min(end, self.size) - self.at - len(self.data)))
-
-    def drop(self, place: int) -> None:
-        self.data = self.data[place - self.at :]
-        self.at = place
+    """Bytes of a file from any place on; one read of them is held at a time."""
+
+    def __init__(self, source, size: int):
+        self.source, self.size, self.at, self.data = source, size, 0, b""
+
+    def rest(self, place: int, most: int) -> bytes:
+        """At most so many of the bytes from place on, none at the end of the file only."""
+        if not self.at <= place < self.at + len(self.data) and place < self.size:
+            self.source.seek(place)
+            self.at, self.data = place, self.source.read(max(_STEP, most))
+        k = place - self.at
+        return self.data[k : k + most] if k >= 0 else b""
+
+    def find(self, start: int, end: int) -> int:
+        """The first place of MAGIC in [start, end), or -1."""
+        keep = len(MAGIC) - 1
+        tail, at = b"", start
+        while at < min(end + keep, self.size):
+            part = self.rest(at, _STEP)
+            k = (tail + part).find(MAGIC)
+            if k >= 0:
+                found = at - len(tail) + k
+                return found if found < end else -1
+            tail, at = (tail + part)[-keep:] if keep else b"", at + len(part)
+        return -1
+
+    def inflated(self, place: int) -> Iterator[tuple[bytes, int]]:
+        """Pieces of the gzip member at place, and with the last one where it ends; else no end comes (-1)."""
+        gz, at, step = zlib.decompressobj(31), place, _HEAD
+        while not gz.eof:
+            part = self.rest(at, step)
+            if not part:
+                return
+            try:
+                more = gz.decompress(part)
+            except zlib.error:
+                return
+            at += len(part) - len(gz.unused_data)
+            yield more, at if gz.eof else -1
+            step = min(2 * step, _STEP)
 
     def starts_record(self, place: int) -> bool:
         """Whether a member at place inflates to a WARC header, however long that header is."""
-        gz, out, rest, at = zlib.decompressobj(31), b"", b"", place
-        while b"\r\n\r\n" not in out:
-            if gz.eof or not b"WARC/1.".startswith(out[:7]):
+        out = b""
+        for part, _ in self.inflated(place):
+            out += part
+            if not b"WARC/1.".startswith(out[:7]):
                 return False
-            step = max(_HEAD, len(out))
-            if not rest:
-                self.upto(at + step)
-                rest = self.data[at - self.at : at - self.at + step]
-                at += len(rest)
-            ended = not rest
-            try:
-                more = gz.decompress(rest, step)
-            except zlib.error:
-                return False
-            if ended and not more:
-                return False
-            out, rest = out + more, gz.unconsumed_tail
-        return _valid(out)
+            if b"\r\n\r\n" in out:
+                return _valid(out)
+        return False
 
 
 def records(source, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """(place, bytes) of the records of a gzip archive that start in [start, end)."""
-    win, place = _Window(source, start, size), start
-    win.upto(end + len(MAGIC))
-    trusted = False
+    """(place, bytes) of the records of a gzip archive that start in [start, end).
+
+    A member is inflated as it is read, whatever its length; behind it nothing is held.
+    """
+    win, place, trusted = _Window(source, size), start, False
     while place < end:
         if not trusted:
-            k = win.data.find(MAGIC, place - win.at)
-            if k < 0 or win.at + k >= end:
+            place = win.find(place, end)
+            if place < 0:
                 return
-            place = win.at + k
             if not win.starts_record(place):
                 place += 1
                 continue
-        if place - win.at > _STEP:
-            win.drop(place)
-        gz, out, at = zlib.decompressobj(31), [], place
-        try:
-            while not gz.eof and at < size:
-                win.upto(at + _STEP)
-                part = win.data[at - win.at : at - win.at + _STEP]
-                out.append(gz.decompress(part))
-                at += len(part) - len(gz.unused_data)
-        except zlib.error:
-            gz = None
+        out, after = [], -1
+        for part, after in win.inflated(place):
+            out.append(part)
         whole = b"".join(out)
-        if gz is None or not gz.eof or not _valid(whole):
+        if after < 0 or not _valid(whole):
             place, trusted = place + 1, False
             continue
         yield place, whole
-        place, trusted = at, True
+        place, trusted = after, True
 
 
 def parse(data: bytes) -> tuple[str, int, str, str, str | None]:
