@@ -253,8 +253,8 @@ def place(cut_pieces: DataFrame, limit: int = LIMIT, shard: int = SHARD) -> Data
 
     first = table(in_shards(small, 0).join(small.select("item", "length"), "item"), "packed")
     fills = first.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    # what shards could not fill meets once more: sequences with over one part in 64 left
-    under = fills.where(F.col("fill") < limit - limit // 64).select("sequence_id")
+    # what shards could not fill meets once more
+    under = fills.where(F.col("fill") < limit).select("sequence_id")
     again = table(first.join(under, "sequence_id", "left_semi").select("item", "length"), "underfull")
     second = in_shards(again, 1)
     done = first.join(under, "sequence_id", "left_anti").select("item", "sequence_id", "offset")
