@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from quorumlake.llm.shared import fresh, small_batches, table, text_hash
 
 Q, EDITS = 10, 0.08
-#: Characters of benchmark items that one pass over the documents takes.
-MAX_ITEM_CHARS = 8_000_000
+#: Characters of benchmark items that one pass over the documents takes; an index of them has about 27 bytes a character.
+MAX_ITEM_CHARS = 2_000_000
 _MASK_BITS = 22
 # a word, or a lone character that is none
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]")
