@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import multiprocessing
+import os
 import re
-import signal
-import threading
+import resource
 import zipfile
 import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,27 +64,53 @@ def zip_entries(archives: DataFrame, most: int = 200, most_bytes: int = 200 << 2
     return archives.where("kind = 'zip'").select("path", "content").mapInPandas(run, "path string, entry string, content binary, truncated boolean")
 
 
-class OutOfTime(Exception):
-    pass
+class Aside:
+    """Runs a function in a child process, which is killed if a call takes too long or more memory than it may, and replaced.
 
+    A call that is stuck in native code ends too, as no cooperation is asked of it. A child serves many calls.
+    """
 
-@contextmanager
-def time_limit(seconds: float) -> Iterator[None]:
-    """Raises OutOfTime in the block after so many seconds; where no signal can be set, there is no limit."""
-
-    def stop(*_):
-        raise OutOfTime
-
-    if threading.current_thread() is not threading.main_thread():
-        yield
-        return
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        yield
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+    def __init__(self, function: Callable, seconds: float, memory: int | None = None):
+        self.function, self.seconds, self.memory = function, seconds, memory
+        self.child, self.pipe = None, None
+
+    def _serve(self, pipe) -> None:
+        if self.memory:
+            resource.setrlimit(resource.RLIMIT_AS, (self.memory, self.memory))
+        while True:
+            try:
+                content = pipe.recv_bytes()
+            except EOFError:
+                os._exit(0)
+            try:
+                pipe.send((True, self.function(content)))
+            except Exception as e:  # noqa: BLE001  the caller gets what the child can't raise
+                pipe.send((False, f"{type(e).__name__}: {e}"))
+
+    def __call__(self, content: bytes) -> tuple[bool, object]:
+        """(True, result), or (False, why there is none)."""
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, theirs = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(theirs,), daemon=True)
+            self.child.start()
+            theirs.close()
+        try:
+            self.pipe.send_bytes(content)
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            why = "out of time"
+        except (EOFError, OSError):
+            why = "died"
+        self.close()
+        return False, why
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
 
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
@@ -125,26 +151,28 @@ def pdf_text(content: bytes) -> tuple[str, int]:
     return text, len(re.findall(rb"/Type\s*/Page\b(?!s)", content))
 
 
-def pdf_texts(documents: DataFrame, seconds: float = 20.0, read=pdf_text) -> DataFrame:
-    """#7, #8: (path, sha256, texto, paginas, chars_por_pagina) of PDF files; unreadable ones have no text.
+def pdf_texts(documents: DataFrame, seconds: float = 20.0, read=pdf_text, memory: int | None = None) -> DataFrame:
+    """#7, #8: (path, sha256, texto, paginas, chars_por_pagina, erro) of PDF files; unreadable ones have no text.
 
-    A file that breaks, or takes more seconds than that, is a row, not a failed or stuck task. read makes
-    (text, pages) of a file's bytes.
+    Files are read in a child process of the task. One that breaks it, or takes more seconds or bytes of memory than
+    it may, is a row with the reason, not a failed or stuck task; the child is killed and the next file gets a new one.
+    read makes (text, pages) of a file's bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"]):
-                try:
-                    with time_limit(seconds):
-                        text, pages = read(bytes(content))
-                except (ValueError, re.error, OutOfTime):
-                    text, pages = "", 0
-                rows.append((path, hashlib.sha256(bytes(content)).hexdigest(), text, pages, len(text) / max(1, pages)))
-            yield pd.DataFrame(rows, columns=["path", "sha256", "texto", "paginas", "chars_por_pagina"])
-
-    return documents.select("path", "content").mapInPandas(run, "path string, sha256 string, texto string, paginas int, chars_por_pagina double")
+        aside = Aside(read, seconds, memory)
+        try:
+            for b in batches:
+                rows = []
+                for path, content in zip(b["path"], b["content"]):
+                    done, got = aside(bytes(content))
+                    text, pages = got if done else ("", 0)
+                    rows.append((path, hashlib.sha256(bytes(content)).hexdigest(), text, pages, len(text) / max(1, pages), None if done else got))
+                yield pd.DataFrame(rows, columns=["path", "sha256", "texto", "paginas", "chars_por_pagina", "erro"])
+        finally:
+            aside.close()
+
+    return documents.select("path", "content").mapInPandas(run, "path string, sha256 string, texto string, paginas int, chars_por_pagina double, erro string")
 
 
 def listing(pages: DataFrame) -> DataFrame:

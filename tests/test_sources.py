@@ -39,7 +39,30 @@ def test_files(spark, tmp_path):
         return "never", 1
 
     late = files.pdf_texts(found.where("kind = 'pdf'"), seconds=0.2, read=slow).collect()
-    assert len(late) == 2 and all(r["texto"] == "" and r["paginas"] == 0 for r in late)
+    assert len(late) == 2 and all(r["texto"] == "" and r["paginas"] == 0 and r["erro"] == "out of time" for r in late)
+
+
+def test_a_reader_that_is_stuck_in_native_code_is_killed(spark):
+    """One call into the regex engine that never comes back, one that ends the process, one that takes too much memory: each is a row, and the next files are read."""
+    rows = [("a", b"good"), ("b", b"stuck"), ("c", b"good"), ("d", b"gone"), ("e", b"large"), ("f", b"bad"), ("g", b"good")]
+
+    def read(content):
+        import os
+        import re
+
+        if content == b"stuck":
+            re.match(r"(a+)+$", "a" * 200 + "b")
+        if content == b"gone":
+            os._exit(3)
+        if content == b"large":
+            return "x" * (16 << 30), 1
+        if content == b"bad":
+            raise ValueError("no PDF")
+        return content.decode(), 1
+
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").coalesce(1)
+    got = {r["path"]: (r["texto"], r["erro"] and r["erro"].split(":")[0]) for r in files.pdf_texts(df, 0.5, read, memory=8 << 30).collect()}
+    assert got == {"a": ("good", None), "b": ("", "out of time"), "c": ("good", None), "d": ("", "died"), "e": ("", "MemoryError"), "f": ("", "ValueError"), "g": ("good", None)}
 
 
 def test_fetching_and_reading_images(spark):
