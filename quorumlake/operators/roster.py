@@ -88,13 +88,15 @@ def coverage(s: Star) -> DataFrame:
     dated = final(s).where("data_reuniao is not null")
     items = dated.groupBy(*key).agg(F.count("*").alias("itens"))
     own = dated.select(F.col("id").alias("deliberacao_id"), *key)
-    answered = s.votos.select("deliberacao_id", "diretor_id").join(own, "deliberacao_id").groupBy(*key, "diretor_id").agg(F.count("*").alias("n"))
-    expected = roster(items, s.mandatos).withColumn("no_roster", F.lit(True))
-    pairs = expected.join(answered, [*key, "diretor_id"], "full").join(items, key)
-    seat, voted = F.col("no_roster").isNotNull(), F.col("n").isNotNull()
+    answered = s.votos.select("deliberacao_id", "diretor_id").join(own, "deliberacao_id").select(*key, "diretor_id", F.lit(1).alias("n"), F.lit(False).alias("seat"))
+    expected = roster(items, s.mandatos).select(*key, "diretor_id", F.lit(0).alias("n"), F.lit(True).alias("seat"))
+    # seats and votes meet in one aggregation, whose partial sums leave a row a day and director to move
+    pairs = answered.unionByName(expected).groupBy(*key, "diretor_id").agg(F.sum("n").alias("n"), F.bool_or("seat").alias("seat"))
+    pairs = pairs.join(items, key)
+    seat, voted = F.col("seat"), F.col("n") > 0
     out = pairs.groupBy(*key, "itens").agg(
         counted("esperado", seat), counted("com_voto", seat & voted), counted("faltando", seat & ~voted), F.count_if(~seat & voted).alias("fora"),
-        F.coalesce(F.sum(F.when(seat, F.col("n"))), F.lit(0)).alias("pares_respondidos"), counted("parciais", seat & (F.col("n") < F.col("itens"))),
+        F.coalesce(F.sum(F.when(seat, F.col("n"))), F.lit(0)).alias("pares_respondidos"), counted("parciais", seat & voted & (F.col("n") < F.col("itens"))),
     )
     out = items.join(out.drop("itens"), key, "left").fillna(0)
     out = out.withColumn("extra", F.when(F.col("esperado") > 0, F.col("fora")).otherwise(F.lit(0))).withColumn("pares_esperados", F.col("esperado") * F.col("itens")).drop("fora")
