@@ -80,6 +80,48 @@ def official_themes(s: Star) -> DataFrame:
     return rows.select("id", F.when(total == 0, "outros").otherwise(best["tema"]).alias("tema"), F.coalesce(F.try_divide((-best["m"]).cast("double"), total), F.lit(0.0)).alias("confianca"))
 
 
+_AREA_PHRASES = [p for own in themes.AREAS.values() for p in own]
+
+
+def area(c):
+    """(area, confianca): the regulatory area of the highest score over its phrases without accents, ties by the
+    order of areas, and its share of all scores; outros and 0 for none."""
+    plain = {name: tuple(map(_unaccented, own)) for name, own in themes.AREAS.items()}
+
+    def scores(low):
+        return F.array(*[F.struct((-T.keyword_score(low, own)).alias("m"), F.lit(k).alias("k"), F.lit(name).alias("area")) for k, (name, own) in enumerate(plain.items())])
+
+    def best(scored):
+        first, total = F.array_min(scored), -F.aggregate(scored, F.lit(0), lambda acc, x: acc + x["m"])
+        return F.struct(F.when(total == 0, "outros").otherwise(first["area"]).alias("area"), F.coalesce(F.try_divide((-first["m"]).cast("double"), total), F.lit(0.0)).alias("confianca"))
+
+    # each step is worked out once a row
+    return F.transform(F.transform(F.array(X.flat(c)), scores), best)[0]
+
+
+def _unaccented(x: str) -> str:
+    return x.translate(str.maketrans(T.ACCENTED, T.PLAIN))
+
+
+def _area_sql() -> str:
+    names = list(themes.AREAS)
+    score = lambda own: " + ".join(f"case when contains(x, '{_unaccented(p)}') then {len(p.split())} else 0 end" for p in own)
+    phrases = "[" + ", ".join(f"'{p}'" for p in _AREA_PHRASES) + "]"
+    return f"""select id, case when total = 0 then 'outros' else {[*names]}[list_position([{", ".join(names)}], greatest({", ".join(names)}))] end area,
+      case when total = 0 then 0e0 else greatest({", ".join(names)}) / cast(total as double) end confianca from (
+      select id, {", ".join(names)}, {" + ".join(names)} total from (select id, {", ".join(f"{score(own)} {name}" for name, own in themes.AREAS.items())} from (
+        select id, case when id % 7 = 0 then 'nada' else lower(strip_accents(concat(upper(({phrases})[1 + id % {len(_AREA_PHRASES)}]), ' e ', ({phrases})[1 + (id // 5) % {len(_AREA_PHRASES)}]))) end x from deliberacoes)))"""
+
+
+@query("areas_regulatorias", _area_sql())
+def regulatory_areas(s: Star) -> DataFrame:
+    """The regulatory area of texts that hold two of its phrases, with the share of the winning score; every seventh has none."""
+    names, k = F.array(*[F.lit(p) for p in _AREA_PHRASES]), F.col("id")
+    pick = lambda n: F.element_at(names, (1 + n % len(_AREA_PHRASES)).cast("int"))
+    text = F.when(k % 7 == 0, "nada").otherwise(F.concat(F.upper(pick(k)), F.lit("\n e "), pick(F.floor(k / 5))))
+    return s.deliberacoes.select("id", area(text).alias("a")).select("id", "a.area", "a.confianca")
+
+
 _CRITERIA = themes.CRITERIA
 
 
