@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.functions import charset, item_votes
+from quorumlake.functions import charset, fields, item_votes
 from quorumlake.functions import extract as X
 from quorumlake.plans.registry import query
 from quorumlake.plans.star import Star
@@ -145,6 +145,41 @@ def votes_of_items(s: Star) -> DataFrame:
     return read.select("id", *[F.array_join(F.array_sort(F.col(f"v.{d}")), ", ").alias(d) for d in (*item_votes.DIRECTIONS, "impedido")], "v.voto_qualidade_por", "v.aviso")
 
 
+# ---- fields of documents
+
+_FIELDS_SQL = f"""select id, cast(1 + id % 900 as varchar) numero_deliberacao, case when id % 2 = 0 then '1.' || lpad(cast(id % 1000 as varchar), 3, '0') else cast(100 + id % 800 as varchar) end numero_reuniao,
+    case when id % 2 = 0 then 'Extraordinaria' else 'Ordinaria' end tipo_reuniao, data_reuniao, '50500.' || id || '/1996-01' processo, case when id % 5 = 4 then null else 'Companhia ' || id || ' S.A.' end interessado,
+    'Reajuste ' || id assunto, case when id % 4 = 3 then null else {_sql_person("id % 20000")} end relator, case when id % 6 = 0 then 'admissibilidade' end juizo, id % 6 = 1 unanimidade_detectada,
+    id % 5 = 4 or id % 7 = 0 pauta_interna, {_sql_person("id % 20000")} || ', ' || {_sql_person("(id + 1) % 20000")} signatarios from deliberacoes"""
+
+
+@query("campos_do_documento", _FIELDS_SQL)
+def document_fields(s: Star) -> DataFrame:
+    """Fields read from documents that are put together from decisions, with several labels and forms for each."""
+    k, date = F.col("id"), F.col("data_reuniao")
+    month = _pick(("janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"), F.month(date) - 1)
+    number, d, y = (1 + k % 900).cast("string"), F.dayofmonth(date).cast("string"), F.year(date).cast("string")
+    lit = F.lit
+    plain = F.concat(lit("Deliberação nº "), number)
+    head = (
+        F.when(date.isNull(), plain).when(k % 3 == 0, F.concat(lit("DELIBERAÇÃO ARTESP Nº "), number, lit(", DE "), d, lit(" DE "), F.upper(month), lit(" DE "), y))
+        .when(k % 3 == 1, F.concat(plain, lit(" citada em 3 de maio de 1991\nrealizada em "), d, lit(" de "), month, lit(" de "), y)).otherwise(F.concat(lit("DELIBERACAO No "), number, lit("\nrealizada em "), F.date_format(date, "dd/MM/yyyy")))
+    )
+    meeting = F.when(k % 2 == 0, F.concat(lit("1."), F.lpad((k % 1000).cast("string"), 3, "0"), lit("ª Reunião Extraordinária"))).otherwise(F.concat((100 + k % 800).cast("string"), lit("ª Reunião Ordinária")))
+    label = lambda values, by: _pick(values, by)
+    process = F.concat(label(("Processo nº: ", "SEI nº ", "PROCESSOS Nº: ", "Autos nº "), k), lit("50500."), k.cast("string"), lit("/1996-01"))
+    party = F.when(k % 5 == 4, "").otherwise(F.concat(label(("Interessado: ", "REQUERENTE: ", "Concessionária: ", "Empresa: "), k % 5), lit("Companhia  "), k.cast("string"), lit(" S.A."), F.when(k % 3 == 0, ", que solicita autorização").otherwise("")))
+    subject = F.concat(label(("Assunto: ", "Ementa: ", "TEMA: "), k), lit("Reajuste "), k.cast("string"))
+    reporter = F.when(k % 4 == 3, "").otherwise(F.concat(lit("Relator: Diretor "), person(k % 20000)))
+    said = F.when(k % 6 == 0, "A Diretoria decidiu não conhecer do recurso.").when(k % 6 == 1, "Aprovado por unanimidade.").otherwise("Em debate.")
+    internal = F.when(k % 7 == 0, "Expediente interno.").otherwise("")
+    signed = F.concat(person(k % 20000), lit(" - Diretor-Geral\n"), person((k + 1) % 20000), lit(" – Diretora\nDocumento assinado eletronicamente por Rui Sem Nome - Diretor"))
+    rows = s.deliberacoes.select("id", F.concat_ws("\n", head, meeting, reporter, process, party, subject, said, internal, signed).alias("t"))
+    found = fields.fields(F.col("t"))
+    out = [found[c].alias(c) for c in ("numero_deliberacao", "numero_reuniao", "tipo_reuniao", "data_reuniao", "processo", "interessado", "assunto", "relator", "juizo", "unanimidade_detectada", "pauta_interna")]
+    return rows.select("id", *out, F.array_join(found["signatarios"], ", ").alias("signatarios"))
+
+
 # ---- the vote that prevailed
 
 # How the blocks of votes in minutes are headed, and how a decision names the reviewer's as approved.

@@ -131,3 +131,23 @@ def test_one_false_date_shuts_a_listing(spark):
     assert {r["fonte"]: r["motivo"] for r in R.listing_gate(listing, checked).collect()} == {"a": "aprovado", "b": "divergencia", "c": "sem_ata_para_conferir", "d": "listagem_vazia", "e": "aprovado"}
     got = R.dates_by_listing(listing.select("fonte", "numero"), listing, checked).collect()
     assert {(r["fonte"], r["numero"]): r["data_listagem"] for r in got if r["data_listagem"]} == {("a", "1.024ª"): "d1", ("a", "2ª"): "d2", ("e", "4"): "d4"}
+
+
+def test_fields_of_a_document(spark):
+    from quorumlake.functions import fields
+
+    text = (
+        "DELIBERAÇÃO ARTESP Nº 66, DE 22 DE MARÇO DE 2026\n1.024ª Reunião Extraordinária\nPROCESSOS Nº: 50500.1/2026; 7\nRequerente: Rodovias  do Tiete S.A., que solicita autorização\n"
+        "Ementa: reajuste de tarifa básica\nTrata-se de pedido de reajuste da tarifa básica de pedágio.\n\nAna Lima Souza - Diretora-Geral\nRUI SÁ REIS\nDiretor\nDocumento assinado eletronicamente por Eva Dias Melo - Diretora"
+    )
+    df = spark.createDataFrame([(text,), (None,), ("",)], "c string")
+    got, null, empty = df.select(*[v.alias(k) for k, v in fields.fields(F.col("c")).items()]).collect()
+    assert got["numero_deliberacao"] == "66" and got["numero_reuniao"] == "1.024" and got["tipo_reuniao"] == "Extraordinaria" and str(got["data_reuniao"]) == "2026-03-22"
+    assert got["processo"] == "50500.1/2026" and got["interessado"] == "Rodovias do Tiete S.A." and got["assunto"] == "reajuste de tarifa básica" and got["relator"] is None
+    assert got["resumo_pleito"].startswith("Trata-se de pedido") and got["signatarios"] == ["Ana Lima Souza", "RUI SÁ REIS"] and not got["pauta_interna"]
+    for r in (null, empty):
+        assert r["signatarios"] == [] and r["pauta_interna"] and all(r[c] is None for c in ("numero_deliberacao", "data_reuniao", "processo", "interessado", "assunto", "resumo_pleito"))
+    assert str(one(spark, fields.day, "citada em 14 de novembro de 1996; realizada em 3 de maio de 2025")) == "2025-05-03" and one(spark, fields.day, "32 de maio de 2025") is None
+    assert one(spark, fields.on_record, "já havia sido proferido o voto do relator original, Diretor Caio Mário Seabra, acompanhado pelo então Diretor Rui Sá Reis") == ["Caio Mário Seabra", "Rui Sá Reis"]
+    w = one(spark, fields.withdrawal, "Processo retirado de pauta pelo Diretor Caio Mário Seabra, nos termos do art. 55 do Regimento Interno")
+    assert (w["autor"], w["fundamento"]) == ("Caio Mário Seabra", "art. 55 do Regimento Interno") and one(spark, fields.withdrawal, "aprovado") is None
