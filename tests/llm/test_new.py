@@ -232,3 +232,13 @@ def test_few_vectors_are_read(spark):
     q = grid.matrix([r["v"] for r in v.where("class % 50 = 0").orderBy("class").collect()])
     n = vafile.candidates(file, grid, q, np.arange(0, 3000, 50), 6).count()
     assert 6 * 60 <= n < 30 * 60
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+        assert k == 4 or out.columns == docs.columns
