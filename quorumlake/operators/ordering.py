@@ -171,7 +171,28 @@ def quotas(read: F.Column) -> F.Column:
     ))
 
 
-@query("amostra_estratificada")
+def _stratified_sql(per_agency: int = 5, seed: str = "auditoria") -> str:
+    """The greedy choice as two walks over each agency's list, a row a step."""
+    pair = "struct_pack(deliberacao_id := x.deliberacao_id, diretor_id := x.diretor_id)"
+    walk = lambda news: f"len(c) < {per_agency} and not list_contains(c, {pair})" + news
+    take = walk(" and len(list_filter(x.cotas, lambda q: not list_contains(vistas, q))) > 0")
+    return f""", r as (select agencia_id, deliberacao_id, diretor_id, md5('{seed}:' || agencia_id || ':' || deliberacao_id || ':' || diretor_id) sorte, list_filter([
+          case when coalesce(motivo_nao_voto, '') <> '' then 'ausencia_ou_impedimento' end, case when is_divergente and nominal then 'divergencia_nominal' end,
+          case when tipo_documento like '%ata%' then 'fonte_ata' when tipo_documento like '%voto%' then 'fonte_voto_individual' when tipo_documento like '%delibera%' then 'fonte_deliberacao' end,
+          case when resultado = 'Indeferido' then 'desfecho_indeferido' end, case when coalesce(resultado, '') not in ('', 'Retirado de Pauta', 'Indeferido') then 'desfecho_deferido' end,
+          case when nominal then 'origem_lido' else 'origem_inferido' end], lambda q: q is not null) cotas from v join f on f.id = deliberacao_id),
+        e as (select *, row_number() over (partition by agencia_id, cota order by sorte, deliberacao_id, diretor_id) n from (select *, unnest(cotas) cota from r)),
+        l as (select agencia_id, list(struct_pack(deliberacao_id := deliberacao_id, diretor_id := diretor_id, cotas := cotas) order by n, list_position([{", ".join(f"'{q}'" for q in QUOTAS)}], cota), deliberacao_id, diretor_id) l
+            from e where n <= {per_agency} group by 1)
+        select agencia_id, p.deliberacao_id, p.diretor_id from (select agencia_id, unnest(c) p from (
+          with recursive t as (select agencia_id, l, 1 i, cast([] as varchar[]) vistas, cast([] as struct(deliberacao_id bigint, diretor_id bigint)[]) c from l
+              union all select agencia_id, l, i + 1, case when {take} then list_distinct(vistas || x.cotas) else vistas end, case when {take} then c || [{pair}] else c end from (select *, l[i] x from t where i <= len(l))),
+            u as (select agencia_id, l, 1 i, c from t where i > len(l)
+              union all select agencia_id, l, i + 1, case when {walk("")} then c || [{pair}] else c end from (select *, l[i] x from u where i <= len(l)))
+          select agencia_id, c from u where i > len(l)))"""
+
+
+@query("amostra_estratificada", _stratified_sql())
 def stratified_sample(s: Star, per_agency: int = 5, seed: str = "auditoria") -> DataFrame:
     """#126: per agency, an example for each quota by seeded hash, then others until the size is met.
 
@@ -181,7 +202,7 @@ def stratified_sample(s: Star, per_agency: int = 5, seed: str = "auditoria") ->
     per_agency = max(1, min(50, per_agency))
     own = final(s).select(F.col("id").alias("deliberacao_id"), "agencia_id", "tipo_documento", "resultado")
     rows = s.votos.join(own, "deliberacao_id").select("agencia_id", "deliberacao_id", "diretor_id", quotas(P.is_nominal()).alias("cotas"))
-    draw = F.xxhash64(F.lit(seed), "agencia_id", "deliberacao_id", "diretor_id")
+    draw = F.md5(F.concat_ws(":", F.lit(seed), "agencia_id", "deliberacao_id", "diretor_id"))
     each = rows.select("*", F.explode("cotas").alias("cota"), draw.alias("sorte"))
     best = by_rank(each, ["agencia_id", "cota"], ["sorte", "deliberacao_id", "diretor_id"]).where(F.col("n") <= per_agency)
     order = F.array_position(F.array(*[F.lit(q) for q in QUOTAS]), F.col("cota"))
