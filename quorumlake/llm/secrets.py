@@ -81,7 +81,7 @@ def spans(text: Column, rule: Rule) -> Column:
 RESULT = f"array<struct<rule:string,spans:{SPANS}>>"
 LEDGER = f"blob string, results {RESULT}, part int"
 #: Parts of a ledger.
-PARTS = 64
+PARTS = 16
 
 
 class Ledger:

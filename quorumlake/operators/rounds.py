@@ -175,12 +175,13 @@ def paged_scan(s: Star, page: int = 1000, cap: int = 100_000) -> DataFrame:
     return positions(rows, "id").where(k < cap).select("id", F.floor(k / page).alias("pagina"), F.lit(total > cap).alias("truncada"))
 
 
-@query("matriz_local", "select * from (values (1, 'ANTT'), (2, 'ANM'), (3, null)) t(id, sigla)", tables=False)
+@query("matriz_local", "select id, case when ativo then sigla end sigla from agencias union all select -1, 'local'")
 def local_array(s: Star) -> DataFrame:
-    """#4: a small array replaces what the view held before."""
-    tables.replace_view(s.spark, [(9, "x")], "id int, sigla string", "matriz_local")
-    tables.replace_view(s.spark, [(1, "ANTT"), (2, "ANM"), (3, None)], "id int, sigla string", "matriz_local")
-    return s.spark.table("matriz_local")
+    """#4: a view's rows are replaced by those of the agencies, then by these and a small array."""
+    tables.replace_view(s.spark, [(9, "x")], "matriz_local", "id long, sigla string")
+    tables.replace_view(s.spark, s.agencias.select("id", F.when(F.col("ativo"), F.col("sigla")).alias("sigla")), "matriz_local")
+    more = tables.replace_view(s.spark, [(-1, "local")], "matriz_local_nova", "id long, sigla string")
+    return s.spark.table("matriz_local").unionByName(more)
 
 
 @query("atualizacao_por_id", "select id, case when nome like '%7' then 'Revisto' else nome end nome, case when nome like '%7' then null else review_status end review_status from diretores")
@@ -221,12 +222,12 @@ _DRAW = "cast('0x' || substr(md5(id || ':1:{0}'), 1, 8) as bigint) % {1}"
     "demonstracao",
     f"""select id, {_DRAW.format('a', 3)} + 1 agencia_id, (['deliberacao', 'ata', 'pauta'])[1 + {_DRAW.format('t', 3)}] tipo_documento, case when {_DRAW.format('p', 3)} = 0 then id - 1 end documento_pai_id,
         date '2026-01-01' + cast({_DRAW.format('d', 365)} as int) data_reuniao, (['Deferido', 'Indeferido', 'Retirado de Pauta'])[1 + {_DRAW.format('r', 3)}] resultado,
-        cast(null as varchar) juizo, cast(null as boolean) import_counts_as_final, (['multa', 'tarifa', 'obras'])[1 + {_DRAW.format('m', 3)}] microtema from (select unnest(range(1000)) id)""",
+        cast(null as varchar) juizo, cast(null as boolean) import_counts_as_final, (['multa', 'tarifa', 'obras'])[1 + {_DRAW.format('m', 3)}] microtema from (select o_orderkey id from orders)""",
     tables=False,
 )
 def demonstration(s: Star) -> DataFrame:
-    """#6: the synthetic source."""
-    return demo.decisions(s.spark)
+    """#6: the synthetic source, a decision for each order."""
+    return demo.decisions(s.spark, s.table("orders").select(F.col("o_orderkey").alias("id")))
 
 
 @query(

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def decisions(spark: SparkSession, rows: int = 1000, seed: int = 1) -> DataFrame:
-    """Decisions whose fields are drawn by hashes of their id and the seed: any part can be made again."""
+def decisions(spark: SparkSession, rows: int | DataFrame = 1000, seed: int = 1) -> DataFrame:
+    """Decisions whose fields are drawn by hashes of their id and the seed: any part can be made again. rows is how many, or their ids (id)."""
     digest = lambda salt: F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(salt)).cast("binary"))
     draw = lambda n, salt: F.conv(F.substring(digest(salt), 1, 8), 16, 10).cast("long") % n
     pick = lambda values, salt: F.element_at(F.array(*[F.lit(v) for v in values]), (draw(len(values), salt) + 1).cast("int"))
-    return spark.range(rows).select(
+    return (rows if isinstance(rows, DataFrame) else spark.range(rows)).select(
         "id", (draw(3, "a") + 1).alias("agencia_id"), pick(("deliberacao", "ata", "pauta"), "t").alias("tipo_documento"), F.when(draw(3, "p") == 0, F.col("id") - 1).alias("documento_pai_id"),
         F.date_add(F.to_date(F.lit("2026-01-01")), draw(365, "d").cast("int")).alias("data_reuniao"), pick(("Deferido", "Indeferido", "Retirado de Pauta"), "r").alias("resultado"),
         F.lit(None).cast("string").alias("juizo"), F.lit(None).cast("boolean").alias("import_counts_as_final"), pick(("multa", "tarifa", "obras"), "m").alias("microtema"),

@@ -13,9 +13,9 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where
     return df.select(*[c for c in columns if c in df.columns]) if columns else df
 
 
-def replace_view(spark: SparkSession, rows: list, schema: str, name: str) -> DataFrame:
-    """#4: a small array as a table and a view."""
-    df = spark.createDataFrame(rows, schema)
+def replace_view(spark: SparkSession, rows: list | DataFrame, name: str, schema: str | None = None) -> DataFrame:
+    """#4: a small array, or rows that are a table already, as a view; what it held before is gone."""
+    df = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows, schema)
     df.createOrReplaceTempView(name)
     return df
 
