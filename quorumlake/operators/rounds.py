@@ -157,6 +157,68 @@ def report(s: Star) -> DataFrame:
     return bulletin(rows, "Boletim", {"sigla": "Agência", "itens": "Itens", "decididos": "Decididos"})
 
 
+def escaped(c: Column) -> Column:
+    """Text that HTML and XML show as it is."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(plain), F.lit(shown))
+    return out
+
+
+def html_report(rows: DataFrame, title: str, columns: dict[str, str]) -> DataFrame:
+    """#20: (ordem, linha) of an HTML page with a table: a line per row between a head and an end; no row meets another."""
+    from html import escape
+
+    spark, last = rows.sparkSession, (1 << 62)
+    head = f'<!doctype html><html lang="pt-BR"><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>'
+    names = "<tr>" + "".join(f"<th>{escape(c)}</th>" for c in columns.values()) + "</tr>"
+    frame = spark.createDataFrame([(-2, head), (-1, names), (last, "</table></body></html>")], "ordem long, linha string")
+    cells = [F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in columns]
+    return frame.unionByName(rows.select("ordem", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("linha")))
+
+
+def svg_bars(rows: DataFrame, label: str, value: str, most: Column, width: int = 600, height: int = 20) -> DataFrame:
+    """#20: (ordem, linha) of an SVG bar chart: a bar a row at its place, as long as its share of most."""
+    long = F.coalesce(F.floor(F.try_divide(F.col(value) * width, most)), F.lit(0)).cast("string")
+    y = (F.col("ordem") * height).cast("string")
+    bar = F.concat(
+        F.lit('<rect x="200" y="'), y, F.lit('" width="'), long, F.lit(f'" height="{height - 4}"/><text x="0" y="'), (F.col("ordem") * height + height - 6).cast("string"), F.lit('">'), escaped(F.col(label)),
+        F.lit(" ("), F.col(value).cast("string"), F.lit(")</text>"),
+    )
+    return rows.select("ordem", bar.alias("linha"))
+
+
+_PER_AGENCY = "select a.id ordem, case when a.id % 3 = 0 then a.sigla || ' <&> \"x\"' else a.sigla end sigla, count(f.id) itens, count(f.resultado) decididos from agencias a left join f on f.agencia_id = a.id group by a.id, a.sigla"
+_ESCAPED = "replace(replace(replace(replace(sigla, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _per_agency(s: Star) -> DataFrame:
+    n = final(s).groupBy(F.col("agencia_id").alias("ordem")).agg(F.count("*").alias("itens"), F.count("resultado").alias("decididos"))
+    name = F.when(F.col("id") % 3 == 0, F.concat("sigla", F.lit(' <&> "x"'))).otherwise(F.col("sigla"))
+    return s.agencias.select(F.col("id").alias("ordem"), name.alias("sigla")).join(n, "ordem", "left").fillna(0, ["itens", "decididos"])
+
+
+@query(
+    "relatorio_html",
+    f""", t as ({_PER_AGENCY}) select cast(-2 as bigint) ordem, '<!doctype html><html lang="pt-BR"><head><meta charset="utf-8"><title>Agências &amp; itens</title></head><body><h1>Agências &amp; itens</h1><table>' linha
+        union all select -1, '<tr><th>Agência</th><th>Itens</th><th>Decididos</th></tr>' union all select 4611686018427387904, '</table></body></html>'
+        union all select ordem, '<tr><td>' || {_ESCAPED} || '</td><td>' || itens || '</td><td>' || decididos || '</td></tr>' from t""",
+)
+def html_of_agencies(s: Star) -> DataFrame:
+    """#20: the bulletin as an HTML page."""
+    return html_report(_per_agency(s), "Agências & itens", {"sigla": "Agência", "itens": "Itens", "decididos": "Decididos"})
+
+
+@query(
+    "grafico_svg",
+    f""", t as ({_PER_AGENCY}) select ordem, '<rect x="200" y="' || ordem * 20 || '" width="' || coalesce(itens * 600 // nullif((select max(itens) from t), 0), 0) || '" height="16"/><text x="0" y="' || (ordem * 20 + 14) || '">' || {_ESCAPED} || ' (' || itens || ')</text>' linha from t""",
+)
+def chart_of_agencies(s: Star) -> DataFrame:
+    """#20: bars of the items of agencies against the greatest; a row an agency by then."""
+    rows = _per_agency(s).withColumn("maior", F.max("itens").over(Window.partitionBy(F.lit(0))))
+    return svg_bars(rows, "sigla", "itens", F.col("maior"))
+
+
 @query("varredura_projetada", "select o_orderkey, o_totalprice from orders where o_orderdate >= timestamp '1997-01-01 00:00:00' and o_orderstatus = 'F'", tables=False)
 def projected_scan(s: Star) -> DataFrame:
     """#1: the filter and both columns reach the scan."""
