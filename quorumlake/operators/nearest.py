@@ -114,4 +114,7 @@ def nearest_two(names: DataFrame, forms: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["raw", "block", "id", "score", "visited"])
 
     by = ["block", "part", "slice"]
+    # a search takes long for few bytes, so that the number of tasks isn't left to the size of its input
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *by), right.repartition(tasks, *by)
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, FOUND)
