@@ -18,7 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; links are five-word shingle similarities of 0.8 or more."""
+    """One document of each group stays; BK-trees over SimHash fingerprints find the links, which are five-word
+    shingle similarities of 0.8 or more."""
     return simhash.near_dedup(docs)
 
 

@@ -10,7 +10,9 @@ The trees go to one task each, not to all: a tree grows with the data and has no
 more than SHARD fingerprints is cut into blocks, and each pair of blocks is a shard of its own, so that
 what a task holds is bounded however alike the documents are.
 
-`near_dedup` links by the exact share of common shingles instead; MinHash bands only find candidates.
+`near_dedup` goes the same way over fingerprints of shingle sets, with a radius that holds every pair of the wanted
+share of common shingles; what the trees link is then decided exactly on the sets. At that radius no
+choice of fingerprint bits makes shards that are small and lose nothing, so MinHash bands key them.
 """
 
 from __future__ import annotations
@@ -50,10 +52,12 @@ class Plan:
 
 @dataclass(frozen=True)
 class Alike:
-    """words of a shingle, least Jaccard similarity (num / den) of linked documents, and MinHash bands.
+    """words of a shingle, least Jaccard similarity (num / den) of linked documents, MinHash bands that key the
+    shards, and lanes and radius of the fingerprints of shingle sets.
 
     A band holds `rows` minima. A pair at 0.8 shares a band with probability 1 - (1 - 0.8^6)^50, which
-    misses 3 in 10 million, and any closer pair fewer.
+    misses 3 in 10 million, and any closer pair fewer. Its fingerprints differ in 15 % of the bits, and at most
+    in 18.75 % (sets of four and five shingles), so that a radius of 54 in 128 misses 3 in 10 billion.
     """
 
     words: int = 5
@@ -61,6 +65,8 @@ class Alike:
     den: int = 5
     bands: int = 50
     rows: int = 6
+    lanes: int = 2
+    radius: int = 54
 
 
 SIMILAR = Alike()
@@ -88,9 +94,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n], ends[last : last + n])), np.uint64, n)
 
 
-def fingerprint(text: str | None, words: int = 4, lanes: int = 1) -> list[int]:
-    """lanes of 64 bits; a bit is 1 if over half of the shingles' hashes have it. No word: zeros."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray, lanes: int) -> list[int]:
+    """lanes of 64 bits; a bit is 1 if over half of the hashes have it. No hash: zeros."""
     out = []
     for _ in range(lanes):
         if not len(h):
@@ -105,7 +110,12 @@ def fingerprint(text: str | None, words: int = 4, lanes: int = 1) -> list[int]:
     return out
 
 
-def _lanes(plan: Plan) -> list[str]:
+def fingerprint(text: str | None, words: int = 4, lanes: int = 1) -> list[int]:
+    """lanes of 64 bits; a bit is 1 if over half of the shingles' hashes have it. No word: zeros."""
+    return majority(shingle_hashes(text, words), lanes)
+
+
+def _lanes(plan: Plan | Alike) -> list[str]:
     return [f"f{k}" for k in range(plan.lanes)]
 
 
@@ -178,7 +188,20 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def linked(f: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """Each item's least item that links of at most radius bits within its group lead to."""
+    """Each item's least item that links of at most radius bits within its group lead to.
+
+    A subtree on an edge within the radius is linked to its node whole, so what links with the node
+    doesn't enter it: a shard of near copies costs one comparison each.
+    """
+    order = np.lexsort((*f.T, group))
+    new = np.ones(len(group), bool)
+    new[1:] = (np.diff(group[order]) != 0) | (np.diff(f[order], axis=0) != 0).any(1)
+    if not new.all():
+        # equal ones are one, the least of them
+        least, own = order[new], np.sort(order[new])
+        stands = np.empty(len(group), int)
+        stands[order] = least[np.cumsum(new) - 1]
+        return own[linked(f[own], group[own], radius)[np.searchsorted(own, stands)]]
     label = np.arange(len(group))
     root, start, child, edge = bk_forest(f, group)
     sizes = np.bincount(root, minlength=len(group))[root]
@@ -192,7 +215,7 @@ def linked(f: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
             _union(label, q[near], node[near])
             n = start[node + 1] - start[node]
             step = np.repeat(start[node], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            follow = np.abs(edge[step] - np.repeat(d, n)) <= radius
+            follow = (np.abs(edge[step] - np.repeat(d, n)) <= radius) & ((edge[step] > radius) | np.repeat(d > radius, n))
             q, node = np.repeat(q, n)[follow], child[step[follow]]
         done = upto
     return label
@@ -212,6 +235,7 @@ def _block_pairs(rows: DataFrame, key: str, node: str, blocks: str) -> DataFrame
 def links(nodes: DataFrame, plan: Plan) -> DataFrame:
     """(a, b) links that span each shard's linked groups of nodes (node, f0, ...); no pair lists."""
     lanes = _lanes(plan)
+    schema = ", ".join(f"{c} long" for c in ("shard", "node", *lanes))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -220,6 +244,13 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
                 again = np.repeat(np.arange(len(b)), keys.shape[1])
                 yield b.iloc[again].assign(shard=keys.ravel())[["shard", "node", *lanes]]
 
+    return shard_links(nodes.select("node", *lanes).mapInPandas(keyed, schema), plan)
+
+
+def shard_links(dealt: DataFrame, plan: Plan | Alike) -> DataFrame:
+    """links() of fingerprints that are dealt to shards already (shard, node, f0, ...)."""
+    lanes = _lanes(plan)
+
     def found(b: pd.DataFrame) -> pd.DataFrame:
         key = b[["shard", "one", "two"]].to_numpy(np.int64)
         new = np.r_[True, (key[1:] != key[:-1]).any(1)]
@@ -244,8 +275,6 @@ def links(nodes: DataFrame, plan: Plan) -> DataFrame:
         if sum(map(len, held)):
             yield found(pd.concat(held, ignore_index=True))
 
-    schema = ", ".join(f"{c} long" for c in ("shard", "node", *lanes))
-    dealt = nodes.select("node", *lanes).mapInPandas(keyed, schema)
     key = F.col("shard")
     large = table(dealt.groupBy("shard").count().where(F.col("count") > SHARD).select("shard", F.ceil(F.col("count") / SHARD).alias("blocks")), "large-shards")
     if large.isEmpty():
@@ -403,27 +432,32 @@ def similar_groups(docs: DataFrame, plan: Alike = SIMILAR) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, th, component_id (smallest doc_id reachable).
 
     Links are pairs of texts whose sets of shingles have at least the plan's similarity; shingles are
-    told apart by 64-bit hashes. Bands join candidates, whose texts then meet in one task per joined
-    group and are compared exactly; a group of more than GROUP shingles is first thinned by nearby(),
+    told apart by 64-bit hashes. BK-trees over the fingerprints of each band's shards join candidates, whose
+    texts then meet in one task per joined group and are compared exactly; a group of more than GROUP shingles is first thinned by nearby(),
     and then cut into blocks, each pair of which has its task. Wordless texts are alike; null ids are as
     in groups.
     """
     small_batches(docs.sparkSession)
     own_set = lambda t: np.unique(shingle_hashes(t, plan.words))
+    lanes = _lanes(plan)
 
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
         sets = [own_set(t) for t in texts]
-        return pd.Series([np.r_[np.int64(xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63), len(x), bands(x, plan)] for x in sets])
+        prints = [np.array(majority(x, plan.lanes), np.uint64).view(np.int64) for x in sets]
+        return pd.Series([np.r_[np.int64(xxhash.xxh64_intdigest(x.tobytes(), SEED) - 2**63), len(x), f, bands(x, plan)] for x, f in zip(sets, prints)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = table(rows.select("doc_id", text_hash().alias("th"), keys("text").alias("k")).select("doc_id", "th", F.col("k")[0].alias("node"), F.col("k")[1].alias("size"), F.slice("k", 3, plan.bands).alias("k")), "bands")
+    marks = rows.select("doc_id", text_hash().alias("th"), keys("text").alias("k"))
+    own = [F.col("k")[i].alias(c) for i, c in enumerate(["node", "size", *lanes])]
+    marks = table(marks.select("doc_id", "th", *own, F.slice("k", len(own) + 1, plan.bands).alias("k")), "bands")
     # rows of equal sets are one node, for which the text of least hash stands
-    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("k").alias("k"))
+    nodes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("size", *lanes, "k")])
     nodes = table(nodes, "sets")
-    shared = nodes.select("node", F.explode("k").alias("band"))
-    low = shared.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top")
-    joined = components(shared.join(low, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    shared = nodes.select("node", F.explode("k").alias("shard"))
+    met = shared.groupBy("shard").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top")
+    dealt = shared.join(met.select("shard"), "shard", "left_semi").join(nodes.select("node", *lanes), "node")
+    joined = components(shard_links(table(dealt.select("shard", "node", *lanes), "shards"), plan))
     asked = table(nodes.join(joined, "node").select("root", "node", "th", "size"), "candidates")
     large = _large(asked)
     texts = rows.select(text_hash().alias("th"), "text").join(asked.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from oracle import assert_same, connect
-from quorumlake.llm import periodic, queries, spelling, vafile
+from quorumlake.llm import periodic, queries, simhash, spelling, vafile
 from test_llm import hard
 
 SF = "/root/testdata/sf0.001"
@@ -242,3 +242,57 @@ def test_pipeline_stages_on_an_empty_table(spark):
         out = stage(spark, docs, SF)
         assert out.count() == 0, name
         assert k == 4 or out.columns == docs.columns
+
+
+# ---- near duplicates of the pipeline
+
+def test_near_stage_links_through_fingerprint_trees(spark):
+    """What the trees' radius leaves apart is no candidate, however alike the texts are; the plan's own radius links it."""
+    rows = []
+    for k in range(20):
+        w = [f"t{k}w{i}" for i in range(140)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:130] + [f"t{k}x{i}" for i in range(10)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = [np.bitwise_count(np.array(simhash.fingerprint(a, 5, 2), np.uint64) ^ np.array(simhash.fingerprint(b, 5, 2), np.uint64)).sum() for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    assert 0 < min(apart) and max(apart) <= simhash.SIMILAR.radius
+    assert {r["component_id"] for r in simhash.similar_groups(d, simhash.Alike(radius=0)).collect()} == set(range(40))
+    middle = sorted(apart)[10]
+    some = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d, simhash.Alike(radius=int(middle))).collect()}
+    assert [some[2 * k + 1] == 2 * k for k in range(20)] == [x <= middle for x in apart]
+    assert {r["component_id"] for r in simhash.similar_groups(d).collect()} == set(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("shared", [4, 8, 20, 100, 400])
+def test_radius_holds_alike_sets(shared):
+    """Sets at a similarity of just 0.8 or more lie within the radius of the near stage."""
+    rnd, plan = np.random.default_rng(shared), simhash.SIMILAR
+    own = shared * plan.den // plan.num - shared
+    for k in range(300):
+        h = rnd.integers(0, 2**64, shared + own, np.uint64)
+        left = k % (own + 1)
+        a, b = np.r_[h[:shared], h[shared : shared + left]], np.r_[h[:shared], h[shared + left :]]
+        differ = np.array(simhash.majority(a, plan.lanes), np.uint64) ^ np.array(simhash.majority(b, plan.lanes), np.uint64)
+        assert np.bitwise_count(differ).sum() <= plan.radius
+
+
+@pytest.mark.parametrize("radius", [4, 20, 54])
+def test_trees_skip_what_is_linked(radius, monkeypatch):
+    """Groups are those of all pairs at any radius, and near copies aren't compared with each other."""
+    rnd = np.random.default_rng(radius)
+    f = rnd.integers(0, 2**64, (60, 2), np.uint64)
+    for _ in range(5):
+        g = f[rnd.integers(0, len(f), 60)].copy()
+        for _ in range(max(1, radius // 3)):
+            g[np.arange(60), rnd.integers(0, 2, 60)] ^= np.uint64(1) << rnd.integers(0, 64, 60).astype(np.uint64)
+        f = np.r_[f, g, g[:5]]
+    group = np.sort(rnd.integers(0, 3, len(f)))
+    label = np.arange(len(f))
+    near = (np.bitwise_count(f[:, None] ^ f[None]).sum(2) <= radius) & (group[:, None] == group[None])
+    while (low := np.where(near, label[None], len(f)).min(1)).tolist() != label.tolist():
+        label = low
+    assert simhash.linked(f, group, radius).tolist() == label.tolist()
+    compared, apart = [], simhash._apart
+    monkeypatch.setattr(simhash, "_apart", lambda f, a, b: compared.append(len(a)) or apart(f, a, b))
+    copies = np.zeros((400, 2), np.uint64)
+    copies[:, 0] = rnd.integers(0, 2 ** (radius // 2), 400, np.uint64)
+    assert not simhash.linked(copies, np.zeros(400, int), radius).any() and sum(compared) < 20 * 400
