@@ -296,3 +296,15 @@ def test_trees_skip_what_is_linked(radius, monkeypatch):
     copies = np.zeros((400, 2), np.uint64)
     copies[:, 0] = rnd.integers(0, 2 ** (radius // 2), 400, np.uint64)
     assert not simhash.linked(copies, np.zeros(400, int), radius).any() and sum(compared) < 20 * 400
+
+
+def test_near_stage_cuts_large_shards(spark, monkeypatch):
+    """Near copies that share many bands: groups are the same where their shards are cut into blocks."""
+    rnd, rows = random.Random(3), []
+    for k in range(60):
+        w = [f"g{k % 3}w{i}" for i in range(200)]
+        w[rnd.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "SHARD", 4)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(d).collect()} == {k: k % 3 for k in range(60)}
