@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quorumlake.functions.text import once
+
 #: Code pages in the order in which ties are decided; the high half of each by its codec, undefined bytes as in Latin-1.
 PAGES = ("latin-1", "cp1252", "cp850", "cp437")
 _HIGH = "".join(map(chr, range(128, 256)))
@@ -40,22 +42,34 @@ def reread(c: Column) -> Column:
     return F.coalesce(F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")), c)
 
 
+def unescaped(raw: Column) -> Column:
+    """Bytes with percent escapes resolved. Escapes are bytes too, so they are found in the Latin-1 reading."""
+    runs = lambda latin: F.regexp_extract_all(latin, F.lit("(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
+    as_hex = lambda x: F.when(x.rlike("^%[0-9A-Fa-f]{2}"), F.replace(x, F.lit("%"), F.lit(""))).otherwise(F.hex(F.encode(x, "ISO-8859-1")))
+    resolved = lambda latin: F.unhex(F.array_join(F.transform(runs(latin), as_hex), ""))
+    return once(F.decode(raw, "ISO-8859-1"), lambda latin: F.when(latin.rlike("%[0-9A-Fa-f]{2}"), resolved(latin)).otherwise(raw))
+
+
 def decoded(raw: Column) -> Column:
     """(nome, codificacao, nota) of the bytes of a name.
 
     Percent escapes are resolved first. Bytes that are UTF-8 are UTF-8; encoded twice, they are read once more
     if that is no less plausible. Of the other pages the most plausible one wins, ties in their order. Null gives null.
     """
-    # percent escapes are bytes too, so they are resolved over the Latin-1 reading, in hexadecimal
-    latin = F.decode(raw, "ISO-8859-1")
-    parts = F.split(latin, "(?=%[0-9A-Fa-f]{2})")
-    unescaped = F.transform(parts, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}"), F.concat(F.substring(p, 2, 2), F.hex(F.encode(F.substr(p, F.lit(4)), "ISO-8859-1")))).otherwise(F.hex(F.encode(p, "ISO-8859-1"))))
-    plain = F.unhex(F.array_join(unescaped, ""))
-    text = plain.cast("string")
-    candidates = F.array(*[F.struct(plausibility(as_page(plain, p)).alias("nota"), F.lit(-k).alias("k"), as_page(plain, p).alias("nome"), F.lit(p).alias("codificacao")) for k, p in enumerate(PAGES)])
-    best = F.array_max(candidates)
-    twice = reread(text)
-    # as plausible in fewer characters is better
-    better = (twice != text) & (plausibility(twice) >= plausibility(text))
-    utf8 = F.struct(F.when(better, twice).otherwise(text).alias("nome"), F.when(better, "utf-8 duas vezes").otherwise("utf-8").alias("codificacao"), F.greatest(plausibility(twice), plausibility(text)).alias("nota"))
-    return F.when(F.is_valid_utf8(text), utf8).when(raw.isNotNull(), F.struct(best["nome"].alias("nome"), best["codificacao"].alias("codificacao"), best["nota"].alias("nota")))
+    result = lambda nome, page, nota: F.struct(nome.alias("nome"), page.alias("codificacao"), nota.alias("nota"))
+
+    def in_utf8(text: Column) -> Column:
+        # as plausible in fewer characters is better
+        better = lambda p: (p["twice"] != text) & (p["b"] >= p["a"])
+        both = lambda t: F.struct(t.alias("twice"), plausibility(text).alias("a"), plausibility(t).alias("b"))
+        judged = lambda p: result(F.when(better(p), p["twice"]).otherwise(text), F.when(better(p), "utf-8 duas vezes").otherwise("utf-8"), F.greatest(p["a"], p["b"]))
+        again = once(once(reread(text), both), judged)
+        return F.when(text.rlike("[\u0080-ÿ]"), again).otherwise(result(text, F.lit("utf-8"), plausibility(text)))
+
+    def in_page(plain: Column) -> Column:
+        names = F.array(*[F.struct(F.lit(-k).alias("k"), as_page(plain, p).alias("nome"), F.lit(p).alias("codificacao")) for k, p in enumerate(PAGES)])
+        rated = F.transform(names, lambda x: F.struct(plausibility(x["nome"]).alias("nota"), x["k"].alias("k"), x["nome"].alias("nome"), x["codificacao"].alias("codificacao")))
+        return once(F.array_max(rated), lambda x: result(x["nome"], x["codificacao"], x["nota"]))
+
+    read = lambda plain: once(plain.cast("string"), lambda text: F.when(F.is_valid_utf8(text), in_utf8(text)).otherwise(in_page(plain)))
+    return once(raw, lambda r: F.when(r.isNotNull(), once(unescaped(r), read)))

@@ -151,3 +151,20 @@ def test_fields_of_a_document(spark):
     assert one(spark, fields.on_record, "já havia sido proferido o voto do relator original, Diretor Caio Mário Seabra, acompanhado pelo então Diretor Rui Sá Reis") == ["Caio Mário Seabra", "Rui Sá Reis"]
     w = one(spark, fields.withdrawal, "Processo retirado de pauta pelo Diretor Caio Mário Seabra, nos termos do art. 55 do Regimento Interno")
     assert (w["autor"], w["fundamento"]) == ("Caio Mário Seabra", "art. 55 do Regimento Interno") and one(spark, fields.withdrawal, "aprovado") is None
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_decoded_once(spark):
+    """Each step stands once in the plan; a copy in each place that uses it made a row take over a millisecond."""
+    from quorumlake.functions import charset
+
+    raws = ["Órgão 7.pdf".encode(), b"%C3%93rg%C3%A3o%207%zz%.pdf", "Órgão".encode("cp850"), "Órgão".encode().decode("latin-1").encode(), b"%d3rg%E3o", b"", b"%", b"a%\n%41%", None]
+    df = spark.createDataFrame([(k, None if x is None else bytearray(x)) for k, x in enumerate(raws)], "k int, b binary")
+    out = df.select("k", charset.decoded(F.col("b")).alias("d")).select("k", "d.nome", "d.codificacao")
+    assert plan_of(out).count("unhex(") == 1
+    assert [tuple(r)[1:] for r in sorted(out.collect())] == [
+        ("Órgão 7.pdf", "utf-8"), ("Órgão 7%zz%.pdf", "utf-8"), ("Órgão", "cp850"), ("Órgão", "utf-8 duas vezes"), ("Órgão", "latin-1"), ("", "utf-8"), ("%", "utf-8"), ("a%\nA%", "utf-8"), (None, None),
+    ]
