@@ -13,7 +13,7 @@ from quorumlake.functions import predicates as P
 from quorumlake.functions import text as T
 from quorumlake.operators.analytics import counted, final
 from quorumlake.operators.ordering import by_rank
-from quorumlake.operators.roster import roster
+from quorumlake.operators.roster import attendance
 from quorumlake.operators.votes import inferred_vote_rows
 from quorumlake.operators.ordering import positions
 from quorumlake.plans.registry import query
@@ -86,19 +86,17 @@ _PRESENT = """, d as (select id, agencia_id, data_reuniao from f where data_reun
 """
 
 
-def _present(s: Star) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _present(s: Star) -> DataFrame:
+    """Dated final decisions with who is in office, who voted, and who did both."""
     days = final(s).where("data_reuniao is not null").select("id", "agencia_id", "data_reuniao")
-    seats = days.join(roster(days, s.mandatos), ["agencia_id", "data_reuniao"]).select("id", "diretor_id")
-    votes = s.votos.where("tipo_voto <> 'Ausente'").select(F.col("deliberacao_id").alias("id"), "diretor_id").join(days.select("id"), "id", "left_semi")
-    return days, seats, votes
+    return attendance(days, s.votos.where("tipo_voto <> 'Ausente'").select(F.col("deliberacao_id").alias("id"), "diretor_id"), s.mandatos)
 
 
 @query("presenca_divergente", _PRESENT + "select coalesce(p.id, w.id) id, count(*) filter (p.id is null) votou_sem_presenca, count(*) filter (w.id is null) presente_sem_voto from p full join w on p.id = w.id and p.diretor_id = w.diretor_id group by 1")
 def presence(s: Star) -> DataFrame:
-    """#169: those who voted without being present, and the reverse; one full join gives both."""
-    _, seats, votes = _present(s)
-    j = seats.withColumn("p", F.lit(1)).join(votes.withColumn("w", F.lit(1)), ["id", "diretor_id"], "full")
-    return j.groupBy("id").agg(counted("votou_sem_presenca", F.col("p").isNull()), counted("presente_sem_voto", F.col("w").isNull()))
+    """#169: those who voted without being present, and the reverse."""
+    less = lambda c: F.col(c) - F.col("sentados")
+    return _present(s).where("cadeiras > 0 or presentes > 0").select("id", less("presentes").alias("votou_sem_presenca"), less("cadeiras").alias("presente_sem_voto"))
 
 
 @query(
@@ -111,10 +109,7 @@ def board_verdict(s: Star) -> DataFrame:
     """#153, #178: an empty board, then the list of those present, then signatures, then pending
     candidates, else not verifiable. Even ids stand for minutes that name those present, multiples of
     five for signed ones, of seven for agencies with candidates."""
-    days, seats, votes = _present(s)
-    n = seats.groupBy("id").agg(F.count("*").alias("cadeiras"))
-    w = votes.join(seats.withColumn("p", F.lit(1)), ["id", "diretor_id"], "left").groupBy("id").agg(F.count("*").alias("presentes"), F.count_if(F.col("p").isNull()).alias("orfaos"))
-    a = days.select("id").join(n, "id", "left").join(w, "id", "left").fillna(0)
+    a = _present(s).withColumn("orfaos", F.col("presentes") - F.col("sentados"))
     named = F.col("presentes") > 0
     either = lambda kind: F.when(F.col("orfaos") > 0, f"roster_diverge_da_{kind}").otherwise(f"roster_confere_com_{kind}")
     say = (

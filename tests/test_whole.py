@@ -60,3 +60,50 @@ def test_close_pairs_by_brute_force(spark):
                 if p == q and (x == y or (x and y and 1 - distance(x, y) / max(len(x), len(y)) >= least)):
                     want[a, b] = 1.0 if x == y else round(1 - distance(x, y) / max(len(x), len(y)), 9)
         assert got == want and want
+
+
+def _boards(spark):
+    """Terms that overlap, touch, are open or in leave, and by brute force who is in office on a day."""
+    import random
+
+    rnd = random.Random(5)
+    day = lambda n: None if n is None else DAY + datetime.timedelta(n)
+    some = lambda a, b: rnd.choice([None, rnd.randrange(a, b)])
+    terms = [(k % 9, k % 2, rnd.randrange(30) if k % 11 else None, some(0, 60), some(0, 40), some(0, 60)) for k in range(60)]
+    m = spark.createDataFrame([(d, a, *map(day, x)) for d, a, *x in terms], "diretor_id long, agencia_id long, data_inicio date, data_fim date, afastado_desde date, afastado_ate date")
+
+    def office(agency, n):
+        return {
+            d for d, a, first, last, away, back in terms
+            if a == agency and n is not None and first is not None and first <= n and (last is None or last >= n) and not (away is not None and away <= n and (back is None or back >= n))
+        }
+
+    return m, day, office
+
+
+def test_boards_are_counted_without_their_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from quorumlake.operators import roster
+
+    m, day, office = _boards(spark)
+    asked = [(k, k % 3, k % 70 if k % 8 else None) for k in range(140)]
+    votes = [(k, d) for k in range(140) for d in range(k % 5, 9, 3)]
+    decisions = spark.createDataFrame([(k, a, day(n)) for k, a, n in asked], "id long, agencia_id long, data_reuniao date")
+    got = roster.attendance(decisions, spark.createDataFrame(votes, "id long, diretor_id long"), m, F.count_if(~F.col("sentado")).alias("fora"))
+    want = set()
+    for k, a, n in asked:
+        seats, voted = office(a, n), {d for i, d in votes if i == k}
+        want.add((k, len(seats), len(voted), len(seats & voted), len(voted - seats)))
+    assert {(r["id"], r["cadeiras"], r["presentes"], r["sentados"], r["fora"]) for r in got.collect()} == want
+    pairs = sorted((r["id"], r["diretor_id"]) for r in roster.with_boards(decisions, m).collect())
+    assert pairs == sorted((k, d) for k, a, n in asked for d in office(a, n)) and pairs
+
+
+def test_no_query_of_counts_joins_decisions_with_boards(spark):
+    """A join of terms of office with days alone gives a row for each seat."""
+    sf = "/root/testdata/sf0.001"
+    for name in ("votos_por_proveniencia", "votos_por_proveniencia_inteiro", "completar_colegiado", "revoto", "revoto_inteiro", "presenca_divergente", "veredito_roster"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if " Join " in x or x.lstrip("+-: ").startswith("Join")]
+        assert joins and not [x for x in joins if "primeiro" in x and "diretor_id" not in x] and not [x for x in joins if "data_inicio" in x], name
