@@ -107,3 +107,28 @@ def test_no_query_of_counts_joins_decisions_with_boards(spark):
         plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         joins = [x for x in plan.splitlines() if " Join " in x or x.lstrip("+-: ").startswith("Join")]
         assert joins and not [x for x in joins if "primeiro" in x and "diretor_id" not in x] and not [x for x in joins if "data_inicio" in x], name
+
+
+def test_like_names_are_compared_once(spark):
+    """Common beginnings and many copies of a name made every two names of an agency meet."""
+    names = [f"filho supplier#{k:09d}" for k in range(300)] * 4
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(names)], "block int, id int, t string")
+    near = lambda x, y: sum(a != b for a, b in zip(x, y)) <= 1
+    close = [(a, b) for a in range(300) for b in range(300) if near(names[a], names[b])]
+    want = {(i, j) for a, b in close for i in range(a, 1200, 300) for j in range(b, 1200, 300) if i < j}
+    out = resolve.close_pairs(df, 0.95)
+    got = [(r["a"], r["b"]) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    # what the join of candidates gave, before they were measured
+    texts = df.selectExpr("block", "t", "length(t) n").distinct()
+    assert resolve._one_edit(texts).distinct().count() < 300 * 40
+
+
+def test_abbreviations_are_compared_by_name(spark):
+    from quorumlake.operators import audit
+
+    short = [(a, k, x) for a in (1, 2) for k, x in enumerate(["Ana Souza", "Ana Souza", "Rui", "Ana Lima", "Eva da Reis", "de", None])]
+    long = [(a, 10 + k, y) for a in (1, 2) for k, y in enumerate(["Ana de Lima Souza", "ANA Lima Souza", "Rui Sá", "Eva Maria Reis", "Bia Ana Souza", ""])]
+    df = lambda rows, i, c: spark.createDataFrame(rows, f"agencia_id int, {i} int, {c} string")
+    got = sorted(map(tuple, audit.abbreviation_pairs(df(short, "a", "x"), df(long, "b", "y")).collect()))
+    assert got == sorted(2 * [(0, 10), (0, 11), (1, 10), (1, 11), (3, 10), (3, 11), (4, 13)])
