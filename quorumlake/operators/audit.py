@@ -179,7 +179,17 @@ def abbreviations(s: Star) -> DataFrame:
     digit = (F.col("id") % 10).cast("string")
     short = s.diretores.select("agencia_id", F.col("id").alias("a"), F.concat(F.lit("Ana Souza"), digit).alias("x"))
     long = s.diretores.select("agencia_id", F.col("id").alias("b"), F.concat(F.lit("Ana de Lima Souza"), digit).alias("y"))
-    return short.join(long, "agencia_id").where((F.col("a") < F.col("b")) & T.strict_abbreviation(F.col("x"), F.col("y"))).select("a", "b")
+    return abbreviation_pairs(short, long).where("a < b")
+
+
+def abbreviation_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b) of rows of short (agencia_id, a, x) and long (agencia_id, b, y) of one agency in which x is a strict abbreviation of y.
+
+    Names are compared once each, and only those that begin alike; then ids meet by their names.
+    """
+    of = lambda df, c: df.select("agencia_id", c, F.get(T.name_tokens(F.col(c)), F.lit(0)).alias("primeiro")).where("primeiro is not null").distinct()
+    alike = of(short, "x").join(of(long, "y"), ["agencia_id", "primeiro"]).where(T.strict_abbreviation(F.col("x"), F.col("y"))).select("agencia_id", "x", "y")
+    return short.join(alike, ["agencia_id", "x"]).join(long, ["agencia_id", "y"]).select("a", "b")
 
 
 @query(
