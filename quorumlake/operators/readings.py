@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quorumlake.functions import charset, fields, item_votes
 from quorumlake.functions import extract as X
+from quorumlake.functions import text as T
 from quorumlake.plans.registry import query
 from quorumlake.plans.star import Star
 
@@ -184,6 +185,7 @@ def document_fields(s: Star) -> DataFrame:
 
 # How the blocks of votes in minutes are headed, and how a decision names the reviewer's as approved.
 BLOCK = r"(?i)voto\s+d[oa]\s+((?:primeir|segund|terceir|quart)[oa])?\s*(relatora?|revisora?)[^:\n]{0,80}:\s*([\s\S]+?)(?=\n?\s*voto\s+d[oa]\s+(?:primeir|segund|terceir|quart|relator|revisor)|delibera[çÇc][ãÃa]o\s*:|$)"
+HEAD = r"(?i)^voto\s+d[oa]\s+((?:primeir|segund|terceir|quart)[oa])?\s*"
 REVIEWER_WON = r"(?i)\bvoto\s+d[oa]\s+((?:primeir|segund|terceir|quart)[oa]\s+)?revisor"
 
 
@@ -191,17 +193,18 @@ def prevailing(raw: Column, decision: Column) -> Column:
     """The text of the vote that prevailed: the reviewer's whom the decision names, by ordinal or else the last
     one, else the rapporteur's, else the first; null without blocks of votes by role."""
     found = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(BLOCK), F.lit(0))
-    part = lambda x, k: F.regexp_extract(x, BLOCK, k)
+    said = F.coalesce(decision, F.lit(""))
+    stem = F.regexp_replace(F.lower(F.trim(F.regexp_extract(said, REVIEWER_WON, 1))), "[oa]$", "")
+
+    def chosen(blocks: Column) -> Column:
+        reported = F.coalesce(F.get(F.filter(blocks, lambda x: x.rlike(HEAD + "relator")), F.lit(0)), F.get(blocks, F.lit(0)))
+        reviewers = F.filter(blocks, lambda x: x.rlike(HEAD + "revisor"))
+        asked = lambda r: T.once(stem, lambda s: F.filter(r, lambda x: (s != "") & F.lower(F.regexp_extract(x, HEAD, 1)).startswith(s)))
+        won = T.once(reviewers, lambda r: F.coalesce(F.get(asked(r), F.lit(0)), F.get(r, F.size(r) - 1)))
+        return F.when(said.rlike(REVIEWER_WON), F.coalesce(won, reported)).otherwise(reported)
+
     # a block that was cut out ends where its text does
-    blocks = F.transform(found, lambda x: F.struct(F.lower(part(x, 1)).alias("ordinal"), F.lower(part(x, 2)).alias("role"), part(x, 3).alias("body")))
-    reviewers = F.filter(blocks, lambda b: b["role"].startswith("revisor"))
-    reporters = F.filter(blocks, lambda b: b["role"].startswith("relator"))
-    named = F.regexp_extract(F.coalesce(decision, F.lit("")), REVIEWER_WON, 1)
-    stem = F.regexp_replace(F.lower(F.trim(named)), "[oa]$", "")
-    asked = F.filter(reviewers, lambda b: (stem != "") & b["ordinal"].startswith(stem))
-    reported = F.coalesce(F.get(reporters, F.lit(0)), F.get(blocks, F.lit(0)))["body"]
-    won = F.coalesce(F.get(asked, F.lit(0)), F.get(reviewers, F.size(reviewers) - 1))["body"]
-    return F.when(F.coalesce(decision, F.lit("")).rlike(REVIEWER_WON), F.coalesce(won, reported)).otherwise(reported)
+    return T.once(T.once(found, chosen), lambda x: F.regexp_extract(x, BLOCK, 3))
 
 
 # The forms of an item's words that tell its result.
@@ -211,10 +214,13 @@ ITEM_GRANTED = r"\bdefer|dar provimento|provimento ao"
 
 def item_result(c: Column, unanimous: Column) -> Column:
     """The result of an item of minutes by its words; null if they tell none."""
-    t = X.flat(c)
-    suspended = t.rlike("|".join(X.SUSPENDED)) | t.rlike("voto vistas")
     agreed = F.when(unanimous, "Aprovado por Unanimidade").otherwise("Aprovado")
-    return F.when(suspended, "Retirado de Pauta").when(t.rlike(ITEM_DENIED), "Indeferido").when(t.rlike(ITEM_GRANTED), "Deferido").when(t.rlike("aprovad[oa]") | unanimous, agreed)
+
+    def told(t: Column) -> Column:
+        suspended = t.rlike("|".join(X.SUSPENDED)) | t.rlike("voto vistas")
+        return F.when(suspended, "Retirado de Pauta").when(t.rlike(ITEM_DENIED), "Indeferido").when(t.rlike(ITEM_GRANTED), "Deferido").when(t.rlike("aprovad[oa]") | unanimous, agreed)
+
+    return T.once(X.flat(c), told)
 
 
 @query(
