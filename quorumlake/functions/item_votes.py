@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quorumlake.functions import extract as X
+from quorumlake.functions.text import once
 
 # A name in running text, the dashes of tables, and who is diverged from or followed.
 _CAPITAL, _SMALL = "[A-ZÁÉÍÓÚÂÊÔÃÕÇÀÜ]", "[a-záéíóúâêôãõçàü]"
@@ -53,6 +54,12 @@ CHAIR = rf"(?i:presidid[ao])[\s\S]{{0,40}}?(?i:pel[oa])\s+(?i:Diretor)[-\s](?i:G
 # Words of institutions and of reasons for absence, which lists of names are cleaned of.
 INSTITUTIONS = r"(?i)\b(?:Reuni[aã]o|Conselho|Ordin[aá]ria|Extraordin[aá]ria|Diretoria|Superintend[eê]ncia|Ag[eê]ncia|C[aâ]mara|Comiss[aã]o|Presid[eê]ncia|Sistema|Processo|Assunto|Interessad[oa]|Pauta|Sess[aã]o|Colegiad[oa]|Secretaria|Ger[eê]ncia|Coordena[cç][aã]o|N[uú]cleo|Ata|Estado)\b"
 REASONS = r"(?i)\b(?:afastamento|f[eé]rias|licen[çc]a|viagem|recesso|justificad[oa]|m[eé]dic[oa]|miss[aã]o|compromisso)\b"
+# Where no statement goes on, and what each kind of statement has in it. A full stop may only stand before a verb of dissent.
+STOP = r"[,;]|\.(?!\s+(?:votou|divergiu|discordou))"
+SIGNS = {
+    "table": DASH, "outvoted": "[Vv]enci[dn]|[Vv]oto", "diverged": "votou|divergiu|discordou", "left": "divergi|discord", "joined": "acompanh|segui|aderi", "absent": "[Aa]usente|[Aa]us[êe]ncia", "abstained": "absteve|bsten[çc]",
+}
+RECUSAL, CAST = r"(?i)impedid|suspeit|n[ãa]o\s+(?:vot|particip)", r"(?i)qualidade"
 DIRECTIONS = ("favor", "contra", "abstencao", "ausente")
 
 
@@ -71,9 +78,9 @@ def listed(c: Column) -> Column:
     parts = F.transform(F.split(bare, r"(?i)\s*(?:,|;|\se\s)\s*|\s+[-–—]\s+"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\s\-–—]+|[\s\-–—]+$", ""), r"\s+", " ")))
 
     def a_name(x: Column) -> Column:
-        words = F.split(x, " ")
-        shaped = F.forall(words, lambda w: w.rlike(f"^{_CAPITAL}") | w.rlike("^d[aeo]s?$"))
-        return (F.size(words) >= 2) & (F.length(x) <= 100) & X.likely_name(x) & ~X.role_only(x) & ~x.rlike(INSTITUTIONS) & ~x.rlike(REASONS) & shaped
+        shaped = lambda words: (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike(f"^{_CAPITAL}") | w.rlike("^d[aeo]s?$"))
+        # a likely name is no office alone
+        return once(F.split(x, " "), shaped) & (F.length(x) <= 100) & ~x.rlike(INSTITUTIONS) & ~x.rlike(REASONS) & X.likely_name(x)
 
     return F.filter(parts, a_name)
 
@@ -105,32 +112,47 @@ def approved_authors(c: Column, general: Column) -> Column:
 
 def casting(c: Column, general: Column) -> Column:
     """Who gave the casting vote."""
-    flat = flattened(c)
-    name = F.trim(F.regexp_extract(flat, CASTING, 1))
-    return F.when((name != "") & X.strict_name(name), name).when(flat.rlike(CASTING_OFFICE), general)
+
+    def of(flat: Column) -> Column:
+        office = F.when(flat.rlike(CASTING_OFFICE), general)
+        return once(F.trim(F.regexp_extract(flat, CASTING, 1)), lambda name: F.when((name != "") & X.strict_name(name), name).otherwise(office))
+
+    return F.when(c.rlike(CAST), once(flattened(c), of))
 
 
 def recused(c: Column) -> Column:
-    clean = F.regexp_replace(flattened(c), NOT_RECUSED, " ")
-    return F.array_distinct(F.filter(F.concat(*[_all(clean, p) for p in RECUSED]), lambda x: (F.length(x) > 4) & X.strict_name(x)))
+    found = lambda clean: F.array_distinct(F.filter(F.concat(*[_all(clean, p) for p in RECUSED]), lambda x: (F.length(x) > 4) & X.strict_name(x)))
+    return F.when(c.rlike(RECUSAL), once(F.regexp_replace(flattened(c), NOT_RECUSED, " "), found)).otherwise(F.array().cast("array<string>"))
 
 
 def _events(c: Column, general: Column) -> Column:
-    """(kind, name) in the order in which statements take effect."""
+    """(kind, name) in the order in which statements take effect. Patterns that begin with a name are slow, so they are
+    looked for only in those parts of the text that have their signs."""
+    return once(F.split(c, STOP), lambda parts: _events_of(c, parts, general))
+
 
+def _events_of(c: Column, parts: Column, general: Column) -> Column:
     def of(kind: str, names: Column) -> Column:
         return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
 
+    def within(sign: str, find) -> Column:
+        return F.flatten(F.transform(F.filter(parts, lambda x: x.rlike(SIGNS[sign])), find))
+
+    def names(sign: str, pattern: str) -> Column:
+        return within(sign, lambda x: _all(x, pattern))
+
     def table_row(x: Column) -> Column:
-        said = F.regexp_extract(x, rf"{DASH}\s*(\S+)$", 1)
-        kind = F.when(said.rlike(TABLE["ausente"]), "ausente").when(said.rlike(TABLE["abstencao"]), "abstencao").when(said.rlike(TABLE["favor"]), "favor").otherwise("contra")
+        # the words of TABLE are told apart by their ends
+        kind = F.when(x.endswith("usente"), "ausente").when(x.rlike("[aã]o$"), "abstencao").when(x.endswith("vel"), "favor").otherwise("contra")
         return F.struct(kind.alias("kind"), F.trim(F.regexp_replace(F.regexp_extract(x, NAME, 0), r"\s+", " ")).alias("name"))
 
-    rows = F.transform(F.regexp_extract_all(c, F.lit(rf"\b({NAME})\s*{DASH}\s*({'|'.join(TABLE.values())})"), F.lit(0)), table_row)
+    rows = F.transform(within("table", lambda x: F.regexp_extract_all(x, F.lit(rf"\b({NAME})\s*{DASH}\s*({'|'.join(TABLE.values())})"), F.lit(0))), table_row)
     lists = [of(kind, F.flatten(F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), listed))) for kind, p in (("favor", LIST_FOR), ("contra", LIST_AGAINST))]
     by_office = F.when(c.rlike(AGAINST_OFFICE) & general.isNotNull(), F.array(general)).otherwise(F.array().cast("array<string>"))
-    against = [_all(c, OUTVOTED), _all(c, DIVERGED), presented(c, general), by_office, _all(c, LEFT)]
-    return F.concat(rows, *lists, *[of("contra", a) for a in against], of("aderiu", _all(c, JOINED)), *[of("ausente", _all(c, p)) for p in ABSENT], of("absteve-se", _all(c, ABSTAINED)))
+    against = [names("outvoted", OUTVOTED), names("diverged", DIVERGED), presented(c, general), by_office, names("left", LEFT)]
+    return F.concat(
+        rows, *lists, *[of("contra", a) for a in against], of("aderiu", names("joined", JOINED)), *[of("ausente", names("absent", p)) for p in ABSENT], of("absteve-se", names("abstained", ABSTAINED))
+    )
 
 
 def item_votes(text: Column, general: Column | None = None) -> Column:
@@ -142,7 +164,7 @@ def item_votes(text: Column, general: Column | None = None) -> Column:
     dissent is told, and no dissenter. A null text has none of it.
     """
     c, general = F.coalesce(text, F.lit("")), F.lit(None).cast("string") if general is None else general
-    judged = F.transform(_events(c, general), lambda e: F.struct(e["kind"].alias("kind"), e["name"].alias("name"), X.strict_name(e["name"]).alias("strict")))
+    judged = F.transform(_events(c, general), lambda e: F.struct(e["kind"].alias("kind"), e["name"].alias("name"), (e["kind"].isin("favor", "contra") & X.strict_name(e["name"])).alias("strict")))
     authors, none = approved_authors(c, general), F.array().cast("array<string>")
     start = F.struct(*[none.alias(d) for d in DIRECTIONS], authors.alias("authors"))
 
@@ -159,13 +181,14 @@ def item_votes(text: Column, general: Column | None = None) -> Column:
             put(s["abstencao"], abstains | ((k == "abstencao") & long)).alias("abstencao"), put(s["ausente"], (k == "ausente") & long).alias("ausente"), s["authors"].alias("authors"),
         )
 
-    def finish(s: Column) -> Column:
-        out, cast = recused(c), casting(c, general)
+    def finish(s: Column, out: Column, cast: Column) -> Column:
         favor = F.when(cast.isNotNull() & ~F.array_contains(s["favor"], cast) & ~F.array_contains(s["contra"], cast), F.array_append(s["favor"], cast)).otherwise(s["favor"])
         clean = lambda a: F.filter(F.array_except(a, out), lambda x: ~X.role_only(x))
-        contra = clean(s["contra"])
+        # strict names are no offices
+        contra = F.array_except(s["contra"], out)
         warn = (F.size(contra) == 0) & c.rlike(CONTESTED)
         rest = [clean(favor).alias("favor"), contra.alias("contra"), clean(s["abstencao"]).alias("abstencao"), clean(s["ausente"]).alias("ausente")]
-        return F.struct(*rest, F.filter(out, lambda x: ~X.role_only(x)).alias("impedido"), cast.alias("voto_qualidade_por"), warn.alias("aviso"))
+        return F.struct(*rest, out.alias("impedido"), cast.alias("voto_qualidade_por"), warn.alias("aviso"))
 
-    return F.aggregate(judged, start, step, finish)
+    ends = F.struct(F.aggregate(judged, start, step).alias("s"), recused(c).alias("out"), casting(c, general).alias("cast"))
+    return once(ends, lambda e: finish(e["s"], e["out"], e["cast"]))

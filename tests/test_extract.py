@@ -168,3 +168,25 @@ def test_names_are_decoded_once(spark):
     assert [tuple(r)[1:] for r in sorted(out.collect())] == [
         ("Órgão 7.pdf", "utf-8"), ("Órgão 7%zz%.pdf", "utf-8"), ("Órgão", "cp850"), ("Órgão", "utf-8 duas vezes"), ("Órgão", "latin-1"), ("", "utf-8"), ("%", "utf-8"), ("a%\nA%", "utf-8"), (None, None),
     ]
+
+
+def test_blocks_of_votes_are_read_once(spark):
+    from quorumlake.operators import readings as R
+
+    df = spark.createDataFrame([("VOTO DO RELATOR: nega.\nVOTO DO REVISOR: dar provimento\n", "Voto do revisor aprovado")], "a string, d string")
+    out = df.select(R.prevailing(F.col("a"), F.col("d")).alias("p"))
+    assert plan_of(out).count("regexp_extract_all(") == 1 and out.first()["p"].strip() == "dar provimento"
+    words = df.select(R.item_result(F.col("a"), X.unanimous(F.col("a"))).alias("r"))
+    assert plan_of(words).count("translate(") <= 3 and words.first()["r"] == "Deferido"
+
+
+def test_items_are_searched_once(spark):
+    """Recusals and casting votes stand once in the plan, and parts of a text give what the whole one did."""
+    from quorumlake.functions import item_votes as V
+
+    text = "Caio Braga – Contrário; O Diretor Rui Reis. divergiu do Relator, Eva Dias\nacompanhou o voto do\nRelator. Ausente: o Diretor Otto Luz. Ana Lima absteve-se"
+    out = spark.createDataFrame([(text,)], "t string").select(V.item_votes(F.col("t")).alias("v"))
+    plan = plan_of(out)
+    assert plan.count("encontrava-se") == 1 and plan.count("voto\\s+de\\s+qualidade)[^.]") == 1
+    r = out.first()["v"]
+    assert [list(r[d]) for d in (*V.DIRECTIONS, "impedido")] == [["Eva Dias"], ["Caio Braga", "Rui Reis"], ["Ana Lima"], ["Otto Luz"], []]
